@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from .packing import op2_packing
 from .token_counts import op1_token_counts
 
 
 def queries() -> dict[str, Callable]:
-    return {f.__name__: f for f in (op1_token_counts,)}
+    return {f.__name__: f for f in (op1_token_counts, op2_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
