@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from .decontaminate import op7_decontamination
+from .language_id import op5_language_id
 from .packing import op2_packing
 from .token_counts import op1_token_counts
 
 
 def queries() -> dict[str, Callable]:
-    return {f.__name__: f for f in (op1_token_counts, op2_packing, op7_decontamination)}
+    return {f.__name__: f for f in (op1_token_counts, op2_packing, op5_language_id, op7_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
