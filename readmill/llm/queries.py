@@ -8,11 +8,12 @@ from .decontaminate import op7_decontamination
 from .language_id import op5_language_id
 from .packing import op2_packing
 from .token_counts import op1_token_counts
+from .topk_search import OP3_SQL, op3_topk_search
 
 
 def queries() -> dict[str, Callable]:
-    return {f.__name__: f for f in (op1_token_counts, op2_packing, op5_language_id, op7_decontamination)}
+    return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_topk_search, op5_language_id, op7_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_topk_search": OP3_SQL}
