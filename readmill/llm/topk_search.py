@@ -44,16 +44,18 @@ class Block:
             cut.extend((d * n + ends).tolist())
             dim.extend([d] * len(ends))
         self.rows = np.concatenate(rows) if dims else np.zeros(0, np.int64)
-        self.values = np.concatenate(values).astype(np.float64) if dims else np.zeros(0)
+        self.values = np.concatenate(values) if dims else np.zeros(0, np.int64)
+        self.narrow = self.values.astype(np.int32) if self.biggest < 1 << 20 else None
         self.cut, self.dim = np.array(cut, np.int64), np.array(dim, np.int64)
         self.high = self.values[self.cut[:-1]] if dims and n else np.zeros(0)
         self.low = self.values[self.cut[1:] - 1] if dims and n else np.zeros(0)
 
-    def search(self, q: np.ndarray, k: int, own: int, enough: float = 0.04) -> list[tuple[int, int]]:
+    def search(self, q: np.ndarray, k: int, own: int, enough: float = 0.1) -> list[tuple[int, int]]:
         """(row, score) of the k best rows but `own` (-1: none), with all that tie with the last."""
         n, dims = self.vectors.shape
-        if self.biggest * int(np.abs(q).max(initial=0)) * max(1, dims) >= 1 << 52:
-            return self._best(np.arange(n), q.astype(object), k, own)
+        largest = int(np.abs(q).max(initial=0))
+        if self.biggest * largest * max(1, dims) >= 1 << 52:
+            return self._best(np.arange(n), q.astype(object), k, own)  # too large to add up in the accumulators' type
         left = np.arange(n)
         if n > 4 * k + 64 and dims:
             left = self._possible(q.astype(np.float64), k + (own >= 0), max(2 * k, enough * n))
@@ -68,14 +70,20 @@ class Block:
         np.minimum.at(floor, self.dim, worst)
         impact = best - floor[self.dim]
         order = np.argsort(-impact, kind="stable")
-        # what each dimension can still add once the first i segments are done
-        acc = np.zeros(n)
-        for i in range(0, len(order), _ROUND):
-            now = order[i : i + _ROUND]
-            at = np.concatenate([np.arange(x, y) for x, y in zip(self.cut[now].tolist(), self.cut[now + 1].tolist(), strict=True)])
-            size = self.cut[now + 1] - self.cut[now]
-            acc += np.bincount(self.rows[at], np.repeat(q[self.dim[now]], size) * self.values[at] - np.repeat(floor[self.dim[now]], size), n)
-            rest = order[i + _ROUND :]
+        done = np.zeros(dims, np.int64)  # segments of each dimension that are in the accumulators, from its better end
+        segments = np.bincount(self.dim, minlength=dims)
+        first = np.concatenate([[0], np.cumsum(segments)])
+        # half as wide where sums of what is added can't overflow
+        values = self.narrow if self.biggest * float(np.abs(q).max()) * dims < 1 << 30 and self.narrow is not None else self.values
+        acc, whole, base = np.zeros(n, values.dtype), q.astype(values.dtype), floor.astype(values.dtype)
+        for i in range(0, len(order), _ROUND * max(1, dims // 32)):
+            upto = done + np.bincount(self.dim[order[i : i + _ROUND * max(1, dims // 32)]], minlength=dims)
+            for d in np.flatnonzero(upto > done).tolist():
+                x, y = (first[d] + done[d], first[d] + upto[d]) if q[d] >= 0 else (first[d + 1] - upto[d], first[d + 1] - done[d])
+                x, y = self.cut[x], self.cut[y]
+                acc[self.rows[x:y]] += whole[d] * values[x:y] - base[d]
+            done = upto
+            rest = order[i + _ROUND * max(1, dims // 32) :]
             to_come = np.zeros(dims)
             np.maximum.at(to_come, self.dim[rest], impact[rest])
             sure = np.partition(acc, n - k)[n - k]
