@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from .decontaminate import op7_decontamination
+from .jaccard_join import op9_jaccard_join
 from .language_id import op5_language_id
 from .packing import op2_packing
 from .token_counts import op1_token_counts
@@ -12,7 +13,7 @@ from .topk_search import OP3_SQL, op3_topk_search
 
 
 def queries() -> dict[str, Callable]:
-    return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_topk_search, op5_language_id, op7_decontamination)}
+    return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_topk_search, op5_language_id, op7_decontamination, op9_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
