@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import table, text_or_empty, written
 
-GRID = 16
+GRID = 32
+#: ASCII characters that are neither letters nor digits nor space; a run of them is one part.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _K1, _B = 1.2, 0.75
 
 
@@ -38,7 +40,7 @@ class Encoder:
     library whole.
     """
 
-    REMEMBERED = 500_000
+    REMEMBERED = 1_000_000
     #: As in the tokenizer file, for the characters that _PLAIN allows.
     _PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
     _PLAIN = r"[\x21-\x7e\xa1-ɏ]+"
@@ -62,41 +64,49 @@ class Encoder:
         """Puts the ids of words into self.words."""
         if len(self.words) + len(words) > self.REMEMBERED:
             self.words = {"": b""}
-        if len(self.pieces) > self.REMEMBERED:
+        if len(self.pieces) > self.REMEMBERED // 2:
             self.pieces = {}
-        split, whole = {}, []
-        for w in words:
-            if self.plain(w) and "<|" not in w:
-                split[w] = self.parts(w.lower())
+        known, pieces, plain = self.words, self.pieces, self.plain
+        simple, split, whole, new = [], [], [], {}
+        for w in words:  # letters and then marks are two parts, or one
+            core = w.rstrip(_MARKS)
+            if core.isalpha() and (core.isascii() or plain(core)):
+                key = core.lower()
+                simple.append((w, key, w[len(core) :]))
+                if key not in pieces:
+                    new[key] = None
+            elif plain(w) and "<|" not in w:
+                parts = self.parts(w.lower())
+                split.append((w, parts))
+                new.update(dict.fromkeys(p for p in parts if p not in pieces))
             else:
                 whole.append(w)
-        new = list({p for parts in split.values() for p in parts} - self.pieces.keys())
         together = [p for p in new if p.isalpha()]
-        for i in range(0, len(together), 400):
-            some = together[i : i + 400]
+        for i in range(0, len(together), 1000):
+            some = together[i : i + 1000]
             ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            at = np.flatnonzero(self.ends[ids]) + 1
+            at, raw = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), ids.tobytes()
             if len(at) == len(some):
-                self.pieces.update(zip(some, (x.tobytes() for x in np.split(ids, at[:-1])), strict=True))
-        rest = [p for p in new if p not in self.pieces]
-        self.pieces.update(zip(rest, self._encode(rest), strict=True))
-        for w, parts in split.items():
-            self.words[w] = b"".join([self.pieces[p] for p in parts])
-        self.words.update(zip(whole, self._encode(whole), strict=True))
+                pieces.update(zip(some, [raw[x:y] for x, y in zip([0, *at], at)]))
+        marks = {m for *_, m in simple if m and m not in pieces}
+        if rest := [p for p in [*new, *marks] if p not in pieces]:
+            pieces.update(zip(rest, self._encode(rest), strict=True))
+        pieces[""] = b""
+        known.update([(w, pieces[key] + pieces[marks]) for w, key, marks in simple])
+        known.update([(w, b"".join([pieces[p] for p in parts])) for w, parts in split])
+        if whole:
+            known.update(zip(whole, self._encode(whole), strict=True))
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """Of each text, as little-endian unsigned 32-bit numbers."""
         for i in range(0, len(texts), 64):
             split = [t.replace("\n", " ").split(" ") for t in texts[i : i + 64]]
-            if new := {w for words in split for w in words if w not in self.words}:
+            found = [list(map(self.words.get, words)) for words in split]
+            if new := {w for words, ids in zip(split, found) if None in ids for w, x in zip(words, ids) if x is None}:
                 self._learn(new)
-                for words in split:  # the dictionary may have been emptied meanwhile
-                    if lost := {w for w in words if w not in self.words}:
-                        self._learn(lost)
-                    yield b"".join(map(self.words.__getitem__, words))
-            else:
-                for words in split:
-                    yield b"".join(map(self.words.__getitem__, words))
+                known = self.words
+                found = [[known[w] if x is None else x for w, x in zip(words, ids)] if None in ids else ids for words, ids in zip(split, found)]
+            yield from map(b"".join, found)
 
 
 _encoders: dict[str, Encoder] = {}
