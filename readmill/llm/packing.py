@@ -15,6 +15,7 @@ shuffled: crc(B) = crc(AB) ^ shift(crc(A), |B|).
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,87 +27,65 @@ from pyspark.sql import functions as F
 from .common import table, text_or_empty, written
 
 GRID = 32
-#: ASCII characters that are neither letters nor digits nor space; a run of them is one part.
-_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _K1, _B = 1.2, 0.75
 
 
 class Encoder:
-    """Ids by the tokenizers library, remembered for each word between spaces or line ends.
+    """Ids by the tokenizers library, remembered for each part.
 
-    Spaces and line ends separate whatever the library's pre-tokeniser keeps together, so a text's
-    ids are those of its words in order. A new word of plain Latin letters is taken apart as the
-    pre-tokeniser does, and new parts are encoded many at a time; any other word goes to the
-    library whole.
+    The library's pre-tokeniser takes a lower-cased text apart into contractions, runs of letters,
+    single numerals and runs of other marks, and each part is encoded for itself. Texts of the
+    characters in _PLAIN only (composed Latin letters, digits, common marks) are taken apart here
+    by the same rule, and each part is encoded by the library once, many together; any other text
+    goes to the library whole.
     """
 
     REMEMBERED = 1_000_000
-    #: As in the tokenizer file, for the characters that _PLAIN allows.
-    _PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-    _PLAIN = r"[\x21-\x7e\xa1-ɏ]+"
+    _LETTERS, _NUMERALS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
+    _PLAIN = "[\n\x20-\x7e\xa1-\xac\xae-\u024f\u2010-\u2027]*"
 
     def __init__(self, file: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(file)
-        self.parts, self.plain = regex.compile(self._PARTS).findall, regex.compile(self._PLAIN).fullmatch
+        self.plain = re.compile(self._PLAIN).fullmatch
+        self.apart = re.compile(f"('(?:s|t|re|ve|m|ll|d)|[^{self._LETTERS}{self._NUMERALS}\\s]+|[{self._NUMERALS}])").sub
         self.ends = np.zeros(self.library.get_vocab_size() + 1, bool)
         for token, i in self.library.get_vocab(False).items():
             self.ends[i] = token.endswith("</w>")
-        self.words: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[str]) -> None:
-        """Puts the ids of words into self.words."""
-        if len(self.words) + len(words) > self.REMEMBERED:
-            self.words = {"": b""}
-        if len(self.pieces) > self.REMEMBERED // 2:
-            self.pieces = {}
-        known, pieces, plain = self.words, self.pieces, self.plain
-        simple, split, whole, new = [], [], [], {}
-        for w in words:  # letters and then marks are two parts, or one
-            core = w.rstrip(_MARKS)
-            if core.isalpha() and (core.isascii() or plain(core)):
-                key = core.lower()
-                simple.append((w, key, w[len(core) :]))
-                if key not in pieces:
-                    new[key] = None
-            elif plain(w) and "<|" not in w:
-                parts = self.parts(w.lower())
-                split.append((w, parts))
-                new.update(dict.fromkeys(p for p in parts if p not in pieces))
-            else:
-                whole.append(w)
-        together = [p for p in new if p.isalpha()]
-        for i in range(0, len(together), 1000):
-            some = together[i : i + 1000]
+    def _learn(self, new: list[str]) -> None:
+        """Puts the ids of parts into self.parts."""
+        words, rest = [], []
+        for p in new:
+            (words if p.isalpha() else rest).append(p)
+        for i in range(0, len(words), 1000):
+            some = words[i : i + 1000]
             ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
             at, raw = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), ids.tobytes()
             if len(at) == len(some):
-                pieces.update(zip(some, [raw[x:y] for x, y in zip([0, *at], at)]))
-        marks = {m for *_, m in simple if m and m not in pieces}
-        if rest := [p for p in [*new, *marks] if p not in pieces]:
-            pieces.update(zip(rest, self._encode(rest), strict=True))
-        pieces[""] = b""
-        known.update([(w, pieces[key] + pieces[marks]) for w, key, marks in simple])
-        known.update([(w, b"".join([pieces[p] for p in parts])) for w, parts in split])
-        if whole:
-            known.update(zip(whole, self._encode(whole), strict=True))
+                self.parts.update(zip(some, [raw[x:y] for x, y in zip([0, *at], at)]))
+            else:
+                rest += some
+        self.parts.update(zip(rest, self._encode(rest), strict=True))
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """Of each text, as little-endian unsigned 32-bit numbers."""
         for i in range(0, len(texts), 64):
-            split = [t.replace("\n", " ").split(" ") for t in texts[i : i + 64]]
-            found = [list(map(self.words.get, words)) for words in split]
-            if new := {w for words, ids in zip(split, found) if None in ids for w, x in zip(words, ids) if x is None}:
-                self._learn(new)
-                known = self.words
-                found = [[known[w] if x is None else x for w, x in zip(words, ids)] if None in ids else ids for words, ids in zip(split, found)]
-            yield from map(b"".join, found)
+            some = texts[i : i + 64]
+            split = [self.apart(r" \1 ", t.lower()).split() if self.plain(t) and "<|" not in t else None for t in some]
+            used = set().union(*filter(None, split))
+            if len(self.parts) + len(used) > self.REMEMBERED:
+                self.parts = {}
+            if new := used.difference(self.parts):
+                self._learn(list(new))
+            get = self.parts.__getitem__
+            for t, parts in zip(some, split, strict=True):
+                yield self._encode([t])[0] if parts is None else b"".join(map(get, parts))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -210,11 +189,12 @@ class Shard:
     def __init__(self, rest: np.ndarray, lengths: np.ndarray, terms: list[np.ndarray], tfs: list[np.ndarray], idf: np.ndarray, mean: float, query_terms: int):
         self.rest, self.query_terms = rest, query_terms
         sizes = np.array([len(t) for t in terms], np.int64)
-        doc = np.repeat(np.arange(len(terms)), sizes)
-        term = np.concatenate(terms).astype(np.int64) if terms else np.zeros(0, np.int64)
+        doc = np.repeat(np.arange(len(terms), dtype=np.int32), sizes)
+        term = np.concatenate(terms) if terms else np.zeros(0, np.uint16)  # 16 bits sort by radix
         tf = np.concatenate(tfs).astype(np.float32) if terms else np.zeros(0, np.float32)
         self.at = np.concatenate([[0], np.cumsum(sizes)])
-        self.term, self.weight = term, (idf[term] * tf * (_K1 + 1) / (tf + _K1 * (1 - _B + _B * lengths[doc] / mean))).astype(np.float32)
+        norm = (_K1 * (1 - _B + _B * lengths / mean)).astype(np.float32)
+        self.term, self.weight = term, idf[term] * tf * np.float32(_K1 + 1) / (tf + norm[doc])
         order = np.argsort(term, kind="stable")
         self.by_term, self.doc, self.impact = term[order], doc[order], self.weight[order]
 
