@@ -53,7 +53,7 @@ class Encoder:
         self.ends = np.zeros(self.library.get_vocab_size() + 1, bool)
         for token, i in self.library.get_vocab(False).items():
             self.ends[i] = token.endswith("</w>")
-        self.parts: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch(texts, add_special_tokens=False)]
@@ -73,19 +73,38 @@ class Encoder:
                 rest += some
         self.parts.update(zip(rest, self._encode(rest), strict=True))
 
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """Of each text, as little-endian unsigned 32-bit numbers."""
-        for i in range(0, len(texts), 64):
-            some = texts[i : i + 64]
-            split = [self.apart(r" \1 ", t.lower()).split() if self.plain(t) and "<|" not in t else None for t in some]
-            used = set().union(*filter(None, split))
-            if len(self.parts) + len(used) > self.REMEMBERED:
-                self.parts = {}
-            if new := used.difference(self.parts):
-                self._learn(list(new))
-            get = self.parts.__getitem__
-            for t, parts in zip(some, split, strict=True):
-                yield self._encode([t])[0] if parts is None else b"".join(map(get, parts))
+    def ids(self, texts: list[str], chars: int = 4_000_000) -> Iterator[np.ndarray]:
+        """Of each text, as unsigned 32-bit numbers."""
+        at = 0
+        while at < len(texts):
+            end, n = at, 0
+            while end < len(texts) and (end == at or n + len(texts[end]) <= chars):
+                n += len(texts[end])
+                end += 1
+            yield from self._some(texts[at:end])
+            at = end
+
+    def _some(self, texts: list[str]) -> Iterator[np.ndarray]:
+        import pyarrow.compute as pc
+
+        plain = [bool(self.plain(t)) and "<|" not in t for t in texts]
+        split = pc.ascii_split_whitespace(pa.array([self.apart(r" \1 ", t.lower()) if p else "" for t, p in zip(texts, plain, strict=True)], pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        used = coded.dictionary.to_pylist()
+        if len(self.parts) + len(used) > self.REMEMBERED:
+            self.parts = {"": b""}
+        if new := [p for p in used if p not in self.parts]:
+            self._learn(new)
+        raw = list(map(self.parts.__getitem__, used))
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        flat = np.frombuffer(b"".join(raw), "<u4")
+        part = coded.indices.to_numpy()
+        lengths = size[part]
+        ends = np.cumsum(lengths)
+        ids = flat[np.repeat((np.cumsum(size) - size)[part] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        of_text = np.concatenate([[0], ends])[split.offsets.to_numpy()].tolist()
+        for i, p in enumerate(plain):
+            yield ids[of_text[i] : of_text[i + 1]] if p else np.frombuffer(self._encode([texts[i]])[0], "<u4")
 
 
 _encoders: dict[str, Encoder] = {}
@@ -143,15 +162,15 @@ def encoded(docs: DataFrame, file: str, end_id: int, window: int, id_col: str, t
         e = _encoder(file)
         for b in batches:
             cols: list[list] = [[] for _ in range(9)]
-            for raw in e.ids(b.column("t").to_pylist()):
-                ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id))
+            for ids in e.ids(b.column("t").to_pylist()):
+                ids = np.append(ids, np.uint32(end_id))
                 data, cut = memoryview(ids.tobytes()), len(ids) // window * window
                 crcs = [zlib.crc32(data[4 * i : 4 * (i + window)]) for i in range(0, cut, window)]
                 grid, crc = [], 0
                 for i in range(4 * cut, len(data), 4 * GRID):
                     crc = zlib.crc32(data[i : i + 4 * GRID], crc)
                     grid.append(crc)
-                terms, tf = np.unique(ids, return_counts=True)
+                terms, tf = _counted(ids)
                 rare = [*terms[-3:][::-1].tolist(), -1, -1][:3]
                 for c, x in zip(cols, (len(ids), np.array(crcs, "<u4").tobytes(), len(ids) - cut, np.array(grid, "<u4").tobytes(), terms.astype("<u2" if terms[-1] < 65536 else "<u4").tobytes(), np.minimum(tf, 65535).astype("<u2").tobytes(), *rare), strict=True):
                     c.append(x)
@@ -162,6 +181,13 @@ def encoded(docs: DataFrame, file: str, end_id: int, window: int, id_col: str, t
     return docs.mapInArrow(run, _ENCODED)
 
 
+def _counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids ascending, and how often each occurs; 16 bits sort by radix."""
+    s = np.sort(ids.astype(np.uint16) if ids.max() < 65536 else ids, kind="stable")
+    at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    return s[at], np.diff(np.append(at, len(s)))
+
+
 def _numbers(x: bytes, n: int) -> np.ndarray:
     return np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4")
 
@@ -196,54 +222,56 @@ class Shard:
         norm = (_K1 * (1 - _B + _B * lengths / mean)).astype(np.float32)
         self.term, self.weight = term, idf[term] * tf * np.float32(_K1 + 1) / (tf + norm[doc])
         order = np.argsort(term, kind="stable")
-        self.by_term, self.doc, self.impact = term[order], doc[order], self.weight[order]
+        self.doc, self.impact = doc[order].astype(np.int64), self.weight[order]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(idf)))]).tolist()
 
-    def neighbours(self, seed: int) -> np.ndarray:
-        """Leftovers that share one of the seed's best-weighted terms, by descending BM25 score, ties by place."""
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of every leftover for the seed's best-weighted terms."""
         lo, hi = self.at[seed], self.at[seed + 1]
         w = self.weight[lo:hi]
         best = np.argpartition(-w, self.query_terms)[: self.query_terms] if len(w) > self.query_terms else np.arange(len(w))
-        terms = self.term[lo:hi][best]
         score = np.zeros(len(self.rest), np.float32)
-        for a, b in zip(np.searchsorted(self.by_term, terms), np.searchsorted(self.by_term, terms, "right"), strict=True):
+        for t in self.term[lo:hi][best].tolist():
+            a, b = self.first[t], self.first[t + 1]
             score[self.doc[a:b]] += self.impact[a:b]
-        score[self.rest <= 0] = 0
-        found = np.flatnonzero(score)
-        return found[np.lexsort((found, -score[found]))]
+        return score
 
     def pack(self, window: int) -> Iterator[list[tuple[int, int, int]]]:
         """Sequences as (leftover, start in it, length); each leftover goes once, in one piece or cut at the grid."""
         rest, start = self.rest, np.zeros(len(self.rest), np.int64)
-        order = np.argsort(-rest, kind="stable")
-        next_unused = 0
-        for seed in order.tolist():
+        order = np.argsort(-rest, kind="stable").tolist()
+        unused = len(order) - 1  # the shortest that may be left
+        for seed in order:
             if rest[seed] <= 0:
                 continue
             room, out = window, []
 
             def take(d: int, n: int) -> None:
                 nonlocal room
-                out.append((d, int(start[d]), int(n)))
+                out.append((d, int(start[d]), n))
                 start[d] += n
                 rest[d] -= n
-                room -= int(n)
-
-            take(seed, rest[seed])
-            if room >= GRID:
-                near = self.neighbours(seed)
-                while room >= GRID and len(near):
-                    fits = np.flatnonzero(rest[near] <= room)
-                    if not len(fits):
-                        take(near[0], room // GRID * GRID)
-                        break
-                    take(near[fits[0]], rest[near[fits[0]]])
-                    near = np.delete(near, fits[0])
-                while room >= GRID and next_unused < len(order):
-                    d = order[len(order) - 1 - next_unused]
-                    if rest[d] <= 0:
-                        next_unused += 1
-                    else:
-                        take(d, rest[d] if rest[d] <= room else room // GRID * GRID)
+                room -= n
+
+            take(seed, int(rest[seed]))
+            score = self.scores(seed) if room >= GRID else None
+            while room >= GRID:
+                # the best that fits, of equals the first; else the best is cut
+                fits = np.where((rest > 0) & (rest <= room), score, 0)
+                d = int(fits.argmax())
+                if fits[d] > 0:
+                    take(d, int(rest[d]))
+                    continue
+                d = int(np.where(rest > 0, score, 0).argmax())
+                if score[d] > 0 and rest[d] > 0:
+                    take(d, room // GRID * GRID)
+                    break
+                while unused >= 0 and rest[order[unused]] <= 0:
+                    unused -= 1
+                if unused < 0:
+                    break
+                d = order[unused]
+                take(d, int(rest[d]) if rest[d] <= room else room // GRID * GRID)
             yield out
 
 
