@@ -25,11 +25,11 @@ def kmer_counts(reads: DataFrame, k: int, seq: str = "seq", with_n: bool = False
     w = S.windows(F.col(seq), k)
     if not with_n:
         w = F.filter(w, lambda x: ~S.has_n(x))
-    canon = F.array_sort(F.transform(w, S.canonical))
-    at = F.filter(F.transform(canon, lambda x, i: F.when((i == 0) | (F.get(canon, i - 1) != x), i)), lambda i: i.isNotNull())
-    ends = F.concat(F.slice(at, 2, F.size(at)), F.array(F.size(canon)))
-    rows = reads.select(F.explode(F.transform(at, lambda a, j: F.struct(F.get(canon, a).alias("canon"), (F.get(ends, j) - a).alias("c")))).alias("x"))
-    return rows.groupBy(F.col("x.canon").alias("canon")).agg(F.sum("x.c").cast("bigint").alias("n"), F.count(F.lit(1)).alias("d"))
+    # exploding an array of one keeps the sorted k-mers from being computed again for every element
+    rows = reads.select(F.explode(F.array(F.array_sort(F.transform(w, S.canonical)))).alias("c"))
+    each = F.transform("c", lambda x, i: F.struct(x.alias("canon"), F.when((i == 0) | (F.get("c", i - 1) != x), 1).otherwise(0).alias("first")))
+    rows = rows.select(F.explode(each).alias("x"))
+    return rows.groupBy(F.col("x.canon").alias("canon")).agg(F.count(F.lit(1)).alias("n"), F.sum("x.first").alias("d"))
 
 
 def document_frequency(rows: DataFrame, read: str = "read_id", with_n: bool = False) -> DataFrame:
