@@ -46,6 +46,25 @@ def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Arrow batches of few rows, as a row may hold a long text."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+_caches: list[dict] = []
+
+
+def only(cache: dict) -> dict:
+    """The cache, after emptying those of other operators in this worker process: workers outlive queries."""
+    if not any(c is cache for c in _caches):
+        _caches.append(cache)
+    for c in _caches:
+        if c is not cache:
+            c.clear()
+    return cache
+
+
 def tasks(spark: SparkSession) -> int:
     """Partitions for a shuffle of the size at hand, as the session sets it."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

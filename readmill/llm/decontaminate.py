@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import bounded_batches, table, text_or_empty
 
 #: Bytes of words stay (A-Z lower-cased), others become spaces; bytes of non-ASCII characters are 0x80 and above.
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -148,6 +148,7 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 5,
     """
     if not 1 <= k <= span:
         raise ValueError("k must be from 1 to span")
+    bounded_batches(docs.sparkSession)
     items = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), text_or_empty(item_text).alias("t"))
     n_words = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = -(-n_words // (2 * max_words)) or 1  # a word and what follows it take two bytes at least

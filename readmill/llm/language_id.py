@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import bounded_batches, only, table, text_or_empty
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _PIECE = 1 << 20  # characters of a text whose n-grams are held at once
@@ -27,7 +27,7 @@ UNDETERMINED = "und"
 class Vectors:
     """Letter and n-gram vectors, made when first met."""
 
-    REMEMBERED = 60_000  # n-gram vectors; 60 MB at 1024 dimensions
+    REMEMBERED = 30_000  # n-gram vectors; 30 MB at 1024 dimensions
 
     def __init__(self, dims: int, n: int, seed: int):
         self.dims, self.n, self.seed = dims, n, seed
@@ -121,7 +121,7 @@ _vectors: dict[tuple, Vectors] = {}
 
 def _shared(dims: int, n: int, seed: int) -> Vectors:
     """One for each worker process."""
-    if (dims, n, seed) not in _vectors:
+    if (dims, n, seed) not in only(_vectors):
         _vectors[dims, n, seed] = Vectors(dims, n, seed)
     return _vectors[dims, n, seed]
 
@@ -132,6 +132,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", k
     Rows without a language or text are left out. The prototypes are as many as languages, of dims
     numbers each.
     """
+    bounded_batches(labelled.sparkSession)
     labelled = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(key_col).cast("string").alias("key"), F.col(text_col).alias("t"))
     sizes = labelled.groupBy("lang").count()
     place = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -165,6 +166,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
     `und` with score 0 for null texts, texts without letters, and where there is no prototype. Ties
     go to the language first in order. Ids may be null or repeated.
     """
+    bounded_batches(docs.sparkSession)
     langs = sorted(prototypes)
     matrix = np.stack([prototypes[x] for x in langs]) if langs else np.zeros((0, 1), np.float32)
     keep = keep or []

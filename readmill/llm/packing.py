@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty, written
+from .common import bounded_batches, only, table, text_or_empty, written
 
 GRID = 32
 _K1, _B = 1.2, 0.75
@@ -112,7 +112,7 @@ _encoders: dict[str, Encoder] = {}
 
 def _encoder(file: str) -> Encoder:
     """One for each worker process."""
-    if file not in _encoders:
+    if file not in only(_encoders):
         _encoders[file] = Encoder(file)
     return _encoders[file]
 
@@ -288,6 +288,7 @@ def pack(docs: DataFrame, file: str, end_id: int = 2, window: int = 4096, shard_
     if window % GRID:
         raise ValueError(f"window must be a multiple of {GRID}")
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = written(encoded(docs, file, end_id, window, id_col, text_col))
     n, total, left = rows.agg(F.count(F.lit(1)), F.sum("n"), F.sum("rest")).first()
     if not n:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, tasks, text_or_empty
+from .common import bounded_batches, only, table, tasks, text_or_empty
 
 SPACE = "▁"
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -172,7 +172,7 @@ _compiled: dict[str, CountTransducer] = {}
 
 def _transducer(model_file: str) -> CountTransducer:
     """One for each worker process."""
-    if model_file not in _compiled:
+    if model_file not in only(_compiled):
         _compiled[model_file] = CountTransducer.from_model(model_file)
     return _compiled[model_file]
 
@@ -188,6 +188,7 @@ def count_tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
     repeated results, other columns are ignored whatever their names. Texts above chunk_chars are
     cut into chunks that are mapped by any task; no text is cut short. An empty table gives none.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t"))
     docs = docs.withColumn("n_bytes", F.octet_length("t").cast("long"))
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, table
 
 _TAG = r"""<[!/?a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|<[!/?a-zA-Z][^>]*+>"""
 _DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)", re.S | re.I)
@@ -92,6 +92,7 @@ def derivatives(responses: DataFrame) -> DataFrame:
     Repeated responses give repeated records with the same ids. Other columns are ignored. An
     empty table gives none.
     """
+    bounded_batches(responses.sparkSession)
     kind = responses.schema["source"].dataType.simpleString()
     text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("record_id", "target_uri", "date", "http", "payload")]
     schema = f"source {kind}, {_RECORD}"
