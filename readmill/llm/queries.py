@@ -9,6 +9,7 @@ from .jaccard_join import op9_jaccard_join
 from .language_id import op5_language_id
 from .packing import op2_packing
 from .pii_surrogates import op6_pii_surrogates
+from .repeats import op10_repeats
 from .secret_scan import op8_secret_scan
 from .token_counts import op1_token_counts
 from .topk_search import OP3_SQL, op3_topk_search
@@ -16,7 +17,7 @@ from .warc import op4_warc
 
 
 def queries() -> dict[str, Callable]:
-    return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_topk_search, op4_warc, op5_language_id, op6_pii_surrogates, op7_decontamination, op8_secret_scan, op9_jaccard_join)}
+    return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_topk_search, op4_warc, op5_language_id, op6_pii_surrogates, op7_decontamination, op8_secret_scan, op9_jaccard_join, op10_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
