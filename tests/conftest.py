@@ -45,7 +45,9 @@ def same_as_sql(sf):
         c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
 
     def check(df, sql):
-        exp = c.execute(sql).arrow().read_all().to_pylist()
+        found = c.execute(sql)
+        names = [x[0] for x in found.description]
+        exp = [dict(zip(names, r, strict=True)) for r in found.fetchall()]
         got = [r.asDict() for r in df.collect()]
         assert sorted(df.columns) == sorted(exp[0]) if exp else True
         key = lambda r: repr(sorted((k, float(v) if isinstance(v, float) else v) for k, v in r.items()))
