@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,12 +63,19 @@ def only(cache: dict) -> dict:
     """The cache, after emptying those of other operators in this worker process: workers outlive queries."""
     if not any(c is cache for c in _caches):
         _caches.append(cache)
-    for c in _caches:
-        if c is not cache:
+    if others := [c for c in _caches if c and c is not cache]:
+        for c in others:
             c.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # back to the system, where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
     return cache
 
 
+no_cache: dict = {}
+
+
 def tasks(spark: SparkSession) -> int:
     """Partitions for a shuffle of the size at hand, as the session sets it."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, only, table, text_or_empty, written
+from .common import bounded_batches, no_cache, only, table, text_or_empty, written
 
 GRID = 32
 _K1, _B = 1.2, 0.75
@@ -40,7 +40,7 @@ class Encoder:
     goes to the library whole.
     """
 
-    REMEMBERED = 1_000_000
+    REMEMBERED = 800_000
     _LETTERS, _NUMERALS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
     _PLAIN = "[\n\x20-\x7e\xa1-\xac\xae-\u024f\u2010-\u2027]*"
 
@@ -73,7 +73,7 @@ class Encoder:
                 rest += some
         self.parts.update(zip(rest, self._encode(rest), strict=True))
 
-    def ids(self, texts: list[str], chars: int = 4_000_000) -> Iterator[np.ndarray]:
+    def ids(self, texts: list[str], chars: int = 2_000_000) -> Iterator[np.ndarray]:
         """Of each text, as unsigned 32-bit numbers."""
         at = 0
         while at < len(texts):
@@ -301,6 +301,7 @@ def pack(docs: DataFrame, file: str, end_id: int = 2, window: int = 4096, shard_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        only(no_cache)
         rows = [r for b in batches for r in b.to_pylist()]
         first = TaskContext.get().partitionId() << 36
         rows.sort(key=lambda r: (r["k1"], r["k2"], r["k3"], r["doc_id"] is None, r["doc_id"], r["n"], r["grid"]))
