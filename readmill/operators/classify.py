@@ -6,23 +6,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readmill.functions import sequences as S
+from readmill.storage import materialized
 
 from . import kmers as K
 
 
-def closure(taxonomy: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(taxid, ancestor, up): every taxon with itself (0) and its ancestors, by doubling the parent links."""
-    base = taxonomy.select("taxid", F.when(F.col("parent") != F.col("taxid"), F.col("parent")).alias("parent"))
-    up = base.select("taxid", F.col("taxid").alias("ancestor"), F.lit(0).alias("up")).unionByName(base.where("parent is not null").select("taxid", F.col("parent").alias("ancestor"), F.lit(1).alias("up")))
-    step = 1
-    while step < max_depth:
-        far = up.where(F.col("up") == step).select("taxid", F.col("ancestor").alias("_m"))
-        more = far.join(up.where("up > 0").select(F.col("taxid").alias("_m"), "ancestor", (F.col("up") + step).alias("up")), "_m").select("taxid", "ancestor", "up")
-        if step > 1 and more.isEmpty():
+def closure(taxonomy: DataFrame) -> DataFrame:
+    """(taxid, ancestor, up): every taxon with itself (0) and its ancestors.
+
+    Paths double in length with each round, so there are as many rounds as the depth's logarithm.
+    """
+    parent = F.when(F.col("parent") != F.col("taxid"), F.col("parent"))
+    paths = materialized(taxonomy.select("taxid", F.array("taxid").alias("path"), parent.alias("next")))
+    for _ in range(32):
+        if paths.where("next is not null").isEmpty():
             break
-        up = up.unionByName(more).distinct()
-        step *= 2
-    return up
+        further = paths.select(F.col("taxid").alias("next"), F.col("path").alias("more"), F.col("next").alias("then"))
+        paths = materialized(paths.join(further, "next", "left").select("taxid", F.concat("path", F.coalesce("more", F.array().cast("array<bigint>"))).alias("path"), F.col("then").alias("next")))
+    else:
+        raise ValueError("a taxon is its own ancestor")
+    return materialized(paths.select("taxid", F.posexplode("path").alias("up", "ancestor")).select("taxid", "ancestor", "up"))
 
 
 def preorder_parents(report: DataFrame, keys: list[str]) -> DataFrame:
@@ -32,10 +35,10 @@ def preorder_parents(report: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("parent", F.last(F.when(F.col("_asks") == 0, F.col("taxid")), ignorenulls=True).over(w)).where("_asks = 1").drop("_asks", "_level")
 
 
-def kmer_taxa(references: DataFrame, taxonomy: DataFrame, k: int) -> DataFrame:
+def kmer_taxa(references: DataFrame, taxonomy: DataFrame, k: int, up: DataFrame | None = None) -> DataFrame:
     """(canon, taxid): each k-mer's lowest common ancestor over the references (taxid, seq) that hold it."""
     rows = K.kmer_rows(references.withColumn("read_id", F.col("taxid")), k, keys=("taxid",)).where("not has_n").select("canon", "taxid").distinct()
-    up = closure(taxonomy)
+    up = closure(taxonomy) if up is None else up
     shared = rows.join(up, "taxid").groupBy("canon", "ancestor").agg(F.count(F.lit(1)).alias("c"))
     total = rows.groupBy("canon").agg(F.count(F.lit(1)).alias("n"))
     depth = up.groupBy("taxid").agg(F.max("up").alias("depth")).withColumnRenamed("taxid", "ancestor")
@@ -43,7 +46,7 @@ def kmer_taxa(references: DataFrame, taxonomy: DataFrame, k: int) -> DataFrame:
     return common.groupBy("canon").agg(F.max_by("ancestor", F.struct(F.col("depth"), -F.col("ancestor"))).alias("taxid"))
 
 
-def classify(reads: DataFrame, table: DataFrame, taxonomy: DataFrame, k: int, quick_hits: int = 0) -> DataFrame:
+def classify(reads: DataFrame, table: DataFrame, taxonomy: DataFrame, k: int, quick_hits: int = 0, up: DataFrame | None = None) -> DataFrame:
     """(read_id, taxid, hits) for every read; taxid 0 where no k-mer is known.
 
     The table is joined by a shuffle on the k-mer. quick_hits > 0: only the first hits of a read count.
@@ -52,8 +55,8 @@ def classify(reads: DataFrame, table: DataFrame, taxonomy: DataFrame, k: int, qu
     if quick_hits:
         w = Window.partitionBy("read_id").orderBy("pos")
         rows = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= quick_hits)
-    hits = rows.groupBy("read_id", "taxid").agg(F.count(F.lit(1)).alias("hits"))
-    up = closure(taxonomy)
+    hits = materialized(rows.groupBy("read_id", "taxid").agg(F.count(F.lit(1)).alias("hits")))
+    up = closure(taxonomy) if up is None else up
     path = hits.select("read_id", "taxid").join(up, "taxid").join(hits.select("read_id", F.col("taxid").alias("ancestor"), "hits"), ["read_id", "ancestor"])
     scores = path.groupBy("read_id", "taxid").agg(F.sum("hits").alias("hits"))
     best = scores.withColumn("_m", F.max("hits").over(Window.partitionBy("read_id"))).where("hits = _m")

@@ -384,8 +384,8 @@ def classify_reads(spark: SparkSession, d: str) -> DataFrame:
     """Documents as reads, benchmark items as references of nations in the tree of regions."""
     items = _table(spark, d, "benchmark").select((F.col("item_id") % 25 + 100).cast("bigint").alias("taxid"), F.translate(_letters(), _LETTERS, _BASES).alias("seq"))
     tree = _tree(spark, d).where("rank <> 'species'")
-    docs = _table(spark, d, "documents").select(F.col("doc_id").alias("read_id"), F.translate(_letters(), _LETTERS, _BASES).alias("seq"))
-    return C.classify(docs, C.kmer_taxa(items, tree, 31), tree, 31)
+    up = C.closure(tree)
+    return C.classify(reads(spark, d), C.kmer_taxa(items, tree, 31, up), tree, 31, up=up)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
