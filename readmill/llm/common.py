@@ -2,54 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readmill.storage import materialized as written  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = current.get() if current.isDefined() else None
-    if not at:
-        at = tempfile.mkdtemp(prefix="readmill-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may have ended first; the folder is temporary anyway
-        pass
-
-
-def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """df written as a Parquet table in the shared folder and read again: cuts lineage, survives lost executors.
-
-    The table goes when the driver's Python ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/readmill-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Arrow batches of few rows, as a row may hold a long text."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
