@@ -23,6 +23,13 @@ def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def salted_join(large: DataFrame, small: DataFrame, keys: list[str], by: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """large joined with small (one row for each key), where one key may hold a large part of large: its rows are dealt by a hash of `by` too."""
+    salt = F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")
+    each = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return large.withColumn("_salt", salt).join(each, [*keys, "_salt"], how).drop("_salt")
+
+
 _caches: list[dict] = []
 
 
