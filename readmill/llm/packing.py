@@ -49,7 +49,7 @@ class Encoder:
 
         self.library = Tokenizer.from_file(file)
         self.plain = re.compile(self._PLAIN).fullmatch
-        self.apart = re.compile(f"('(?:s|t|re|ve|m|ll|d)|[^{self._LETTERS}{self._NUMERALS}\\s]+|[{self._NUMERALS}])").sub
+        self.apart = f"('(?:s|t|re|ve|m|ll|d)|[^{self._LETTERS}{self._NUMERALS}\\s]+|[{self._NUMERALS}])"
         self.ends = np.zeros(self.library.get_vocab_size() + 1, bool)
         for token, i in self.library.get_vocab(False).items():
             self.ends[i] = token.endswith("</w>")
@@ -65,7 +65,7 @@ class Encoder:
             (words if p.isalpha() else rest).append(p)
         for i in range(0, len(words), 1000):
             some = words[i : i + 1000]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             at, raw = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), ids.tobytes()
             if len(at) == len(some):
                 self.parts.update(zip(some, [raw[x:y] for x, y in zip([0, *at], at)]))
@@ -73,7 +73,7 @@ class Encoder:
                 rest += some
         self.parts.update(zip(rest, self._encode(rest), strict=True))
 
-    def ids(self, texts: list[str], chars: int = 2_000_000) -> Iterator[np.ndarray]:
+    def ids(self, texts: list[str], chars: int = 3_000_000) -> Iterator[np.ndarray]:
         """Of each text, as unsigned 32-bit numbers."""
         at = 0
         while at < len(texts):
@@ -88,7 +88,8 @@ class Encoder:
         import pyarrow.compute as pc
 
         plain = [bool(self.plain(t)) and "<|" not in t for t in texts]
-        split = pc.ascii_split_whitespace(pa.array([self.apart(r" \1 ", t.lower()) if p else "" for t, p in zip(texts, plain, strict=True)], pa.large_string()))
+        lower = pa.array([t.lower() if p else "" for t, p in zip(texts, plain, strict=True)], pa.large_string())
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(lower, pattern=self.apart, replacement=r" \1 "))
         coded = split.flatten().dictionary_encode()
         used = coded.dictionary.to_pylist()
         if len(self.parts) + len(used) > self.REMEMBERED:
@@ -96,12 +97,13 @@ class Encoder:
         if new := [p for p in used if p not in self.parts]:
             self._learn(new)
         raw = list(map(self.parts.__getitem__, used))
-        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        size = np.fromiter(map(len, raw), np.int32, len(raw)) // 4
         flat = np.frombuffer(b"".join(raw), "<u4")
         part = coded.indices.to_numpy()
         lengths = size[part]
-        ends = np.cumsum(lengths)
-        ids = flat[np.repeat((np.cumsum(size) - size)[part] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        ends = np.cumsum(lengths, dtype=np.int32)  # a batch has far fewer ids than 2^31
+        start = np.cumsum(size, dtype=np.int32) - size
+        ids = flat[np.repeat(start[part] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
         of_text = np.concatenate([[0], ends])[split.offsets.to_numpy()].tolist()
         for i, p in enumerate(plain):
             yield ids[of_text[i] : of_text[i + 1]] if p else np.frombuffer(self._encode([texts[i]])[0], "<u4")
