@@ -47,6 +47,11 @@ def update_summary(old: DataFrame, results: DataFrame) -> DataFrame:
     return upsert(old, new, ["dataset", "param_set"]).orderBy("dataset", "param_set")
 
 
+def outcome(results: DataFrame) -> DataFrame:
+    """One row: how many runs succeeded (exit_code 0), failed, and in all."""
+    return results.agg(F.count_if(F.col("exit_code") == 0).alias("succeeded"), F.count_if(F.coalesce(F.col("exit_code") != 0, F.lit(True))).alias("failed"), F.count(F.lit(1)).alias("runs"))
+
+
 def plan_runs(files: DataFrame, params: DataFrame, done: DataFrame | None = None, only: str | None = None) -> DataFrame:
     """(path, dataset, param_set, ...): read files that aren't outputs or second mates, under every parameter set, less those done."""
     f = files.where(S.is_read_file(F.col("path")) & ~F.col("path").contains("_keep") & ~F.col("path").rlike(r"_R2[_.][^/]*$"))

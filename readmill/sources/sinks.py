@@ -43,6 +43,24 @@ def fixed(value: Column, places: int) -> Column:
     return F.format_string(f"%.{places}f", value.cast("double"))
 
 
+def statistics_text(k: int, max_n: int, seconds: Column | None = None) -> Column:
+    """The printed statistics of a run, from the columns of `run_statistics`; `tables.read_statistics` reads them back."""
+    c = lambda name: F.col(name).cast("string")
+    total = lambda end: (F.col(f"unpaired_{end}") + F.col(f"paired_{end}")).cast("string")
+    block = lambda title, end: [F.lit(f"{title}:\n\tunpaired: "), c(f"unpaired_{end}"), F.lit("\n\tpaired  : "), c(f"paired_{end}"), F.lit("\n\t----------\n\ttotal   : "), total(end), F.lit("\n\n")]
+    parts = [*block("Reads processed", "in"), F.lit(f"Reads shorter than k ({k}): "), c("too_short")]
+    parts += [F.lit(f"\nReads containing more than {max_n} Ns: "), c("too_many_n")] if max_n >= 0 else []
+    parts += [F.lit("\nK-mers containing N: "), c("kmers_with_n"), F.lit("\nK-mers processed: "), c("kmers"), F.lit(" (at least "), c("new_kmers"), F.lit(" different)\n"), *block("Reads accepted", "out")]
+    parts += [F.lit("n_occupied:\t"), c("n_occupied"), F.lit("\nhist 0:\t"), (F.col("total_cells") - F.col("n_occupied")).cast("string"), F.lit("\nSum over all counters: "), c("counter_sum")]
+    parts += [F.lit("\nfp:\t"), fixed(F.col("fp"), 3), F.lit(" (base: "), fixed(F.col("base"), 3), F.lit(")\nreads kept: "), fixed(F.col("reads_kept_pct"), 2), F.lit(" %\n")]
+    return F.concat(*parts, *([F.lit("time needed: "), fixed(seconds, 0), F.lit(" s\n")] if seconds is not None else []))
+
+
+def histogram_rows(stats: DataFrame) -> DataFrame:
+    """(run_id, cnt, cells) of a run's counter histogram, without empty entries."""
+    return stats.select("run_id", F.posexplode("histogram").alias("cnt", "cells")).where("cells > 0")
+
+
 def metrics_table(m: DataFrame) -> DataFrame:
     """One (tool, dataset)'s metrics (level, precision, recall, f1, aupr, total_reads) as rows Metric, Genus, Species."""
     long = m.select("level", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(n).alias("Metric"), v.alias("v")) for i, (n, v) in enumerate((("Precision", fixed(F.col("precision"), 4)), ("Recall", fixed(F.col("recall"), 4)), ("F1", fixed(F.col("f1"), 4)), ("AUPR", fixed(F.col("aupr"), 4)), ("Total_Reads", F.col("total_reads").cast("bigint").cast("string"))))))).alias("x"))

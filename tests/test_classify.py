@@ -5,9 +5,12 @@ from pyspark.sql import functions as F
 from readmill import cli
 from readmill.operators import classify as C
 from readmill.operators.decide import Params
+from readmill.operators.normalize import run_statistics
 from readmill.operators.relational import first_by_prefix, first_mates, upsert
 from readmill.functions import sequences as S
 from readmill.plans import sweep as P
+from readmill.sources.sinks import histogram_rows, statistics_text
+from readmill.sources.tables import statistics_columns
 from readmill.streaming import normalize_stream as N
 
 TREE = [(1, None, "no rank", "root"), (2, 1, "genus", "A"), (3, 2, "species", "Aa"), (4, 2, "species", "Ab"), (5, 1, "genus", "B")]
@@ -64,6 +67,16 @@ def test_sweep_and_summary(spark):
     assert [tuple(r) for r in P.update_summary(old, new).collect()] == [("d", "p", 2)]
 
 
+def test_statistics_text_round_trip(spark):
+    reads = spark.createDataFrame([("r", 0, i, "ACGTACGTAC"[i % 3 :] * (i % 2)) for i in range(6)], "run_id string, file_nr int, ord long, seq string")
+    stats = run_statistics(reads, Params(d=1, k=5, C=0, N=3), t=2, bits=8)
+    got = stats.select(statistics_text(5, 3, F.lit(7)).alias("t")).select(*statistics_columns(F.col("t"))).first()
+    one = stats.first()
+    assert (got.reads_processed, got.reads_accepted, got.time_s) == (6, one.unpaired_out, 7) and abs(got.reads_kept_pct - one.reads_kept_pct) < 0.01
+    assert {r.cnt: r.cells for r in histogram_rows(stats).collect()} == {i: n for i, n in enumerate(one.histogram) if n}
+    assert tuple(P.outcome(spark.createDataFrame([(0,), (1,), (None,)], "exit_code int")).first()) == (1, 2, 3)
+
+
 def test_evaluation(spark):
     reports = spark.createDataFrame([("t", "d", 1, "no rank", 10, 0, "root"), ("t", "d", 2, "genus", 10, 6, "A"), ("t", "d", 3, "species", 4, 4, "Aa"), ("u", "e", 2, "genus", 5, 5, "A")], "tool string, dataset string, taxid long, rank string, reads long, tax_reads long, name string")
     truth = spark.createDataFrame([("d", "genus", 2), ("d", "species", 3)], "dataset string, level string, taxid long")
