@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import re
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +42,8 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("--ground-truth-dir", required=True)
     e.add_argument("--eval-dir", required=True)
     e.add_argument("--files-to-evaluate", nargs="*")
-    e.add_argument("--krakenuniq-only", action="store_true")
+    e.add_argument("--only-tools", help="evaluate tools whose names hold this")
+    e.add_argument("--report-suffix", default=".report.tsv")
     e.add_argument("--out", required=True)
     return p
 
@@ -92,10 +94,10 @@ def main(args: list[str] | None = None) -> None:
         report = C.rollup(calls.groupBy("taxid").agg(F.count(F.lit(1)).alias("tax_reads")), taxonomy)
         sinks.write_tsv(report.join(taxonomy.select("taxid", "rank", "name"), "taxid", "left"), f"{a.out}/report", order=["taxid"])
     else:
-        reports = tables.read_reports(spark, f"{a.eval_dir}/*/*report.tsv").withColumn("tool", F.regexp_extract("path", "([^/]+)/[^/]+$", 1))
-        reports = reports.withColumn("dataset", F.regexp_extract("path", r"([^/]+?)(?:\.(?:fastq|fasta|fq|fa))?\.krakenuniq\.report\.tsv$", 1))
-        if a.krakenuniq_only:
-            reports = reports.where(F.col("tool").contains("krakenuniq"))
+        reports = tables.read_reports(spark, f"{a.eval_dir}/*/*{a.report_suffix}").withColumn("tool", F.regexp_extract("path", "([^/]+)/[^/]+$", 1))
+        reports = reports.withColumn("dataset", F.regexp_extract("path", r"([^/]+?)(?:\.(?:fastq|fasta|fq|fa))?" + re.escape(a.report_suffix) + "$", 1))
+        if a.only_tools:
+            reports = reports.where(F.col("tool").contains(a.only_tools))
         truth = tables.read_predictions(spark, [f"{a.ground_truth_dir}/{x}/*_TRUTH.txt" for x in ("genus", "species")])
         truth = truth.select(F.regexp_extract("path", r"([^/]+)_TRUTH\.txt$", 1).alias("dataset"), F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("level"), "taxid")
         if a.files_to_evaluate:

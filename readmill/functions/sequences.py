@@ -105,13 +105,14 @@ def tool_name(file_name: Column, dataset: Column) -> Column:
     return F.regexp_replace(F.substring(file_name, F.length(dataset) + 2, F.length(file_name)), r"\.txt$", "")
 
 
-def param_set_of(folder: Column) -> Column:
-    return F.replace(F.regexp_extract(folder, r"bignorm_(\w+)", 0), F.lit("_quick"), F.lit(""))
+def param_set_of(folder: Column, prefix: str) -> Column:
+    """The parameter set that a result folder's name holds: the prefix and what follows, without the mark of quick runs."""
+    return F.replace(F.regexp_extract(folder, prefix + r"(\w+)", 0), F.lit("_quick"), F.lit(""))
 
 
-def output_folder(suffix: Column, quick: Column, preload: Column) -> Column:
-    """krakenuniq[_suffix][_quick][_preload-size-N]"""
-    return F.concat_ws("_", F.lit("krakenuniq"), F.nullif(suffix, F.lit("")), F.when(quick, F.lit("quick")), F.when(F.length(preload) > 0, F.concat(F.lit("preload-size-"), preload)))
+def output_folder(tool: str, suffix: Column, quick: Column, preload: Column) -> Column:
+    """tool[_suffix][_quick][_preload-size-N]"""
+    return F.concat_ws("_", F.lit(tool), F.nullif(suffix, F.lit("")), F.when(quick, F.lit("quick")), F.when(F.length(preload) > 0, F.concat(F.lit("preload-size-"), preload)))
 
 
 def is_read_file(path: Column) -> Column:

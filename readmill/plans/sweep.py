@@ -15,17 +15,17 @@ from readmill.operators.relational import not_done, upsert
 _BASE = {"k": 31, "Q": 20, "A": 3, "B": 5, "C": 20, "N": 10}
 # The study's parameter sets, as what they change of the base
 _FASTQ = {
-    "bignorm_default": {}, "bignorm_low_phred": {"Q": 10}, "bignorm_high_phred": {"Q": 30}, "bignorm_low_rarity": {"A": 2}, "bignorm_high_rarity": {"A": 5},
-    "bignorm_low_contribution": {"B": 3}, "bignorm_high_contribution": {"B": 10}, "bignorm_low_abundance": {"C": 10}, "bignorm_high_abundance": {"C": 50}, "bignorm_strict_N": {"N": 5}, "bignorm_relaxed_N": {"N": 20},
-    "bignorm_conservative": {"Q": 30, "A": 5, "B": 10, "C": 50, "N": 5}, "bignorm_permissive": {"Q": 10, "A": 2, "B": 3, "C": 10, "N": 20},
+    "default": {}, "low_phred": {"Q": 10}, "high_phred": {"Q": 30}, "low_rarity": {"A": 2}, "high_rarity": {"A": 5},
+    "low_contribution": {"B": 3}, "high_contribution": {"B": 10}, "low_abundance": {"C": 10}, "high_abundance": {"C": 50}, "strict_N": {"N": 5}, "relaxed_N": {"N": 20},
+    "conservative": {"Q": 30, "A": 5, "B": 10, "C": 50, "N": 5}, "permissive": {"Q": 10, "A": 2, "B": 3, "C": 10, "N": 20},
 }
-_FASTA = {"bignorm_default": {}, "bignorm_low_rarity_fasta": {"A": 2}, "bignorm_high_rarity_fasta": {"A": 5}, "bignorm_low_contribution_fasta": {"B": 3}, "bignorm_high_contribution_fasta": {"B": 10}, "bignorm_low_abundance_fasta": {"C": 10}, "bignorm_high_abundance_fasta": {"C": 50}}
+_FASTA = {"default": {}, "low_rarity_fasta": {"A": 2}, "high_rarity_fasta": {"A": 5}, "low_contribution_fasta": {"B": 3}, "high_contribution_fasta": {"B": 10}, "low_abundance_fasta": {"C": 10}, "high_abundance_fasta": {"C": 50}}
 
 
-def parameter_sets(spark: SparkSession, fastq: bool = True, baseline_only: bool = False) -> DataFrame:
-    """(param_set, d, k, Q, A, B, C, N); FASTA uses decision 3 and no Q."""
+def parameter_sets(spark: SparkSession, fastq: bool = True, baseline_only: bool = False, prefix: str = "") -> DataFrame:
+    """(param_set, d, k, Q, A, B, C, N), names with the prefix; FASTA uses decision 3 and no Q."""
     sets = (_FASTQ if fastq else _FASTA).items()
-    rows = [(n, 6 if fastq else 3, *((_BASE | x)[c] if fastq or c != "Q" else None for c in "kQABCN")) for n, x in sets if not baseline_only or n == "bignorm_default"]
+    rows = [(prefix + n, 6 if fastq else 3, *((_BASE | x)[c] if fastq or c != "Q" else None for c in "kQABCN")) for n, x in sets if not baseline_only or n == "default"]
     return spark.createDataFrame(rows, "param_set string, d int, k int, Q int, A int, B int, C int, N int")
 
 

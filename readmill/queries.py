@@ -335,7 +335,7 @@ def file_names(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", S.dataset_name(F.col("path")).alias("dataset"), S.is_read_file(F.col("path")).alias("is_reads"), S.is_fastq(F.col("path")).alias("is_fastq"), S.mate_path(F.col("path")).alias("mate"))
 
 
-@_query("SELECT l_shipmode_set AS param_set, count(*) AS runs FROM (SELECT s_suppkey, unnest(['bignorm_default', 'bignorm_low_rarity_fasta', 'bignorm_high_rarity_fasta', 'bignorm_low_contribution_fasta', 'bignorm_high_contribution_fasta', 'bignorm_low_abundance_fasta', 'bignorm_high_abundance_fasta']) AS l_shipmode_set FROM supplier) GROUP BY 1")
+@_query("SELECT l_shipmode_set AS param_set, count(*) AS runs FROM (SELECT s_suppkey, unnest(['default', 'low_rarity_fasta', 'high_rarity_fasta', 'low_contribution_fasta', 'high_contribution_fasta', 'low_abundance_fasta', 'high_abundance_fasta']) AS l_shipmode_set FROM supplier) GROUP BY 1")
 def sweep_grid(spark: SparkSession, d: str) -> DataFrame:
     files = _table(spark, d, "supplier").select(F.concat(F.lit("/data/s"), F.col("s_suppkey").cast("string"), F.lit(".fa")).alias("path"))
     return P.plan_runs(files, P.parameter_sets(spark, fastq=False)).groupBy("param_set").agg(F.count(F.lit(1)).alias("runs"))

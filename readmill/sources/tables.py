@@ -6,6 +6,8 @@ an error. Where a key comes twice, the later line counts.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,10 +44,10 @@ def read_runtimes(spark: SparkSession, path: str) -> DataFrame:
     return last_wins(f.select("line", F.col("f")[0].alias("dataset"), F.col("f")[1].cast("double").alias("runtime_s")), ["dataset"], [F.col("line")]).drop("line")
 
 
-def runtimes_from_logs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(dataset, runtime_s) from the first `sequences ... processed in N s` line of `<dataset>.fastq.krakenuniq.log` files."""
+def runtimes_from_logs(spark: SparkSession, paths: str | list[str], suffix: str = ".fastq.log") -> DataFrame:
+    """(dataset, runtime_s) from the first `sequences ... processed in N s` line of files named dataset and suffix; others are left out."""
     rows = _lines(spark, paths).where(F.col("value").contains("sequences") & F.col("value").contains("processed in") & F.col("value").contains("s ("))
-    rows = rows.withColumn("dataset", F.regexp_extract("path", r"([^/]+)\.fastq\.krakenuniq\.log$", 1)).where("dataset <> ''")
+    rows = rows.withColumn("dataset", F.regexp_extract("path", "([^/]+)" + re.escape(suffix) + "$", 1)).where("dataset <> ''")
     return rows.groupBy("dataset").agg(F.min_by(F.regexp_extract("value", r"processed in ([\d.]+)s", 1), "line").cast("double").alias("runtime_s"))
 
 

@@ -49,9 +49,9 @@ def test_prefixes_mates_upserts(spark):
 
 
 def test_scalars(spark):
-    df = spark.createDataFrame([("bignorm_default_quick", 3725.0, "a/b_R1.fastq.gz")], "p string, s double, f string")
-    r = df.select(S.param_set_of(F.col("p")), S.duration_label(F.col("s")), S.dataset_name(F.col("f")), S.output_folder(F.lit("x"), F.lit(True), F.lit("1G"))).first()
-    assert tuple(r) == ("bignorm_default", "1h, 2m, 5s", "b", "krakenuniq_x_quick_preload-size-1G")
+    df = spark.createDataFrame([("tool_norm_default_quick", 3725.0, "a/b_R1.fastq.gz")], "p string, s double, f string")
+    r = df.select(S.param_set_of(F.col("p"), "norm_"), S.duration_label(F.col("s")), S.dataset_name(F.col("f")), S.output_folder("tool", F.lit("x"), F.lit(True), F.lit("1G"))).first()
+    assert tuple(r) == ("norm_default", "1h, 2m, 5s", "b", "tool_x_quick_preload-size-1G")
     k = spark.createDataFrame([("ACGTNAC",)], "seq string").select(S.canonical_kmers(F.col("seq"), 3).alias("k"), S.windows(F.lit("AC"), 3).alias("e")).first()
     assert k.k == ["CGT", "CGT", "GTA" if "GTA" > "TAC" else "TAC", "TAA" if "TAA" > "TTA" else "TTA", "GTT"][: len(k.k)] and k.e == []
     assert [r[0] for r in spark.range(1).select(S.decoded(S.code(F.lit("ACGT")), 4)).collect()] == ["ACGT"]
