@@ -45,5 +45,16 @@ SELECT doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(ot
 """
 
 
+OP10_SQL = """
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT row, p, md5_number(substring(h, 2 * p + 1, 400)) AS k FROM (SELECT *, unnest(range(0, len(h) // 2 - 199)) AS p FROM d WHERE len(h) >= 400)),
+r AS (SELECT row, p, CASE WHEN p - lag(p) OVER (PARTITION BY row ORDER BY p) <= 200 THEN 0 ELSE 1 END AS new FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+s AS (SELECT row, min(p) AS a, max(p) + 200 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY row ORDER BY p ROWS UNBOUNDED PRECEDING) AS g FROM r) GROUP BY row, g),
+e AS (SELECT row, a, b, coalesce(lag(b) OVER (PARTITION BY row ORDER BY a), 0) AS z FROM s),
+k AS (SELECT row, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(substring(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) || substring(any_value(h), 2 * max(b) + 1) AS kept FROM e JOIN d USING (row) GROUP BY row)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN k USING (row)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk_search": OP3_SQL, "op7_decontamination": OP7_SQL, "op9_jaccard_join": OP9_SQL}
+    return {"op10_repeats": OP10_SQL, "op3_topk_search": OP3_SQL, "op7_decontamination": OP7_SQL, "op9_jaccard_join": OP9_SQL}
