@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table, text_or_empty
+from .common import bounded_batches, no_cache, only, table, text_or_empty, tidy
 
 #: Bytes of words stay (A-Z lower-cased), others become spaces; bytes of non-ASCII characters are 0x80 and above.
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -160,7 +160,9 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 5,
         schema = keys + _ROW.format(kind)
         cached: list[Items] = []
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            only(no_cache)
             own = cached[0] if cached else Items(known.value, span, k)
             cached[:] = [own]
             for b in batches:

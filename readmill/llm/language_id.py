@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, only, table, text_or_empty
+from .common import bounded_batches, only, table, text_or_empty, tidy
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _PIECE = 1 << 20  # characters of a text whose n-grams are held at once
@@ -138,6 +138,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", k
     place = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = labelled.join(F.broadcast(sizes), "lang").where(place * F.col("count") < rows_per_language)  # a row for each language
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, totals = _shared(dims, n, seed), {}
         for b in batches:
@@ -149,6 +150,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", k
 
     parts = chosen.select("lang", "t").mapInArrow(run, "lang string, v binary")
 
+    @tidy
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for b in batches:
@@ -173,6 +175,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
     inner = docs.select(F.col(id_col).alias("_0"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(keep, 1)), text_or_empty(text_col).alias("t"))
     names = [f"_{i}" for i in range(len(keep) + 1)]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _shared(matrix.shape[1], n, seed)
         for b in batches:

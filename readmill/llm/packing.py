@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, no_cache, only, table, text_or_empty, written
+from .common import bounded_batches, no_cache, only, table, text_or_empty, tidy, written
 
 GRID = 32
 _K1, _B = 1.2, 0.75
@@ -160,6 +160,7 @@ _ENCODED = "doc_id long, n long, crcs binary, rest int, grid binary, terms binar
 def encoded(docs: DataFrame, file: str, end_id: int, window: int, id_col: str, text_col: str) -> DataFrame:
     """Length, checksums of whole windows, running checksums of the rest, term frequencies and rarest terms of each row."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(file)
         for b in batches:
@@ -197,6 +198,7 @@ def _numbers(x: bytes, n: int) -> np.ndarray:
 def term_counts(rows: DataFrame) -> DataFrame:
     """(term, df): summed in each task before the shuffle."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(1, np.int64)
         for b in batches:
@@ -300,6 +302,7 @@ def pack(docs: DataFrame, file: str, end_id: int = 2, window: int = 4096, shard_
     idf[counts["term"]] = np.log(1 + (n - counts["df"] + 0.5) / (counts["df"] + 0.5))
     mean, shards = total / n, max(1, -(-left // shard_tokens))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

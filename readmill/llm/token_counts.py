@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, only, table, tasks, text_or_empty
+from .common import bounded_batches, only, table, tasks, text_or_empty, tidy
 
 SPACE = "▁"
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -192,6 +192,7 @@ def count_tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
     docs = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t"))
     docs = docs.withColumn("n_bytes", F.octet_length("t").cast("long"))
 
+    @tidy
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _transducer(model_file)
         for b in batches:
@@ -201,6 +202,7 @@ def count_tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
     kind = docs.schema["id"].dataType.simpleString()
     short = docs.where(F.length("t") <= chunk_chars).mapInArrow(whole, f"id {kind}, n_bytes long, n_tokens long")
 
+    @tidy
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _transducer(model_file)
         for b in batches:

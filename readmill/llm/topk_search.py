@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, tidy, written
 
 _ROUND = 48  # segments a round
 
@@ -122,6 +122,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, i
     asked = rows.where("asks").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.size("v").alias("dims"), F.lit(1).alias("role"), "row", "id", "v")
     dealt = held.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "dims", "role", "row")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, ids, index, place = None, [], [], None, {}
         for b in batches:
