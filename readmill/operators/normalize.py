@@ -133,19 +133,25 @@ def _counter(kind: str, t: int, bits: int, k: int, hash_set: int):
     return Exact() if kind == "exact" else Sketch(t, bits, k, hash_set)
 
 
-_VERDICT = "run_id string, file_nr int, ord long, kept boolean, reason string, counts array<int>"
+def _nth(reads: DataFrame):
+    """The read's place among those of one (file_nr, ord)."""
+    return (F.col("nth") if "nth" in reads.columns else F.lit(0)).cast("int").alias("nth")
+
+
+_VERDICT = "run_id string, file_nr int, ord long, nth int, kept boolean, reason string, counts array<int>"
 
 
 def normalize(reads: DataFrame, params: Params, kind: str = "sketch", t: int = 10, bits: int = 20, hash_set: int = 1, max_len: int = S.MAX_LEN, count_n: bool = False, first_min: bool = False, detail: bool = False) -> DataFrame:
     """Verdicts (run_id, file_nr, ord, kept, reason, counts) for reads (run_id, file_nr, ord, seq[, qual, seq2, qual2]).
 
     A run may carry its own parameters in columns named as those of Params. Null sequences count as
-    empty (too short). Rows with equal (file_nr, ord) are taken in the order of their sequences.
+    empty (too short). A column `nth` orders the reads of one (file_nr, ord) and is returned too. Rows
+    with equal places are taken in the order of their sequences.
     """
     own = [c for c in ("d", "k", "A", "B", "C", "N", "Q") if c in reads.columns]
     cols = [F.col(c).cast("string").alias(c) if c in reads.columns else F.lit(None).cast("string").alias(c) for c in ("seq", "qual", "seq2", "qual2")]
-    rows = reads.select(F.col("run_id").cast("string").alias("run_id"), F.col("file_nr").cast("int").alias("file_nr"), F.col("ord").cast("long").alias("ord"), *cols, *(F.col(c).cast("int").alias(c) for c in own))
-    sorted_ = rows.repartition("run_id").sortWithinPartitions("run_id", "file_nr", "ord", "seq")
+    rows = reads.select(F.col("run_id").cast("string").alias("run_id"), F.col("file_nr").cast("int").alias("file_nr"), F.col("ord").cast("long").alias("ord"), _nth(reads), *cols, *(F.col(c).cast("int").alias(c) for c in own))
+    sorted_ = rows.repartition("run_id").sortWithinPartitions("run_id", "file_nr", "ord", "nth", "seq")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run_id, f = None, None
@@ -156,17 +162,18 @@ def normalize(reads: DataFrame, params: Params, kind: str = "sketch", t: int = 1
                     run_id, p = r["run_id"], params if not own else Params(**(params.__dict__ | {c: r[c] for c in own if r[c] is not None}))
                     f = Filter(p, _counter(kind, t, bits, p.k, hash_set), max_len, count_n, first_min)
                 kept, why, c = f.judge(r["seq"], r["qual"], r["seq2"], r["qual2"])
-                out.append({"run_id": run_id, "file_nr": r["file_nr"], "ord": r["ord"], "kept": kept, "reason": why, "counts": c if detail else None})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("run_id", pa.string()), ("file_nr", pa.int32()), ("ord", pa.int64()), ("kept", pa.bool_()), ("reason", pa.string()), ("counts", pa.list_(pa.int32()))]))
+                out.append({"run_id": run_id, "file_nr": r["file_nr"], "ord": r["ord"], "nth": r["nth"], "kept": kept, "reason": why, "counts": c if detail else None})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("run_id", pa.string()), ("file_nr", pa.int32()), ("ord", pa.int64()), ("nth", pa.int32()), ("kept", pa.bool_()), ("reason", pa.string()), ("counts", pa.list_(pa.int32()))]))
 
-    return sorted_.mapInArrow(run, _VERDICT)
+    verdicts = sorted_.mapInArrow(run, _VERDICT)
+    return verdicts if "nth" in reads.columns else verdicts.drop("nth")
 
 
 def run_statistics(reads: DataFrame, params: Params, kind: str = "sketch", t: int = 10, bits: int = 20, hash_set: int = 1, max_len: int = S.MAX_LEN) -> DataFrame:
     """One row for each run: counters, cells, base and false-positive rate, share kept, and the counter histogram."""
     names = ["unpaired_in", "paired_in", "too_short", "too_many_n", "kmers", "kmers_with_n", "new_kmers", "unpaired_out", "paired_out"]
     cols = [F.col(c).cast("string").alias(c) if c in reads.columns else F.lit(None).cast("string").alias(c) for c in ("seq", "qual", "seq2", "qual2")]
-    rows = reads.select(F.col("run_id").cast("string").alias("run_id"), "file_nr", "ord", *cols).repartition("run_id").sortWithinPartitions("run_id", "file_nr", "ord", "seq")
+    rows = reads.select(F.col("run_id").cast("string").alias("run_id"), "file_nr", "ord", _nth(reads), *cols).repartition("run_id").sortWithinPartitions("run_id", "file_nr", "ord", "nth", "seq")
     schema = "run_id string, " + ", ".join(f"{n} long" for n in names) + ", histogram array<long>, total_cells long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +205,8 @@ def normalize_batch(reads: DataFrame, counts: DataFrame | None, params: Params,
     """(verdicts, counts after) with every read judged by the same counts (canon, d); relational throughout."""
     r = reads.withColumn("seq", S.truncated(F.col("seq"), max_len))
     paired = "seq2" in r.columns
-    rows = K.kmer_rows(r.withColumn("read_id", F.struct("file_nr", "ord")), params.k)
+    at = ["file_nr", "ord", *(["nth"] if "nth" in r.columns else [])]
+    rows = K.kmer_rows(r.withColumn("read_id", F.struct(*at)), params.k)
     if counts is None:
         counts = reads.sparkSession.createDataFrame([], "canon string, d int")
     if paired:
@@ -206,8 +214,8 @@ def normalize_batch(reads: DataFrame, counts: DataFrame | None, params: Params,
     found = K.counts_by_read(rows, counts, ["read_id"])
     judged = found.select("read_id", keep(params.d if params.d != 6 else 5, F.col("counts"), params=params).alias("kept"))
     n_ok = S.count_n(F.col("seq")) <= params.N if params.N >= 0 else F.lit(True)
-    verdicts = r.withColumn("read_id", F.struct("file_nr", "ord")).join(judged, "read_id", "left").select("file_nr", "ord", (F.coalesce("kept", F.lit(False)) & n_ok).alias("kept"))
-    taken = rows.join(verdicts.where("kept").select(F.struct("file_nr", "ord").alias("read_id")), "read_id", "left_semi")
+    verdicts = r.withColumn("read_id", F.struct(*at)).join(judged, "read_id", "left").select(*at, (F.coalesce("kept", F.lit(False)) & n_ok).alias("kept"))
+    taken = rows.join(verdicts.where("kept").select(F.struct(*at).alias("read_id")), "read_id", "left_semi")
     more = K.document_frequency(taken)
     after = counts.unionByName(more).groupBy("canon").agg(F.least(F.sum("d"), F.lit(S.COUNT_MAX)).cast("int").alias("d"))
     return verdicts, after

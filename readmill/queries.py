@@ -48,8 +48,14 @@ def _letters(text: str = "text"):
     return F.regexp_replace(F.lower(text), "[^a-z]", "")
 
 
+def letters(spark: SparkSession, d: str) -> DataFrame:
+    """(read_id, seq, qual) of all letters of a document."""
+    docs = _table(spark, d, "documents").select(F.col("doc_id").alias("read_id"), _letters().alias("x"))
+    return docs.select("read_id", F.translate("x", _LETTERS, _BASES).alias("seq"), F.translate("x", _LETTERS, _QUALS).alias("qual"))
+
+
 def reads(spark: SparkSession, d: str) -> DataFrame:
-    """(read_id, seq, qual) of at most 300 bases."""
+    """(read_id, seq, qual) of at most 300 bases: the first of a document, as the SQL has them."""
     docs = _table(spark, d, "documents").select(F.col("doc_id").alias("read_id"), S.truncated(_letters()).alias("x"))
     return docs.select("read_id", F.translate("x", _LETTERS, _BASES).alias("seq"), F.translate("x", _LETTERS, _QUALS).alias("qual"))
 
@@ -347,15 +353,19 @@ def reverse_complements(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's letters as consecutive reads of at most 300 bases: `ord` is the document, `nth` the read in it; without letters, one empty read."""
     docs = _table(spark, d, "documents").select("doc_id", "source")
-    r = reads(spark, d).join(docs.withColumnRenamed("doc_id", "read_id"), "read_id")
-    return r.select(F.col("source").alias("run_id"), F.lit(0).alias("file_nr"), F.col("read_id").alias("ord"), "seq", "qual")
+    r = letters(spark, d).join(docs.withColumnRenamed("doc_id", "read_id"), "read_id")
+    last = F.greatest(F.coalesce(F.ceil(F.length("seq") / S.MAX_LEN), F.lit(0)), F.lit(1)) - 1
+    r = r.select("*", F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("nth"))
+    part = lambda c: F.substr(c, F.col("nth") * S.MAX_LEN + 1, F.lit(S.MAX_LEN)).alias(c)
+    return r.select(F.col("source").alias("run_id"), F.lit(0).alias("file_nr"), F.col("read_id").alias("ord"), "nth", part("seq"), part("qual"))
 
 
 @_query()
 def greedy_normalize(spark: SparkSession, d: str) -> DataFrame:
-    """Each source is a run; the order is that of the ids."""
-    return normalize(_runs(spark, d), Params(d=3, k=21, A=3, B=200, C=2, N=10), t=4, bits=18).select("run_id", "ord", "kept", "reason")
+    """Each source is a run; the order is that of the ids, and of the reads in a document."""
+    return normalize(_runs(spark, d), Params(d=3, k=21, A=3, B=200, C=2, N=10), t=4, bits=18).select("run_id", "ord", "nth", "kept", "reason")
 
 
 @_query()
@@ -381,11 +391,11 @@ def parameter_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def classify_reads(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as reads, benchmark items as references of nations in the tree of regions."""
+    """Whole documents as reads, benchmark items as references of nations in the tree of regions."""
     items = _table(spark, d, "benchmark").select((F.col("item_id") % 25 + 100).cast("bigint").alias("taxid"), F.translate(_letters(), _LETTERS, _BASES).alias("seq"))
     tree = _tree(spark, d).where("rank <> 'species'")
     up = C.closure(tree)
-    return C.classify(reads(spark, d), C.kmer_taxa(items, tree, 31, up), tree, 31, up=up)
+    return C.classify(letters(spark, d), C.kmer_taxa(items, tree, 31, up), tree, 31, up=up)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
