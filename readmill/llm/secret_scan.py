@@ -1,7 +1,9 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-All of it is DataFrame functions. A candidate is a run of key characters (of a known key format,
-or 20 and more); what stands before and behind it comes from splitting the text at candidates. The
+All of it is DataFrame functions. A candidate is a known key format wherever it stands, a value of
+4 characters and more (any but blanks, or quoted) behind an assignment word, or a run of 20 and
+more key characters, which `=` ends except as padding; the parts of a run between slashes are
+candidates too. What stands before and behind comes from splitting the text at candidates. The
 features are the candidate's length, its transitions between character classes, how much of it a
 dictionary and common letter pairs cover, whether it stands in a path, and the words beside it.
 The forest is trained from labelled findings; `example_findings` makes a set from rules.
@@ -24,8 +26,16 @@ FORMATS = {
     "jwt": r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+",
     "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
 }
-_KEY_CHARS = r"A-Za-z0-9+/_=\-"
-CANDIDATE = f"(?<![{_KEY_CHARS}])(?:{'|'.join(FORMATS.values())}|[{_KEY_CHARS}]{{20,}}+)(?![{_KEY_CHARS}])"
+_KEY_CHARS, _LEAST = r"A-Za-z0-9+/_\-", 20
+_FORMAT = f"(?<![A-Za-z0-9])(?:{'|'.join(FORMATS.values())})(?![A-Za-z0-9])"
+_RUN = f"(?<![{_KEY_CHARS}])(?=[{_KEY_CHARS}]{{{_LEAST}}})(?:(?!{_FORMAT})[{_KEY_CHARS}]){{{_LEAST},}}+(?:={{1,2}}(?![{_KEY_CHARS}=\"'`$]))?"
+# a name with an assignment word, and what assigns; of bounded length, as it is looked for backwards
+_LEAD = r"""(?i:token|secret|passw(?:or)?d|passphrase|pwd|api[_\- ]?key|access[_\- ]?key|private[_\- ]?key|auth(?:orization)?|credentials?)[A-Za-z0-9_\-]{0,16}["'\]]{0,2}\s{0,3}(?:[:=]{1,2}>?|\bis\b)\s{0,3}(?:(?i:bearer|basic)\s{1,2})?"""
+_LEADS = "(?i:token|secret|passw|passphrase|pwd|key|auth|credential)"  # every _LEAD has one
+_QUOTED = "|".join(rf"(?<={q})(?<={_LEAD}{q})(?:(?!{_FORMAT})(?:[^{q}\\\r\n]|\\.)){{4,}}+(?={q})" for q in "\"'`")
+_BARE = rf"""(?<=[\s:=>"'`])(?<={_LEAD}["'`]?)(?!(?i:bearer|basic)\s)(?:(?!&\w{{1,32}}=|{_FORMAT}|[.,;:)\]}}]{{1,8}}+(?:[\s"'`]|\z))[^\s"'`]){{4,}}+"""
+CANDIDATE = f"{_FORMAT}|{_RUN}"
+ASSIGNED_TOO = f"{_FORMAT}|{_QUOTED}|{_BARE}|{_RUN}"
 _ASSIGNED = r"""(?i)(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_\- ]?key|access[_\- ]?key|private[_\- ]?key|auth(?:orization)?|bearer|credentials?)["'\]]*\s*(?:[:=]+>?|is|bearer)?\s*["'`]?$"""
 _NAMED = r"(?i)(?:token|secret|passw|pwd|key|auth|bearer|credential)"
 _HASH_WORDS = r"(?i)(?:sha-?\d*|md5|crc|commit|checksum|digest|etag|revision|rev|hash|uuid|guid|integrity|build|blob|tree|image)\W{0,4}(?:id)?\W{0,4}$"
@@ -35,13 +45,29 @@ _DICTIONARY = "the|and|ing|tion|ment|able|ness|over|under|with|from|that|this|ha
 _PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|ou|le|ch|de|qu|ie|ei|ne|ic|la|ra|ri|io|ll"
 
 
+def _beside(candidate: Column, before: Column, behind: Column) -> Column:
+    return F.struct(candidate.alias("candidate"), F.right(before, F.lit(48)).alias("before"), F.left(behind, F.lit(48)).alias("behind"))
+
+
+def _with_parts(x: Column) -> Column:
+    """The candidate, and what of it stands between slashes and is long enough to be one."""
+    cut = F.split(x["candidate"], "/")
+    start = lambda i: F.when(i > 0, F.concat(F.array_join(F.slice(cut, F.lit(1), F.greatest(i, F.lit(1))), "/"), F.lit("/"))).otherwise(F.lit(""))
+    end = lambda i: F.when(i + 1 < F.size(cut), F.concat(F.lit("/"), F.array_join(F.slice(cut, i + 2, F.size(cut)), "/"))).otherwise(F.lit(""))
+    parts = F.transform(cut, lambda c, i: _beside(c, F.concat(x["before"], start(i)), F.concat(end(i), x["behind"])))
+    return F.concat(F.array(x), F.filter(parts, lambda p: (F.length(p["candidate"]) >= _LEAST) & (p["candidate"] != x["candidate"])))
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, nth, candidate, before, behind) for each candidate of each row's whole text."""
+    """(id_col, nth, candidate, before, behind) for each candidate of each row's whole text; a run's parts follow it."""
     t = docs.select(F.col(id_col), text_or_empty(text_col).alias("_t"))
-    t = t.withColumn("_hits", F.regexp_extract_all("_t", F.lit(CANDIDATE), F.lit(0))).where(F.size("_hits") > 0)
-    t = t.withColumn("_parts", F.split("_t", CANDIDATE, -1))
-    around = F.transform("_hits", lambda h, i: F.struct(h.alias("candidate"), F.right(F.element_at("_parts", i + 1), F.lit(48)).alias("before"), F.left(F.element_at("_parts", i + 2), F.lit(48)).alias("behind")))
-    return t.select(id_col, F.posexplode(around).alias("nth", "x")).select(id_col, "nth", "x.*")
+    named = F.col("_t").rlike(_LEADS)
+    by = lambda f: F.when(named, f(ASSIGNED_TOO)).otherwise(f(CANDIDATE))  # noqa: E731  most texts need the plain pattern only
+    t = t.withColumn("_hits", by(lambda p: F.regexp_extract_all("_t", F.lit(p), F.lit(0)))).where(F.size("_hits") > 0)
+    t = t.withColumn("_parts", by(lambda p: F.split("_t", p, -1)))
+    hit = lambda i: F.coalesce(F.get("_hits", i), F.lit(""))
+    around = F.transform("_hits", lambda h, i: _beside(h, F.concat(hit(i - 1), F.get("_parts", i)), F.concat(F.get("_parts", i + 1), hit(i + 1))))
+    return t.select(id_col, F.posexplode(F.flatten(F.transform(around, _with_parts))).alias("nth", "x")).select(id_col, "nth", "x.*")
 
 
 def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -57,7 +83,7 @@ def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
         "f_length": n.cast("double"), "f_distinct": F.size(F.array_distinct(chars)) / n,
         "f_entropy": F.aggregate(counts, F.lit(0.0), lambda s, p: s - F.when(p > 0, p * F.log2(p)).otherwise(0.0)),
         "f_digit": share("0-9"), "f_upper": share("A-Z"), "f_lower": share("a-z"), "f_hex": share("0-9a-fA-F"), "f_other": share("+/_=\\-"),
-        "t_letter_digit": step("A-Za-z", "0-9"), "t_digit_letter": step("0-9", "A-Za-z"), "t_lower_upper": step("a-z", "A-Z"), "t_upper_lower": step("A-Z", "a-z"), "t_same": F.regexp_count(c, F.lit(r"(.)(?=\1)")) / n,
+        "f_symbol": share("^A-Za-z0-9+/_=\\-\\s"), "f_blank": share("\\s"), "t_letter_digit": step("A-Za-z", "0-9"), "t_digit_letter": step("0-9", "A-Za-z"), "t_lower_upper": step("a-z", "A-Z"), "t_upper_lower": step("A-Z", "a-z"), "t_same": F.regexp_count(c, F.lit(r"(.)(?=\1)")) / n,
         "d_words": covered(_DICTIONARY), "d_pairs": covered(_PAIRS), "d_sample": flag(F.concat_ws(" ", c, F.col("before")).rlike(_SAMPLE_WORDS)),
         "p_slashes": share("/"), "p_before": flag(F.col("before").rlike(_PATH_BEFORE)), "p_behind": flag(F.col("behind").rlike(_PATH_AFTER)), "p_uuid": flag(c.rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$")),
         "w_assigned": flag(F.col("before").rlike(_ASSIGNED)), "w_named": flag(F.col("before").rlike(_NAMED)), "w_hash": flag(F.col("before").rlike(_HASH_WORDS)), "w_quoted": flag(F.col("before").rlike("[\"'`]$") & F.col("behind").rlike("^[\"'`]")),
@@ -79,13 +105,16 @@ def example_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
     words = draw("w", "the", "thin", "oner", "tion", "ment", "keit", "elle", "manager", "service", "request", "erthe", "ununge")
     word = F.concat(words, draw("w2", "ation", "ering", "lich", "eaux", "Controller", "Factory", "anderen", "ingth"), draw("w3", "sten", "onre", "Handler", "mente", "ereren", "List", "heitung"), draw("w4", "anther", "Impl", "tionen", "ciónado"[:4], "ement"))
     path = F.concat(F.lit("usr/"), words, F.lit("/lib/"), words, F.lit("/"), word)
-    sample = draw("s", "xxxxxxxxxxxxxxxxxxxxxxxx", "your_api_key_goes_here", "EXAMPLEEXAMPLEEXAMPLE", "abcdefghijklmnopqrstuvwxyz", "12345678901234567890", "changeme-changeme-changeme", "placeholder_secret_value", "00000000000000000000000000000000", "--------------------------", "====================", "____________________")
+    sample = draw("s", "xxxxxxxxxxxxxxxxxxxxxxxx", "your_api_key_goes_here", "EXAMPLEEXAMPLEEXAMPLE", "abcdefghijklmnopqrstuvwxyz", "12345678901234567890", "changeme-changeme-changeme", "placeholder_secret_value", "00000000000000000000000000000000", "--------------------------", "++++++++++++++++++++", "____________________")
     uuid = F.concat_ws("-", *(F.substring(part("u"), a, k) for a, k in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    short = F.concat(draw("p1", "hunter", "Summer", "dragon", "letme", "s3cr", "Pa", "adm1n", "pass"), draw("p2", "!", "@", "#", "$", "_", "-", "", "."), F.substring(hexa, F.lit(1), size("n6", 1, 2, 3, 4, 6)), draw("p3", "!", "", "?", "%", "*", "Z", "9"))
+    plain = draw("v", "required", "string", "null", "None", "true", "false", "undefined", "${PASSWORD}", "<password>", "your_password", "********", "getenv(", "os.environ", "input()", "changeme", "this.value", "config.password", "optional", "missing", "expired")
     kinds = [  # (candidate, before, secret)
         (F.substring(hexa, F.lit(1), size("n1", 40, 32, 40, 64, 48)), assigned, 1), (F.substring(F.upper(hexa), F.lit(1), size("n2", 40, 32, 40)), F.upper(assigned), 1),
         (F.substring(mixed, F.lit(1), size("n3", 24, 32, 40, 44, 64)), assigned, 1), (F.concat(F.lit("AKIA"), F.substring(F.upper(F.regexp_replace(mixed, "[+/]", "")), 1, 16)), draw("b1", "id ", "key: ", "", "\""), 1),
         (F.concat(F.lit("ghp_"), F.substring(F.regexp_replace(mixed, "[+/]", ""), 1, 36)), draw("b2", "use ", "token ", ""), 1), (F.concat(F.lit("sk_live_"), F.substring(F.regexp_replace(mixed, "[+/]", ""), 1, 24)), draw("b3", "pay ", "", "\""), 1),
         (F.substring(hexa, F.lit(1), size("n4", 40, 32, 64, 40)), hashes, 0), (F.substring(mixed, F.lit(1), size("n5", 24, 44, 64)), F.concat(draw("b4", "integrity sha", "etag: ", "image ", "blob "), F.lit("256-")), 0),
+        (short, assigned, 1), (F.substring(mixed, F.lit(1), size("n7", 8, 10, 12, 16)), assigned, 1), (plain, assigned, 0), (F.concat(words, draw("w5", "", " the ", " ", "s ", "er"), draw("w6", "", "word", "is here", "list")), assigned, 0),
         (word, draw("b5", "and ", "", "the ", "der ", "les "), 0), (path, draw("b6", "/", "see /", "./", "https://"), 0), (sample, draw("b7", "token = \"", "api_key=", "", "password: "), 0), (uuid, draw("b8", "uuid ", "id: ", "guid=", ""), 0),
     ]
     pick = F.pmod(F.col("id"), F.lit(len(kinds)))
