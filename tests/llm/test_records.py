@@ -130,3 +130,16 @@ def test_pipeline(spark, sf):
     last = [texts[i] for i in kept[3] if i in texts]
     assert len(set(last)) == len(last) and not any(re.search(r'(?i)token = "[0-9a-f]{40}"', t) for t in last)
     assert {r.doc_id for r in cp.STAGES[-1][1](spark, at, sf).select("doc_id").distinct().collect()} == kept[3]
+
+
+def test_pipeline_keeps_and_drops_rows_not_ids(spark, sf):
+    cp = pytest.importorskip("corpus_pipeline")
+    item = next(r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if len(r.text.split()) > 20)
+    words = [f"word{i}" for i in range(40)]
+    prose, near, clean, other = " ".join(words), " ".join([*words[:-1], "end"]), "a clean text of its own", "quite another clean text here"
+    secret = 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and'
+    rows = [(1, prose), (1, prose), (1, prose), (None, near), (None, prose), (None, item), (None, secret), (2, secret), (2, clean), (3, item), (3, other), (None, None), (None, "x y z"), (None, "x y z")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in cp.STAGES[1:-1]:
+        docs = cp.written(stage(spark, docs, sf))
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in docs.collect()))) == sorted(map(repr, [(1, prose), (2, clean), (3, other), (None, None), (None, "x y z")]))
