@@ -2,7 +2,8 @@
 
 Entities are found by pattern: e-mail addresses, phone, card and identity numbers, IP addresses,
 IBANs, and name parts behind a title. Each is reduced to what it identifies (the lower-cased
-address, the digits, the lower-cased name), and that is replaced by something of the same type
+address, the digits, the lower-cased name; behind a title the first of several name parts is the
+given name, and its gender is that of all its titles), and that is replaced by something of the same type
 drawn from a keyed hash: digits by digits, letters by letters of the same script and case, a Luhn
 number by a Luhn number, an address octet by an octet, a given name by one of the same gender and a
 family name by a made-up one. All mentions of an entity get one surrogate, written in each
@@ -29,7 +30,9 @@ _SYLLABLES = "ba be bo da de do fa fe ka ke ko la le lo ma me mi mo na ne no pa
 _SYLLABLES_RU = "ба бе бо ва ве да де до за ка ке ко ла ле ло ма ме ми мо на не но па пе ра ре ро са се со та те".split()
 
 _TITLE = f"(?:{_MALE_TITLES}|{_FEMALE_TITLES}|{_OTHER_TITLES})"
-_NAME = r"\p{Lu}[\p{L}'’]{1,29}"
+_NAME = r"\p{Lu}[\p{L}'’]{1,29}" + r"(?:[-‐]\p{L}[\p{L}'’]{0,29})?" * 2  # groups that repeat can't be looked for backwards
+_BETWEEN = r"(?:\p{Lu}\. ?|(?:van|von|de|der|den|del|della|di|da|dos|du|la|le|zu|ter|bin|al|el) )"  # initials and particles, which stay
+_EARLIER = f"(?:{_NAME} |{_BETWEEN})?" * 4
 PATTERNS = {
     "email": r"(?<![\w.%+\-])[\w.%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w\-])",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
@@ -37,8 +40,8 @@ PATTERNS = {
     "card": r"(?<![\w.\-])\d(?:[ \-]?\d){12,18}(?![\w\-])",
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
     "phone": r"(?<![\w.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,5}\)[ .\-]?|\d{2,5}[ .\-])\d{3,4}(?:[ .\-]\d{3,4}){1,2}(?![\w\-])|(?<![\w.])(?:\+\d{1,3}[ .\-]?)?\(\d{2,5}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?![\w\-])",
-    "given": rf"(?<=(?<!\w){_TITLE}\.? ){_NAME}(?= {_NAME})",
-    "family": rf"(?<=(?<!\w){_TITLE}\.? (?:\p{{Lu}}[\p{{L}}'’]{{1,29}} )?){_NAME}",
+    "given": rf"(?<=(?<!\w){_TITLE}\.? ){_NAME}(?= {_BETWEEN}{{0,3}}{_NAME})",
+    "family": rf"(?<=(?<!\w){_TITLE}\.? {_EARLIER}){_NAME}",
 }
 _NUMBERS = "(?=[+(0-9])"  # checked first, as most places fail it
 PLAIN = f"(?:{PATTERNS['email']})|(?:{PATTERNS['iban']})|{_NUMBERS}(?:" + "|".join(f"(?:{PATTERNS[k]})" for k in ("ip", "card", "ssn", "phone")) + ")"
@@ -50,9 +53,9 @@ _DIGITS = ("iban", "card", "ssn", "phone")
 def _kind(hit: Column, before: Column, behind: Column) -> Column:
     """The entity's type: by its whole form, and for names by the title before it."""
     found = F.coalesce(*(F.when(hit.rlike(f"^(?:{PATTERNS[k]})$"), F.lit(k)) for k in ("email", "iban", "ip", "card", "ssn", "phone")))
-    title = F.regexp_extract(before, rf"({_TITLE})\.? (?:{_NAME} )?$", 1)
+    title = F.regexp_extract(before, rf"({_TITLE})\.? $", 1)
     gender = F.when(title.rlike(f"^(?:{_MALE_TITLES})$"), F.lit("_m")).when(title.rlike(f"^(?:{_FEMALE_TITLES})$"), F.lit("_f")).otherwise(F.lit("_u"))
-    given = before.rlike(rf"{_TITLE}\.? $") & behind.rlike(f"^ {_NAME}")
+    given = before.rlike(rf"{_TITLE}\.? $") & behind.rlike(f"^ {_BETWEEN}{{0,3}}{_NAME}")
     return F.coalesce(found, F.when(given, F.concat(F.lit("given"), gender)).otherwise(F.lit("family")))
 
 
@@ -76,7 +79,7 @@ def mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:
     t = docs.withColumn("hits", _by(named, lambda p: F.regexp_extract_all(text_col, F.lit(p), F.lit(0)))).where(F.size("hits") > 0)
     t = t.withColumn("_parts", _by(named, lambda p: F.split(text_col, p, -1)))
     # what stands right before and behind a hit; a given name may itself be the hit before a family name
-    beside = F.transform("hits", lambda h, i: F.struct(h.alias("h"), F.concat(F.when((F.length(F.element_at("_parts", i + 1)) <= 1) & (i > 0), F.concat(F.right(F.element_at("_parts", F.greatest(i, F.lit(1))), F.lit(24)), F.element_at("hits", F.greatest(i, F.lit(1))))).otherwise(F.lit("")), F.right(F.element_at("_parts", i + 1), F.lit(64))).alias("b"), F.concat(F.left(F.element_at("_parts", i + 2), F.lit(40)), F.when((F.length(F.element_at("_parts", i + 2)) <= 1) & (i + 2 <= F.size("hits")), F.element_at("hits", F.least(i + 2, F.size("hits")))).otherwise(F.lit(""))).alias("a")))
+    beside = F.transform("hits", lambda h, i: F.struct(h.alias("h"), F.concat(F.when((F.length(F.element_at("_parts", i + 1)) <= 1) & (i > 0), F.concat(F.right(F.element_at("_parts", F.greatest(i, F.lit(1))), F.lit(24)), F.element_at("hits", F.greatest(i, F.lit(1))))).otherwise(F.lit("")), F.right(F.element_at("_parts", i + 1), F.lit(64))).alias("b"), F.concat(F.left(F.element_at("_parts", i + 2), F.lit(40)), F.when((F.length(F.element_at("_parts", i + 2)) <= 24) & (i + 2 <= F.size("hits")), F.element_at("hits", F.least(i + 2, F.size("hits")))).otherwise(F.lit(""))).alias("a")))
     t = t.withColumn("_beside", beside)
     kinds = F.transform("_beside", lambda x: F.struct(_kind(x["h"], x["b"], x["a"]).alias("kind"), x["h"].alias("mention")))
     return t.withColumn("hits", F.transform(kinds, lambda x: F.struct(x["kind"].alias("kind"), _normal(x["kind"], x["mention"]).alias("entity"), x["mention"].alias("mention")))).drop("_parts", "_beside")
@@ -127,14 +130,15 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column
 
 
 def surrogates(entities: DataFrame, key: str, rounds: int = 40) -> DataFrame:
-    """(kind, entity, surrogate) for distinct (kind, entity): one to one, and apart from all entities."""
-    entities = written(entities)
+    """(kind, entity, surrogate) for distinct (kind, entity): one to one, and apart from all entities; names of all kinds count as one."""
+    group = F.when(F.col("kind").startswith("given") | (F.col("kind") == "family"), F.lit("name")).otherwise(F.col("kind"))
+    entities = written(entities.withColumn("of", group))
     drawn = entities.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(F.col("kind"), F.col("entity"), F.lit(0), key))
-    real = entities.select("kind", F.col("entity").alias("_s")).distinct()
+    real = entities.select("of", F.col("entity").alias("_s")).distinct()
     for _ in range(rounds):
         drawn = drawn.withColumn("_s", F.lower("surrogate"))
-        first = Window.partitionBy("kind", "_s").orderBy("entity")
-        drawn = written(drawn.withColumn("again", F.row_number().over(first) > 1).join(real.withColumn("taken", F.lit(True)), ["kind", "_s"], "left").withColumn("again", F.col("again") | F.coalesce("taken", F.lit(False))).drop("_s", "taken"))
+        first = Window.partitionBy("of", "_s").orderBy("entity", "kind")
+        drawn = written(drawn.withColumn("again", F.row_number().over(first) > 1).join(real.withColumn("taken", F.lit(True)), ["of", "_s"], "left").withColumn("again", F.col("again") | F.coalesce("taken", F.lit(False))).drop("_s", "taken"))
         if drawn.where("again").isEmpty():
             return drawn.select("kind", "entity", "surrogate")
         drawn = drawn.withColumn("attempt", F.col("attempt") + F.col("again").cast("int"))
@@ -162,7 +166,12 @@ def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: s
     hit = has_entity(F.col("t"))
     rows = written(mentions(docs.where(hit), "t").withColumn("row", F.monotonically_increasing_id()))
     each = rows.select("row", F.posexplode("hits").alias("nth", "x")).select("row", "nth", "x.*")
-    names = surrogates(each.select("kind", "entity").distinct(), key)
+    given = F.col("kind").startswith("given")
+    each = each.select("row", "nth", F.when(given, "given").otherwise(F.col("kind")).alias("kind"), "entity", "mention", F.col("kind").alias("as"))
+    titles = each.groupBy("kind", "entity").agg(F.max(F.col("as") == "given_m").alias("m"), F.max(F.col("as") == "given_f").alias("f"))
+    gender = F.when(F.col("m") & ~F.col("f"), "_m").when(F.col("f") & ~F.col("m"), "_f").otherwise("_u")
+    names = surrogates(titles.select(F.when(F.col("kind") == "given", F.concat("kind", gender)).otherwise(F.col("kind")).alias("kind"), "entity"), key)
+    names = names.withColumn("kind", F.when(given, "given").otherwise(F.col("kind")))
     # an entity of very many mentions is split by the salt
     salts = 8
     names = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -67,6 +67,20 @@ def test_surrogates(spark):
     assert S.pseudonymised(df.limit(0), "k").count() == 0
 
 
+def test_given_names_are_one_kind(spark):
+    pool = [*S._MALE, *S._FEMALE]
+    texts = ["Dr Maria Lopez met Mrs Maria Lopez", "Mr Jean-Luc Picard and Mr Peter Paul van der Berg and Dr John F. Kennedy-Smith."]
+    texts += [f"{t} {c}x{i} Stone" for i, (t, c) in enumerate((t, c) for t in ("Mr", "Mrs", "Dr") for c in ("Ka", "Lo", "Mi", "Nu", "Pe", "Ra", "So", "Ta", "Vu", "We"))]
+    texts = [re.sub(r"x(\d+)", lambda m: "abcdefghijklmnopqrstuvwxyz"[int(m[1]) % 26] + "q", t) for t in texts] + [f"Dr {n} Stone" for n in pool[:8]]
+    out = {r.doc_id: r.text for r in S.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    a = re.fullmatch(r"Dr (\S+) (\S+) met Mrs (\S+) (\S+)", out[0])
+    assert a[1] == a[3] and a[2] == a[4] and a[1].split("-")[0] in S._FEMALE
+    b = re.fullmatch(r"Mr (\S+) (\S+) and Mr (\S+) (\S+) van der (\S+) and Dr (\S+) F\. (\S+)\.", out[1])
+    assert b and not {"Jean-Luc", "Luc", "Picard", "Peter", "Paul", "Berg", "John", "Kennedy-Smith", "Smith"} & {x for g in b.groups() for x in (g, *g.split("-"))}
+    pairs = {t.split()[1]: out[i].split()[1] for i, t in enumerate(texts) if i > 1}
+    assert len(set(pairs.values())) == len(pairs) and not set(pairs.values()) & set(pairs)
+
+
 def test_surrogates_are_one_to_one(spark):
     many = spark.range(700).select(F.lit("given_f").alias("kind"), F.concat(F.lit("name"), F.col("id").cast("string")).alias("entity"))
     some = spark.range(60).select(F.lit("phone").alias("kind"), F.lpad(F.col("id").cast("string"), 3, "0").alias("entity"))
