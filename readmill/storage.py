@@ -9,13 +9,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROW_GROUP = 16 << 20  # bytes; a task holds one in memory while it writes
+_held: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where that is unset (tests)."""
+    """spark.checkpoint.dir, or a local folder where that is unset and executors are threads of this process (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = set_.get() if set_.isDefined() else None
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="readmill-")
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -30,9 +36,17 @@ def _drop(spark: SparkSession, path: str) -> None:
 
 
 def materialized(df: DataFrame) -> DataFrame:
-    """df as a Parquet table, read again; it goes when the driver's Python ends."""
+    """df as a Parquet table, read again; it goes with `release`, or when the driver's Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/readmill-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_drop, spark, path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
+    if not _held:
+        atexit.register(release, spark)
+    _held.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Drops the tables written so far. For long sessions, once the results made from them are written."""
+    while _held:
+        _drop(spark, _held.pop())
