@@ -60,14 +60,9 @@ def decoded(kmer_code: Column, k: int) -> Column:
     return F.translate(F.lpad(F.conv(kmer_code.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
 
 
-def qualities(qual: Column, base: int = 33) -> Column:
-    return F.transform(F.split(qual, ""), lambda c: F.ascii(c) - base)
-
-
-def window_quality(qual: Column, k: int, base: int = 33) -> Column:
-    """Least quality of every k-mer's bases, in order."""
-    n = F.length(qual)
-    return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_min(qualities(F.substring(qual, i, F.lit(k)), base)))).otherwise(F.array().cast("array<int>"))
+def least_quality(qual: Column, base: int = 33) -> Column:
+    """The least quality of a string of them; characters order as their codes do."""
+    return F.ascii(F.array_min(F.split(qual, ""))) - base
 
 
 def safe_ratio(a: Column, b: Column) -> Column:

@@ -35,23 +35,38 @@ def preorder_parents(report: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("parent", F.last(F.when(F.col("_asks") == 0, F.col("taxid")), ignorenulls=True).over(w)).where("_asks = 1").drop("_asks", "_level")
 
 
+def _coded(reads: DataFrame, k: int, keys: tuple[str, ...]) -> DataFrame:
+    """k-mers without N of reads (keys, seq[, seq2]); a pair's second mate comes behind the first."""
+    rows = K.kmer_rows(reads, k, keys=keys, coded=k <= 31)
+    if "seq2" in reads.columns:
+        second = K.kmer_rows(reads.where("seq2 is not null"), k, seq="seq2", keys=keys, coded=k <= 31)
+        rows = rows.unionByName(second.withColumn("pos", F.col("pos") + (1 << 30)))
+    return rows.where(~F.col("has_n"))
+
+
 def kmer_taxa(references: DataFrame, taxonomy: DataFrame, k: int, up: DataFrame | None = None) -> DataFrame:
-    """(canon, taxid): each k-mer's lowest common ancestor over the references (taxid, seq) that hold it."""
-    rows = K.kmer_rows(references.withColumn("read_id", F.col("taxid")), k, keys=("taxid",)).where("not has_n").select("canon", "taxid").distinct()
+    """(canon, taxid): each k-mer's lowest common ancestor over the references (taxid, seq) that hold it; canon as in `kmers.kmer_rows`, coded up to k = 31."""
+    rows = _coded(references, k, ("taxid",)).select("canon", "taxid").distinct()
     up = closure(taxonomy) if up is None else up
-    shared = rows.join(up, "taxid").groupBy("canon", "ancestor").agg(F.count(F.lit(1)).alias("c"))
-    total = rows.groupBy("canon").agg(F.count(F.lit(1)).alias("n"))
+    one = rows.groupBy("canon").agg(F.count(F.lit(1)).alias("n"), F.min("taxid").alias("taxid"))
+    # most k-mers belong to one taxon, which is its own ancestor; only the others go through the tree
+    several = rows.join(one.where("n > 1").select("canon", "n"), "canon")
+    shared = several.join(up, "taxid").groupBy("canon", "ancestor", "n").agg(F.count(F.lit(1)).alias("c")).where("c = n")
     depth = up.groupBy("taxid").agg(F.max("up").alias("depth")).withColumnRenamed("taxid", "ancestor")
-    common = shared.join(total, "canon").where("c = n").join(depth, "ancestor")
-    return common.groupBy("canon").agg(F.max_by("ancestor", F.struct(F.col("depth"), -F.col("ancestor"))).alias("taxid"))
+    common = shared.join(depth, "ancestor").groupBy("canon").agg(F.max_by("ancestor", F.struct(F.col("depth"), -F.col("ancestor"))).alias("taxid"))
+    alone = one.where("n = 1").select("canon", "taxid").join(up.where("up = 0").select("taxid"), "taxid", "left_semi")
+    return alone.select("canon", "taxid").unionByName(common)
 
 
-def classify(reads: DataFrame, table: DataFrame, taxonomy: DataFrame, k: int, quick_hits: int = 0, up: DataFrame | None = None) -> DataFrame:
-    """(read_id, taxid, hits) for every read; taxid 0 where no k-mer is known.
+def classify(reads: DataFrame, table: DataFrame, taxonomy: DataFrame, k: int, quick_hits: int = 0, up: DataFrame | None = None, few: int = 1_000_000) -> DataFrame:
+    """(read_id, taxid, hits) for every read (read_id, seq[, seq2]); taxid 0 where no k-mer is known.
 
-    The table is joined by a shuffle on the k-mer. quick_hits > 0: only the first hits of a read count.
+    A table of at most `few` k-mers (16 bytes each) goes to every task; a larger one is joined by a
+    shuffle on the k-mer. quick_hits > 0: only the first hits of a read count.
     """
-    rows = K.kmer_rows(reads, k).where("not has_n").join(table, "canon")
+    rows = _coded(reads, k, ("read_id",))
+    small = table.limit(few + 1).count() <= few
+    rows = rows.join(F.broadcast(table) if small else table, "canon")
     if quick_hits:
         w = Window.partitionBy("read_id").orderBy("pos")
         rows = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= quick_hits)
@@ -60,22 +75,51 @@ def classify(reads: DataFrame, table: DataFrame, taxonomy: DataFrame, k: int, qu
     path = hits.select("read_id", "taxid").join(up, "taxid").join(hits.select("read_id", F.col("taxid").alias("ancestor"), "hits"), ["read_id", "ancestor"])
     scores = path.groupBy("read_id", "taxid").agg(F.sum("hits").alias("hits"))
     best = scores.withColumn("_m", F.max("hits").over(Window.partitionBy("read_id"))).where("hits = _m")
-    n = best.groupBy("read_id").agg(F.count(F.lit(1)).alias("n"), F.max("hits").alias("hits"))
+    n = best.groupBy("read_id").agg(F.count(F.lit(1)).alias("n"), F.max("hits").alias("hits"), F.min("taxid").alias("taxid"))
+    # one best taxon is the answer; ties go to their lowest common ancestor
+    tied = best.select("read_id", "taxid").join(n.where("n > 1").select("read_id", "n", F.col("hits").alias("h")), "read_id")
     depth = up.groupBy("taxid").agg(F.max("up").alias("depth")).withColumnRenamed("taxid", "ancestor")
-    lca = best.select("read_id", "taxid").join(up, "taxid").groupBy("read_id", "ancestor").agg(F.count(F.lit(1)).alias("c")).join(n, "read_id").where("c = n").join(depth, "ancestor")
-    found = lca.groupBy("read_id").agg(F.max_by("ancestor", F.struct(F.col("depth"), -F.col("ancestor"))).alias("taxid"), F.max("hits").alias("hits"))
+    lca = tied.join(up, "taxid").groupBy("read_id", "ancestor", "n", "h").agg(F.count(F.lit(1)).alias("c")).where("c = n").join(depth, "ancestor")
+    lca = lca.groupBy("read_id").agg(F.max_by("ancestor", F.struct(F.col("depth"), -F.col("ancestor"))).alias("taxid"), F.max("h").alias("hits"))
+    found = n.where("n = 1").select("read_id", "taxid", "hits").unionByName(lca)
     return reads.select("read_id").join(found, "read_id", "left").select("read_id", F.coalesce("taxid", F.lit(0)).alias("taxid"), F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
 def taxon_kmers(reads: DataFrame, calls: DataFrame, table: DataFrame, k: int) -> DataFrame:
-    """(taxid, kmers, dup): distinct known k-mers of reads by the k-mer's taxon, and occurrences for each."""
-    rows = K.kmer_rows(reads, k).where("not has_n").join(table, "canon").join(calls.where("taxid > 0").select("read_id"), "read_id", "left_semi")
+    """(taxid, kmers, dup): distinct known k-mers (estimated, within a hundredth) of classified reads by the k-mer's taxon, and occurrences for each."""
+    rows = _coded(reads, k, ("read_id",)).join(table, "canon").join(calls.where("taxid > 0").select("read_id"), "read_id", "left_semi")
     return rows.groupBy("taxid").agg(F.approx_count_distinct("canon", 0.01).alias("kmers"), F.count(F.lit(1)).alias("_n")).select("taxid", "kmers", (F.col("_n") / F.col("kmers")).alias("dup"))
 
 
-def rollup(direct: DataFrame, taxonomy: DataFrame, value: str = "tax_reads") -> DataFrame:
+def report(calls: DataFrame, kmers: DataFrame, taxonomy: DataFrame, up: DataFrame) -> DataFrame:
+    """(order, depth, percent, reads, tax_reads, kmers, dup, cov, taxid, rank, name) of all taxa with reads, in pre-order: children of a taxon by id.
+
+    kmers and dup are those of the taxon itself; cov, which needs genome sizes, is null.
+    """
+    direct = calls.groupBy("taxid").agg(F.count(F.lit(1)).alias("tax_reads"))
+    rows = rollup(direct, taxonomy, up=up)
+    way = up.groupBy("taxid").agg(F.transform(F.sort_array(F.collect_list(F.struct("up", "ancestor")), asc=False), lambda x: x["ancestor"]).alias("order"))  # as long as the tree is deep
+    named = rows.join(taxonomy.select("taxid", "rank", "name"), "taxid", "left").join(way, "taxid", "left").join(kmers, "taxid", "left")
+    none = F.col("taxid") == 0
+    return named.select(F.coalesce("order", F.array(F.lit(-1).cast("bigint"))).alias("order"), F.coalesce(F.size("order") - 1, F.lit(0)).alias("depth"), "percent", "reads", "tax_reads", F.coalesce("kmers", F.lit(0)).alias("kmers"), F.coalesce("dup", F.lit(0.0)).alias("dup"), F.lit(None).cast("double").alias("cov"), "taxid", F.when(none, "no rank").otherwise(F.coalesce("rank", F.lit("no rank"))).alias("rank"), F.when(none, "unclassified").otherwise(F.coalesce("name", F.lit(""))).alias("name"))
+
+
+# Fixed value: the columns of a written report
+REPORT_COLUMNS = ["%", "reads", "taxReads", "kmers", "dup", "cov", "taxID", "rank", "taxName"]
+
+
+def report_lines(r: DataFrame) -> DataFrame:
+    """A report as the text lines of its file, one partition in order; names are indented by their depth."""
+    name = F.concat(F.repeat(F.lit("  "), F.col("depth")), "name")
+    number = lambda c, places: F.format_string(f"%.{places}g", F.col(c))
+    text = F.concat_ws("\t", number("percent", 4), *(F.col(c).cast("string") for c in ("reads", "tax_reads", "kmers")), number("dup", 3), F.coalesce(F.col("cov").cast("string"), F.lit("NA")), F.col("taxid").cast("string"), "rank", name)
+    head = r.sparkSession.range(1).select(F.array(F.lit(-2).cast("bigint")).alias("order"), F.lit("\t".join(REPORT_COLUMNS)).alias("value"))
+    return head.unionByName(r.select("order", text.alias("value"))).coalesce(1).sortWithinPartitions("order").select("value")
+
+
+def rollup(direct: DataFrame, taxonomy: DataFrame, value: str = "tax_reads", up: DataFrame | None = None) -> DataFrame:
     """(taxid, value, reads, percent): clade sums over (taxid, value); percent of all, unclassified (0) included."""
-    up = closure(taxonomy)
+    up = closure(taxonomy) if up is None else up
     clade = direct.join(up, "taxid").groupBy("ancestor").agg(F.sum(value).alias("reads")).withColumnRenamed("ancestor", "taxid")
     own = direct.groupBy("taxid").agg(F.sum(value).alias(value))
     rows = clade.join(own, "taxid", "left").unionByName(own.where("taxid = 0").withColumn("reads", F.col(value)))
@@ -83,12 +127,12 @@ def rollup(direct: DataFrame, taxonomy: DataFrame, value: str = "tax_reads") ->
     return rows.join(F.broadcast(total)).select("taxid", F.coalesce(value, F.lit(0)).alias(value), "reads", (100 * F.col("reads") / F.col("_t")).alias("percent"))
 
 
-def extract_rank(report: DataFrame, rank: str) -> DataFrame:
-    """Rows of exactly this rank with reads of their own."""
-    return report.where((F.col("rank") == rank) & (F.col("tax_reads") > 0))
+def extract_ranks(report: DataFrame, ranks: list[str]) -> DataFrame:
+    """Rows of exactly these ranks with reads of their own."""
+    return report.where(F.col("rank").isin(*ranks) & (F.col("tax_reads") > 0))
 
 
 def to_predictions(report: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, level, taxid, fraction, abundance, rank, name) at genus and species."""
-    x = report.where(F.col("rank").isin("genus", "species") & (F.col("tax_reads") > 0)).join(totals, keys)
+    x = extract_ranks(report, ["genus", "species"]).join(totals, keys)
     return x.select(*keys, F.col("rank").alias("level"), "taxid", S.safe_ratio(F.col("tax_reads"), F.col("total_reads")).alias("fraction"), F.col("tax_reads").cast("double").alias("abundance"), "rank", "name")

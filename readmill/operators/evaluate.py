@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readmill.functions import sequences as S
@@ -32,13 +32,22 @@ def best_f1(curve: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return x.select(*keys, "x.precision", "x.recall", "x.f1", F.col("x.tp").cast("bigint").alias("tp"), (F.col("x.rank") - F.col("x.tp")).cast("bigint").alias("fp"), (F.coalesce("x.n_truth", F.lit(0)) - F.col("x.tp")).cast("bigint").alias("fn"))
 
 
+def questions(pred: DataFrame, truth: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Distinct keys that are to be answered: those of predictions, and the truth's, which every tool that predicts anything in a dataset answers at all levels."""
+    of = [k for k in keys if k in truth.columns]
+    asked = truth.select(*of).distinct()
+    if extra := [k for k in keys if k not in of]:
+        by = [k for k in of if k != "level"]
+        asked = pred.select(*extra, *by).distinct().join(asked, by) if by else pred.select(*extra).distinct().join(F.broadcast(asked))
+    return pred.select(*keys).distinct().unionByName(asked.select(*keys)).distinct()
+
+
 def aupr(pred: DataFrame, truth: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Area under the precision-recall curve over predictions and truth together; equal scores are one step, trapezoids from (0, 1)."""
     of = [k for k in keys if k in truth.columns]
-    extra = [k for k in keys if k not in of]
     t = truth.select(*of, "taxid").distinct().withColumn("_y", F.lit(1))
-    if extra:  # every tool with predictions answers for the whole truth of its datasets
-        t = pred.select(*keys).distinct().join(t, of)
+    if len(of) < len(keys):
+        t = questions(pred, truth, keys).join(t, of)
     both = pred.select(*keys, "taxid", "abundance").join(t, [*keys, "taxid"], "full").select(*keys, F.coalesce("abundance", F.lit(0.0)).alias("s"), F.coalesce("_y", F.lit(0)).alias("y"))
     steps = both.groupBy(*keys, "s").agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(*keys).orderBy(F.desc("s"))
@@ -49,8 +58,16 @@ def aupr(pred: DataFrame, truth: DataFrame, keys: list[str] = KEYS) -> DataFrame
     return steps.withColumn("_a", area).groupBy(*keys).agg(F.sum("_a").alias("aupr"))
 
 
-def metrics(pred: DataFrame, truth: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    return best_f1(prefix_curve(pred, truth, keys), keys).join(aupr(pred, truth, keys), keys)
+def metrics(pred: DataFrame, truth: DataFrame, keys: list[str] = KEYS, asked: DataFrame | None = None) -> DataFrame:
+    """(keys, precision, recall, f1, tp, fp, fn, aupr) for all `questions` (and those asked); without predictions all rates are 0 and fn is the truth's size."""
+    of = [k for k in keys if k in truth.columns]
+    size = truth.select(*of, "taxid").distinct().groupBy(*of).agg(F.count(F.lit(1)).alias("_n"))
+    keyed = questions(pred, truth, keys)
+    keyed = keyed.unionByName(asked.select(*keys)).distinct() if asked is not None else keyed
+    found = keyed.join(size, of, "left").join(best_f1(prefix_curve(pred, truth, keys), keys), keys, "left").join(aupr(pred, truth, keys), keys, "left")
+    zero = {c: F.coalesce(c, F.lit(0.0)) for c in ("precision", "recall", "f1")} | {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("tp", "fp")} | {"fn": F.coalesce("fn", "_n", F.lit(0).cast("bigint"))}
+    # a curve over truth alone has one step of score 0 whose area is not a tool's: nothing was predicted
+    return found.withColumns({"aupr": F.when(F.col("precision").isNull(), 0.0).otherwise(F.coalesce("aupr", F.lit(0.0)))} | zero).drop("_n")
 
 
 def confusion(pred: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
@@ -81,12 +98,26 @@ def summary(results: DataFrame, values: list[str], tool: str = "tool") -> DataFr
     return results.groupBy(tool).agg(F.count(F.lit(1)).alias("n_datasets"), *(f(v).alias(f"{v}_{n}") for v in values for n, f in (("mean", F.avg), ("std", F.stddev_pop))))
 
 
+def param_set_in(tool: Column, preprocessing: DataFrame) -> Column:
+    """The longest parameter set of preprocessing (dataset, param_set, ...) that the tool's name holds, but for a mark of quick runs; null if none."""
+    names = [r.param_set for r in preprocessing.select("param_set").distinct().collect()]  # as many as a sweep has
+    found = [(n, F.replace(tool, F.lit("_quick"), F.lit("")).contains(n)) for n in sorted(names, key=lambda n: (-len(n), n))]
+    return F.coalesce(F.lit(None).cast("string"), *(F.when(c, F.lit(n)) for n, c in found))
+
+
 def with_runtimes(results: DataFrame, runtimes: DataFrame, normalizer: DataFrame | None = None) -> DataFrame:
     """results with `runtime_s`, and the normalizer's `preprocess_s` for (dataset, param_set), 0 where there is none."""
-    out = results.join(runtimes, [c for c in ("tool", "dataset") if c in runtimes.columns], "left")
+    out = results.join(runtimes.select("tool", "dataset", "runtime_s") if "tool" in runtimes.columns else runtimes.select("dataset", "runtime_s"), [c for c in ("tool", "dataset") if c in runtimes.columns], "left")
     if normalizer is None:
         return out.withColumn("preprocess_s", F.lit(0.0))
-    return out.join(normalizer.select("dataset", "param_set", F.col("runtime_s").alias("preprocess_s")), ["dataset", "param_set"], "left").withColumn("preprocess_s", F.coalesce("preprocess_s", F.lit(0.0)))
+    before = normalizer.select("dataset", "param_set", F.col("runtime_s").cast("double").alias("preprocess_s"))
+    return out.join(before, ["dataset", "param_set"], "left").withColumn("preprocess_s", F.coalesce("preprocess_s", F.lit(0.0)))
+
+
+def metric_plot(results: DataFrame, values: tuple[str, ...] = ("f1", "recall")) -> DataFrame:
+    """Rows of the grouped bars of a plot: (tool, level, value, mean, std) of metrics (tool, dataset, level, ...)."""
+    long = results.select("tool", "level", F.explode(F.array(*(F.struct(F.lit(v).alias("value"), F.col(v).alias("x")) for v in values))).alias("v"))
+    return long.groupBy("tool", "level", F.col("v.value").alias("value")).agg(F.avg("v.x").alias("mean"), F.stddev_pop("v.x").alias("std"))
 
 
 def runtime_plot(results: DataFrame) -> DataFrame:

@@ -8,28 +8,64 @@ from pyspark.sql import functions as F
 from readmill.functions import sequences as S
 
 
-def kmer_rows(reads: DataFrame, k: int, seq: str = "seq", qual: str | None = None, keys: tuple[str, ...] = ("read_id",)) -> DataFrame:
-    """(keys, pos, canon, has_n[, min_qual]): a row for each k-mer of each read."""
-    w = S.windows(F.col(seq), k)
+PIECE = 256  # windows cut from one string: each is found by walking from the string's start
+
+
+def _pieces(reads: DataFrame, k: int, seq: str, qual: str | None, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, at, s[, q]): consecutive parts of each sequence, upper case and N for other letters, with the k - 1 bases that follow; `at` is where a part begins."""
+    cut = lambda c: F.regexp_extract_all(c, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    cols = {"s": S.clean_bases(F.col(seq))} | ({"q": F.coalesce(F.col(qual), F.lit(""))} if qual else {})
+    parts = reads.select(*keys, *(cut(v).alias(f"_{c}") for c, v in cols.items()))
+    # a part and the one behind it side by side, so that no part is cut again for its neighbour
+    beside = [x for c in cols for x in (F.col(f"_{c}"), F.concat(F.slice(f"_{c}", 2, F.greatest(F.size(f"_{c}"), F.lit(1))), F.array(F.lit(""))))]
+    names = [x for c in cols for x in (c, f"{c}_next")]
+    rows = parts.select(*keys, F.posexplode(F.arrays_zip(*(x.alias(n) for x, n in zip(beside, names, strict=True)))).alias("_i", "_x")).where(F.col("_x")["s"].isNotNull())
+    return rows.select(*keys, (F.col("_i") * PIECE).alias("at"), *(F.concat(F.col("_x")[c], F.left(F.coalesce(F.col("_x")[f"{c}_next"], F.lit("")), F.lit(k - 1))).alias(c) for c in cols))
+
+
+def kmer_rows(reads: DataFrame, k: int, seq: str = "seq", qual: str | None = None, keys: tuple[str, ...] = ("read_id",), coded: bool = False) -> DataFrame:
+    """(keys, pos, canon, has_n[, min_qual]): a row for each k-mer of each read, letters but A, C, G, T (in either case) as N.
+
+    Strands are turned once for a part of a read, not for each k-mer. k is at most PIECE. coded:
+    canon is a number (see `code`), which shuffles and joins faster; k is at most 31. A k-mer
+    without qualities of its own has a min_qual above all.
+    """
+    one = F.translate("s", "N", "A")
+    parts = _pieces(reads, k, seq, qual, keys).select("*", one.alias("f"), S.reverse_complement(one).alias("r"), F.length("s").alias("n"))
+    if coded:
+        parts = parts.withColumns({c: F.translate(c, "ACGT", "0123") for c in ("f", "r")})  # the order is the same
+    i, n = F.col("i"), F.col("n")
+    many = F.least(n - k + 1, F.lit(PIECE))  # n isn't null, as least would pass it over
+    rows = parts.select("*", F.explode(F.when(many > 0, F.sequence(F.lit(1), many))).alias("i"))
+    window = lambda c, at: F.substring(c, at, F.lit(k))
+    canon = F.greatest(window("f", i), window("r", n - k - i + 2))
+    cols = [(F.col("at") + i - 1).alias("pos"), (_number(canon, k) if coded else canon).alias("canon"), S.has_n(window("s", i)).alias("has_n")]
     if qual:
-        q = S.window_quality(F.col(qual), k)
-        rows = reads.select(*keys, F.posexplode(F.arrays_zip(w.alias("w"), q.alias("q"))).alias("pos", "x"))
-        rows = rows.select(*keys, "pos", F.col("x")["w"].alias("w"), F.col("x")["q"].alias("min_qual"))
-    else:
-        rows = reads.select(*keys, F.posexplode(w).alias("pos", "w"))
-    return rows.select(*keys, "pos", S.canonical(F.col("w")).alias("canon"), S.has_n(F.col("w")).alias("has_n"), *(["min_qual"] if qual else []))
-
-
-def kmer_counts(reads: DataFrame, k: int, seq: str = "seq", with_n: bool = False) -> DataFrame:
-    """(canon, n, d): occurrences, and reads that hold the k-mer. Counted within each read before the shuffle."""
-    w = S.windows(F.col(seq), k)
-    if not with_n:
-        w = F.filter(w, lambda x: ~S.has_n(x))
-    # exploding an array of one keeps the sorted k-mers from being computed again for every element
-    rows = reads.select(F.explode(F.array(F.array_sort(F.transform(w, S.canonical)))).alias("c"))
-    each = F.transform("c", lambda x, i: F.struct(x.alias("canon"), F.when((i == 0) | (F.get("c", i - 1) != x), 1).otherwise(0).alias("first")))
-    rows = rows.select(F.explode(each).alias("x"))
-    return rows.groupBy(F.col("x.canon").alias("canon")).agg(F.count(F.lit(1)).alias("n"), F.sum("x.first").alias("d"))
+        cols.append(F.when(F.length(window("q", i)) == k, S.least_quality(window("q", i))).otherwise(F.lit(1 << 20)).alias("min_qual"))
+    return rows.select(*keys, *cols)
+
+
+def _number(digits: Column, k: int) -> Column:
+    """k digits 0 to 3 as one number: read as decimal while that fits, else to the base of 4."""
+    return digits.cast("bigint") if k <= 18 else F.conv(digits, 4, 10).cast("bigint")
+
+
+def code(canon: Column, k: int) -> Column:
+    """The number of a k-mer in rows that are `coded`."""
+    return _number(F.translate(canon, "ACGT", "0123"), k)
+
+
+def decoded(number: Column, k: int) -> Column:
+    """The k-mer of such a number."""
+    digits = number.cast("string") if k <= 18 else F.conv(number.cast("string"), 10, 4)
+    return F.translate(F.lpad(digits, k, "0"), "0123", "ACGT")
+
+
+def kmer_counts(reads: DataFrame, k: int, seq: str = "seq", key: str = "read_id") -> DataFrame:
+    """(canon, n, d): occurrences, and reads that hold the k-mer. Occurrences in a read are summed before the first shuffle, those of a k-mer before the second."""
+    rows = kmer_rows(reads, k, seq, keys=(key,), coded=k <= 31).where(~F.col("has_n"))
+    found = rows.groupBy("canon", key).agg(F.count(F.lit(1)).alias("n")).groupBy("canon").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d"))
+    return found.withColumn("canon", decoded(F.col("canon"), k)) if k <= 31 else found
 
 
 def document_frequency(rows: DataFrame, read: str = "read_id", with_n: bool = False) -> DataFrame:
@@ -56,16 +92,24 @@ def row_cell(code: Column, row: Column, cells: int) -> Column:
 
 
 def sketch(rows: DataFrame, t: int, cells: int, read: str = "read_id") -> DataFrame:
-    """(row, cell, cnt): a count-min sketch as a relation; a read adds one to a cell at most."""
-    each = rows.where(~F.col("has_n")).select(read, S.code(F.col("canon")).alias("code"), F.explode(F.sequence(F.lit(0), F.lit(t - 1))).alias("row"))
-    each = each.select(read, "row", row_cell(F.col("code"), F.col("row"), cells).cast("int").alias("cell")).distinct()
-    return each.groupBy("row", "cell").agg(F.least(F.count(F.lit(1)), F.lit(S.COUNT_MAX)).cast("int").alias("cnt"))
-
-
-def estimates(kmers: DataFrame, table: DataFrame, t: int, cells: int) -> DataFrame:
-    """(canon, est): the least cell of each distinct k-mer."""
-    each = kmers.select("canon").distinct().select("canon", F.explode(F.sequence(F.lit(0), F.lit(t - 1))).alias("row"))
-    each = each.withColumn("cell", row_cell(S.code(F.col("canon")), F.col("row"), cells).cast("int"))
+    """(row, cell, cnt): a count-min sketch as a relation; a read adds one to a cell at most.
+
+    A read's cells are a set (of t * cells at most) before anything is shuffled, as its rows lie
+    together; sums of cells are made in each task first.
+    """
+    each = rows.where(~F.col("has_n")).select(read, S.code(F.col("canon")).alias("code"))
+    at = F.array(*((row_cell(F.col("code"), F.lit(r), cells) + r * cells).cast("int") for r in range(t)))
+    sets = each.select(read, F.explode(at).alias("c")).groupBy(read).agg(F.collect_set("c").alias("c"))
+    found = sets.select(F.explode("c").alias("c")).groupBy("c").agg(F.least(F.count(F.lit(1)), F.lit(S.COUNT_MAX)).cast("int").alias("cnt"))
+    return found.select(F.floor(F.col("c") / cells).cast("int").alias("row"), (F.col("c") % cells).alias("cell"), "cnt")
+
+
+def estimates(kmers: DataFrame, table: DataFrame, t: int, cells: int, few: int = 1 << 22) -> DataFrame:
+    """(canon, est): the least cell of each distinct k-mer. A table of at most `few` cells goes to every task, so that k-mers are shuffled once."""
+    each = kmers.select("canon").distinct()
+    at = F.array(*(F.struct(F.lit(r).alias("row"), row_cell(S.code(F.col("canon")), F.lit(r), cells).cast("int").alias("cell")) for r in range(t)))
+    each = each.select("canon", F.explode(at).alias("x")).select("canon", "x.row", "x.cell")
+    table = F.broadcast(table) if t * cells <= few else table
     return each.join(table, ["row", "cell"], "left").groupBy("canon").agg(F.min(F.coalesce("cnt", F.lit(0))).alias("est"))
 
 

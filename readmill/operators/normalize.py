@@ -4,11 +4,14 @@ Runs (`run_id`) are independent and spread over the cluster; within a run order
 is one sorted stream through one task. Reads arrive in batches; the state is a count-min sketch of
 fixed size (t rows of 2^bits one-byte cells), or exact counts in a dictionary for small inputs. The
 batched mode gives up order within a batch instead: all its reads are judged by the counts before
-it, with joins and aggregates only.
+it, with joins and aggregates only. Each run is a key of one shuffle; give more shuffle partitions
+than there are runs, so that few meet in a task.
 """
 
 from __future__ import annotations
 
+import sys
+import time
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -20,8 +23,12 @@ from pyspark.sql import functions as F
 from readmill.functions import hashing
 from readmill.functions import sequences as S
 
+from readmill.storage import materialized
+
 from . import kmers as K
+from . import reads as R
 from .decide import Params, keep, keep_array
+from .reads import kept_percent
 
 _CODE = np.zeros(256, np.uint8)
 for _i, _c in enumerate("ACGT"):
@@ -94,18 +101,18 @@ class Filter:
         self.p, self.counter, self.max_len, self.count_n, self.first_min = p, counter, max_len, count_n, first_min
         self.stats: dict[str, int] = defaultdict(int)
 
-    def judge(self, seq1: str, qual1: str | None, seq2: str | None = None, qual2: str | None = None) -> tuple[bool, str | None, list[int]]:
-        """(kept, reason if rejected early, estimated counts)."""
+    def judge(self, seq1: str, qual1: str | None, seq2: str | None = None, qual2: str | None = None) -> tuple[bool, str | None, list[int], list[int]]:
+        """(kept, reason if not, estimated counts of mate 1's k-mers, of mate 2's)."""
         p, st = self.p, self.stats
         mates = [(s[: self.max_len].encode(), (q or "")[: self.max_len].encode()) for s, q in ((seq1 or "", qual1), (seq2, qual2)) if s is not None]
         kind = "paired" if len(mates) == 2 else "unpaired"
         st[f"{kind}_in"] += 1
         if any(len(s) < p.k for s, _ in mates):
             st["too_short"] += 1
-            return False, "too_short", []
+            return False, "too_short", [], []
         if p.N >= 0 and sum(s.count(b"N") + s.count(b"n") for s, _ in mates) > p.N:
             st["too_many_n"] += 1
-            return False, "too_many_n", []
+            return False, "too_many_n", [], []
         each = [codes(s, p.k, self.first_min and not i) for i, (s, _) in enumerate(mates)]
         x, bad = (np.concatenate(c) for c in zip(*each, strict=True))
         c, snapshot = self.counter.counts(x)
@@ -119,7 +126,7 @@ class Filter:
             st["new_kmers"] += len(np.unique(x[chosen & (c == 0)]))
             self.counter.add(x, snapshot, np.flatnonzero(chosen))
             st[f"{kind}_out"] += 1
-        return kept, None if kept else "redundant", c.tolist()
+        return kept, None if kept else "redundant", c[:cut].tolist(), c[cut:].tolist()
 
     def _least(self, qual: bytes, n: int) -> np.ndarray:
         """Least quality of each k-mer; without qualities every k-mer passes."""
@@ -138,83 +145,135 @@ def _nth(reads: DataFrame):
     return (F.col("nth") if "nth" in reads.columns else F.lit(0)).cast("int").alias("nth")
 
 
-_VERDICT = "run_id string, file_nr int, ord long, nth int, kept boolean, reason string, counts array<int>"
-
+_VERDICT = "run_id string, file_nr int, ord long, nth int, kept boolean, reason string, counts array<int>, counts2 array<int>"
+_STATS = ("unpaired_in", "paired_in", "too_short", "too_many_n", "kmers", "kmers_with_n", "new_kmers", "unpaired_out", "paired_out", "millis")
+_ROW = f"kind int, {_VERDICT}, stats array<long>, histogram array<long>, row int, part int, cells binary"
+_PART = 1 << 20  # bytes of a sketch's row in one row of the result
+TICK = 100_000  # reads between two lines of progress
 
-def normalize(reads: DataFrame, params: Params, kind: str = "sketch", t: int = 10, bits: int = 20, hash_set: int = 1, max_len: int = S.MAX_LEN, count_n: bool = False, first_min: bool = False, detail: bool = False) -> DataFrame:
-    """Verdicts (run_id, file_nr, ord, kept, reason, counts) for reads (run_id, file_nr, ord, seq[, qual, seq2, qual2]).
 
-    A run may carry its own parameters in columns named as those of Params. Null sequences count as
-    empty (too short). A column `nth` orders the reads of one (file_nr, ord) and is returned too. Rows
-    with equal places are taken in the order of their sequences.
-    """
+def _pass(reads: DataFrame, params: Params, kind: str, t: int, bits: int, hash_set: int, max_len: int, count_n: bool, first_min: bool, detail: bool, verdicts: bool, statistics: bool, dump: bool, progress: bool) -> DataFrame:
+    """One pass over all runs: rows of verdicts (kind 0), and a run's statistics (1) and sketch (2) behind its last read."""
     own = [c for c in ("d", "k", "A", "B", "C", "N", "Q") if c in reads.columns]
     cols = [F.col(c).cast("string").alias(c) if c in reads.columns else F.lit(None).cast("string").alias(c) for c in ("seq", "qual", "seq2", "qual2")]
     rows = reads.select(F.col("run_id").cast("string").alias("run_id"), F.col("file_nr").cast("int").alias("file_nr"), F.col("ord").cast("long").alias("ord"), _nth(reads), *cols, *(F.col(c).cast("int").alias(c) for c in own))
     sorted_ = rows.repartition("run_id").sortWithinPartitions("run_id", "file_nr", "ord", "nth", "seq")
+    types = [pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary()]
+    names = [x.split()[0] for x in _ROW.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run_id, f = None, None
+        run_id, f, n, began, out = None, None, 0, 0.0, []
+
+        def batch() -> pa.RecordBatch:
+            b = pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*out, strict=True) if out else [[]] * len(names), types, strict=True)], names)
+            out.clear()
+            return b
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if f is None:
+                return
+            none = (None,) * 7
+            if statistics:
+                f.stats["millis"] = round(1000 * (time.monotonic() - began))
+                out.append((1, run_id, *none, [f.stats[x] for x in _STATS], f.counter.histogram().tolist(), None, None, None))
+            if dump and isinstance(f.counter, Sketch):
+                for row, cells in enumerate(f.counter.table):
+                    for part in range(0, len(cells), _PART):
+                        out.append((2, run_id, *none, None, None, row, part // _PART, cells[part : part + _PART].tobytes()))
+                        yield batch()
+
         for b in batches:
-            out = []
             for r in b.to_pylist():
                 if f is None or r["run_id"] != run_id:
-                    run_id, p = r["run_id"], params if not own else Params(**(params.__dict__ | {c: r[c] for c in own if r[c] is not None}))
+                    yield from done()
+                    run_id, n, began, p = r["run_id"], 0, time.monotonic(), params if not own else Params(**(params.__dict__ | {c: r[c] for c in own if r[c] is not None}))
                     f = Filter(p, _counter(kind, t, bits, p.k, hash_set), max_len, count_n, first_min)
-                kept, why, c = f.judge(r["seq"], r["qual"], r["seq2"], r["qual2"])
-                out.append({"run_id": run_id, "file_nr": r["file_nr"], "ord": r["ord"], "nth": r["nth"], "kept": kept, "reason": why, "counts": c if detail else None})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("run_id", pa.string()), ("file_nr", pa.int32()), ("ord", pa.int64()), ("nth", pa.int32()), ("kept", pa.bool_()), ("reason", pa.string()), ("counts", pa.list_(pa.int32()))]))
-
-    verdicts = sorted_.mapInArrow(run, _VERDICT)
-    return verdicts if "nth" in reads.columns else verdicts.drop("nth")
+                kept, why, c1, c2 = f.judge(r["seq"], r["qual"], r["seq2"], r["qual2"])
+                n += 1
+                if progress and n % TICK == 0:
+                    print(f"run {run_id}: {n} reads processed", file=sys.stderr, flush=True)
+                if verdicts:
+                    out.append((0, run_id, r["file_nr"], r["ord"], r["nth"], kept, why, c1 if detail else None, c2 if detail else None, None, None, None, None, None))
+            yield batch()
+        yield from done()
+        yield batch()
 
+    return sorted_.mapInArrow(run, _ROW)
 
-def run_statistics(reads: DataFrame, params: Params, kind: str = "sketch", t: int = 10, bits: int = 20, hash_set: int = 1, max_len: int = S.MAX_LEN) -> DataFrame:
-    """One row for each run: counters, cells, base and false-positive rate, share kept, and the counter histogram."""
-    names = ["unpaired_in", "paired_in", "too_short", "too_many_n", "kmers", "kmers_with_n", "new_kmers", "unpaired_out", "paired_out"]
-    cols = [F.col(c).cast("string").alias(c) if c in reads.columns else F.lit(None).cast("string").alias(c) for c in ("seq", "qual", "seq2", "qual2")]
-    rows = reads.select(F.col("run_id").cast("string").alias("run_id"), "file_nr", "ord", _nth(reads), *cols).repartition("run_id").sortWithinPartitions("run_id", "file_nr", "ord", "nth", "seq")
-    schema = "run_id string, " + ", ".join(f"{n} long" for n in names) + ", histogram array<long>, total_cells long"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run_id, f, out = None, None, []
 
-        def done() -> None:
-            if f is not None:
-                h = f.counter.histogram()
-                out.append({"run_id": run_id, **{n: f.stats[n] for n in names}, "histogram": h.tolist(), "total_cells": int(h.sum())})
+def _verdicts(found: DataFrame, reads: DataFrame) -> DataFrame:
+    v = found.where("kind = 0").select(*(x.split()[0] for x in _VERDICT.split(", ")))
+    return v if "nth" in reads.columns else v.drop("nth")
 
-        for b in batches:
-            for r in b.to_pylist():
-                if f is None or r["run_id"] != run_id:
-                    done()
-                    run_id, f = r["run_id"], Filter(params, _counter(kind, t, bits, params.k, hash_set), max_len)
-                f.judge(r["seq"], r["qual"], r["seq2"], r["qual2"])
-        done()
-        yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("run_id", pa.string()), *((n, pa.int64()) for n in names), ("histogram", pa.list_(pa.int64())), ("total_cells", pa.int64())]))
 
-    s = rows.mapInArrow(run, schema)
+def _statistics(found: DataFrame, t: int) -> DataFrame:
+    s = found.where("kind = 1").select("run_id", *(F.col("stats")[i].alias(n) for i, n in enumerate(_STATS)), "histogram", F.aggregate("histogram", F.lit(0).cast("long"), lambda a, x: a + x).alias("total_cells"))
     occupied = F.aggregate(F.slice("histogram", 2, 254), F.lit(0).cast("long"), lambda a, x: a + x)
     total = F.aggregate(F.transform(F.slice("histogram", 2, 254), lambda x, i: x * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
     base = S.safe_ratio(occupied, F.col("total_cells"))
     kept, seen = F.col("unpaired_out") + F.col("paired_out"), F.col("unpaired_in") + F.col("paired_in")
-    return s.select("*", occupied.alias("n_occupied"), total.alias("counter_sum"), base.alias("base"), F.pow(base, t).alias("fp"), (100 * S.safe_ratio(kept, seen)).alias("reads_kept_pct"))
+    return s.select("*", occupied.alias("n_occupied"), total.alias("counter_sum"), base.alias("base"), F.pow(base, t).alias("fp"), kept_percent(kept, seen).alias("reads_kept_pct"))
+
+
+def normalize(reads: DataFrame, params: Params, kind: str = "sketch", t: int = 10, bits: int = 20, hash_set: int = 1, max_len: int = S.MAX_LEN, count_n: bool = False, first_min: bool = False, detail: bool = False) -> DataFrame:
+    """Verdicts (run_id, file_nr, ord, kept, reason, counts, counts2) for reads (run_id, file_nr, ord, seq[, qual, seq2, qual2]).
+
+    A run may carry its own parameters in columns named as those of Params. Null sequences count as
+    empty (too short). A column `nth` orders the reads of one (file_nr, ord) and is returned too. Rows
+    with equal places are taken in the order of their sequences. counts and counts2, of the mates'
+    k-mers, come with `detail` only.
+    """
+    return _verdicts(_pass(reads, params, kind, t, bits, hash_set, max_len, count_n, first_min, detail, True, False, False, False), reads)
+
+
+def run_statistics(reads: DataFrame, params: Params, kind: str = "sketch", t: int = 10, bits: int = 20, hash_set: int = 1, max_len: int = S.MAX_LEN, count_n: bool = False, first_min: bool = False) -> DataFrame:
+    """One row for each run: counters, milliseconds in its task, cells, base and false-positive rate, share kept, and the counter histogram. A run may carry its own parameters."""
+    return _statistics(_pass(reads, params, kind, t, bits, hash_set, max_len, count_n, first_min, False, False, True, False, False), t)
+
+
+def normalize_all(reads: DataFrame, params: Params, kind: str = "sketch", t: int = 10, bits: int = 20, hash_set: int = 1, max_len: int = S.MAX_LEN, count_n: bool = False, first_min: bool = False, detail: bool = False, dump: bool = False, progress: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(verdicts, statistics, sketch) of one pass, which is written once; sketch (run_id, row, part, cells) is empty unless `dump`.
+
+    progress: a line for each TICK reads in the executors' logs.
+    """
+    found = materialized(_pass(reads, params, kind, t, bits, hash_set, max_len, count_n, first_min, detail, True, True, dump, progress))
+    return _verdicts(found, reads), _statistics(found, t), found.where("kind = 2").select("run_id", "row", "part", "cells")
+
+
+def pass_through(reads: DataFrame) -> DataFrame:
+    """Verdicts that keep every read: the stage without a filter."""
+    at = ["run_id", "file_nr", "ord", *(["nth"] if "nth" in reads.columns else [])]
+    return reads.select(*at, F.lit(True).alias("kept"), F.lit(None).cast("string").alias("reason"))
 
 
 def normalize_batch(reads: DataFrame, counts: DataFrame | None, params: Params, max_len: int = S.MAX_LEN) -> tuple[DataFrame, DataFrame]:
-    """(verdicts, counts after) with every read judged by the same counts (canon, d); relational throughout."""
-    r = reads.withColumn("seq", S.truncated(F.col("seq"), max_len))
-    paired = "seq2" in r.columns
-    at = ["file_nr", "ord", *(["nth"] if "nth" in r.columns else [])]
-    rows = K.kmer_rows(r.withColumn("read_id", F.struct(*at)), params.k)
+    """(verdicts, counts after) with every read or pair judged by the same counts (canon, d); relational throughout.
+
+    A pair is one read: a k-mer counts once for both mates. Where there are no qualities, every
+    k-mer passes decision 6. k-mers are those of `kmers.kmer_rows`.
+    """
+    p = params
+    at = ["file_nr", "ord", *(["nth"] if "nth" in reads.columns else [])]
+    cut = {c: S.truncated(F.coalesce(F.col(c), F.lit("")) if c == "seq" else F.col(c), max_len) for c in ("seq", "qual", "seq2", "qual2") if c in reads.columns}
+    r = reads.withColumns(cut).withColumn("read_id", F.struct(*at))
     if counts is None:
         counts = reads.sparkSession.createDataFrame([], "canon string, d int")
-    if paired:
-        raise ValueError("the batched mode takes unpaired reads")
-    found = K.counts_by_read(rows, counts, ["read_id"])
-    judged = found.select("read_id", keep(params.d if params.d != 6 else 5, F.col("counts"), params=params).alias("kept"))
-    n_ok = S.count_n(F.col("seq")) <= params.N if params.N >= 0 else F.lit(True)
-    verdicts = r.withColumn("read_id", F.struct(*at)).join(judged, "read_id", "left").select(*at, (F.coalesce("kept", F.lit(False)) & n_ok).alias("kept"))
+    mates = [x for x in (("seq", "qual"), ("seq2", "qual2")) if x[0] in r.columns]
+    null = F.lit(None).cast("string")
+    each = r.select("read_id", F.explode(F.array(*(F.struct(F.lit(i).alias("mate"), F.col(s).alias("seq"), (F.col(q) if q in r.columns else null).alias("qual")) for i, (s, q) in enumerate(mates)))).alias("x")).select("read_id", "x.*").where("seq is not null")
+    rows = K.kmer_rows(each, p.k, qual="qual" if p.d == 6 else None, keys=("read_id", "mate"))
+    if p.d == 6:
+        rows = rows.withColumn("min_qual", F.col("min_qual") - F.when(F.col("min_qual") < 1 << 20, p.qbase - 33).otherwise(0))
+    found = K.counts_by_read(rows, counts, ["read_id", "mate"])
+    none = F.array().cast("array<int>")
+    of = lambda c, i: F.coalesce(F.max(F.when(F.col("mate") == i, F.col(c))), none).alias(f"{c}{i}")
+    cols = [of(c, i) for c in (["counts", "quals"] if p.d == 6 else ["counts"]) for i in range(2)]
+    judged = found.groupBy("read_id").agg(*cols)
+    q = [F.col(f"quals{i}") if p.d == 6 else None for i in range(2)]
+    judged = judged.select("read_id", keep(p.d, F.col("counts0"), F.col("counts1"), *q, params=p).alias("kept"))
+    second = F.col("seq2") if len(mates) > 1 else None
+    ok = R.reject_reason(F.col("seq"), p.k, p.N, second).isNull()
+    verdicts = r.join(judged, "read_id", "left").select(*at, (F.coalesce("kept", F.lit(False)) & ok).alias("kept"))
     taken = rows.join(verdicts.where("kept").select(F.struct(*at).alias("read_id")), "read_id", "left_semi")
     more = K.document_frequency(taken)
     after = counts.unionByName(more).groupBy("canon").agg(F.least(F.sum("d"), F.lit(S.COUNT_MAX)).cast("int").alias("d"))

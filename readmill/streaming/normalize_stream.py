@@ -11,8 +11,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from readmill.operators.decide import Params
@@ -20,20 +21,52 @@ from readmill.operators.normalize import Filter, Sketch, normalize_batch
 
 
 def greedy(reads: DataFrame, params: Params, t: int = 4, bits: int = 16) -> DataFrame:
-    """Verdicts (run_id, ord, kept, reason) for a stream of reads (run_id, ord, seq, qual); a run's state has t * 2^bits bytes."""
+    """Verdicts (run_id, file_nr, ord, kept, reason) for a stream of reads (run_id[, file_nr], ord, seq, qual); a run's state has t * 2^bits bytes.
+
+    Reads of a micro-batch are taken in the order of files and within them (limit a micro-batch by
+    the source, as `maxFilesPerTrigger`, since a run's part of it is sorted in memory); micro-batches
+    in theirs.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         sketch = Sketch(t, bits, params.k)
         if state.exists:
             sketch.table = np.frombuffer(state.get[0], np.uint8).reshape(t, -1).copy()
         f = Filter(params, sketch)
-        rows = pd.concat(list(batches)).sort_values(["ord", "seq"])
-        out = [(key[0], r.ord, *f.judge(r.seq or "", r.qual)[:2]) for r in rows.itertuples()]
+        rows = pd.concat(batches).sort_values(["file_nr", "ord", "seq"])
+        out = [(key[0], r.file_nr, r.ord, *f.judge(r.seq or "", r.qual)[:2]) for r in rows.itertuples()]
         state.update((sketch.table.tobytes(),))
-        yield pd.DataFrame(out, columns=["run_id", "ord", "kept", "reason"])
+        yield pd.DataFrame(out, columns=["run_id", "file_nr", "ord", "kept", "reason"])
+
+    nr = F.col("file_nr") if "file_nr" in reads.columns else F.lit(0)
+    rows = reads.select("run_id", nr.cast("int").alias("file_nr"), "ord", "seq", "qual")
+    return rows.groupBy("run_id").applyInPandasWithState(step, "run_id string, file_nr int, ord long, kept boolean, reason string", "cells binary", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_files(spark: SparkSession, folder: str, schema: str, files_a_batch: int = 8) -> DataFrame:
+    """A stream of Parquet files of reads, so many files a micro-batch: the source waits while the filter works."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(folder)
+
+
+class Progress(StreamingQueryListener):
+    """Prints the number of reads each time another `tick` of them has been processed."""
+
+    def __init__(self, tick: int = 100_000, say=print):
+        self.tick, self.say, self.seen = tick, say, 0
+
+    def onQueryStarted(self, event) -> None:
+        self.seen = 0
+
+    def onQueryProgress(self, event) -> None:
+        before, self.seen = self.seen, self.seen + event.progress.numInputRows
+        if self.seen // self.tick > before // self.tick:
+            self.say(f"{self.seen} reads processed")
+
+    def onQueryIdle(self, event) -> None:
+        pass
 
-    rows = reads.select("run_id", "ord", "seq", "qual")
-    return rows.groupBy("run_id").applyInPandasWithState(step, "run_id string, ord long, kept boolean, reason string", "cells binary", "append", GroupStateTimeout.NoTimeout)
+    def onQueryTerminated(self, event) -> None:
+        pass
 
 
 def batched(reads: DataFrame, params: Params, out: str, counts: str, checkpoint: str):

@@ -101,5 +101,5 @@ def test_streams(spark, tmp_path):
 
 def test_command_line(spark, tmp_path):
     (tmp_path / "r.fa").write_text(">a\nACGTACGTAC\n>b\nACGTACGTAC\n>c\nTTTTGGGGCC\n")
-    cli.main(["normalize", "-u", str(tmp_path / "r.fa"), "-k", "5", "-d", "1", "-C", "0", "-t", "3", "--out", str(tmp_path / "o"), "-r"])
+    cli.main(["normalize", "-u", str(tmp_path / "r.fa"), "-k", "5", "-d", "1", "-C", "0", "-t", "3", "-m", "1", "--out", str(tmp_path / "o"), "-r"])
     assert {r.value for r in spark.read.text(str(tmp_path / "o_keep")).collect()} == {">a", "ACGTACGTAC", ">c", "TTTTGGGGCC"}
