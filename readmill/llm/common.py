@@ -18,10 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Arrow batches of few rows, as a row may hold a long text."""
-    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession, rows: int = 1024, size: int = 4 << 20) -> None:
+    """Arrow batches of few rows and bytes (or one row), as a row may hold a long text.
+
+    The plan reads both limits when it runs, so they stay set for the session; smaller ones that
+    the caller has set are kept.
+    """
+    for key, limit in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        found = spark.conf.get(key, None)
+        at = int(found) if found and found.lstrip("-").isdecimal() else 0
+        if not 0 < at <= limit:
+            spark.conf.set(key, str(limit))
 
 
 def salted_join(large: DataFrame, small: DataFrame, keys: list[str], by: str, how: str = "inner", salts: int = 16) -> DataFrame:
@@ -31,6 +39,38 @@ def salted_join(large: DataFrame, small: DataFrame, keys: list[str], by: str, ho
     return large.withColumn("_salt", salt).join(each, [*keys, "_salt"], how).drop("_salt")
 
 
+def clashes(classes: DataFrame, name: str) -> DataFrame:
+    """(name, kept): names that classes of different `first` and `last` check got, and the check that keeps the name."""
+    return classes.where("first <> last").select(name, F.col("first").alias("kept"))
+
+
+def renamed(rows: DataFrame, clash: DataFrame, name: str, by: str) -> DataFrame:
+    """rows (name, check, ...), where classes with a name in clash, but the one that keeps it, get their check as name."""
+    found = salted_join(rows, clash, [name], by, "left")
+    return found.withColumn(name, F.when(F.col("check") != F.col("kept"), F.col("check")).otherwise(F.col(name))).drop("kept")
+
+
+class Remembered(dict):
+    """What `make` gave for keys met before, in two generations of `most` keys each: keys in use outlive a change of generations."""
+
+    def __init__(self, make: Callable, most: int):
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key):
+        if (value := self.older.get(key)) is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            super().clear()
+        self[key] = value
+        return value
+
+    def clear(self) -> None:
+        super().clear()
+        self.older = {}
+
+
 _caches: list[dict] = []
 
 
