@@ -2,12 +2,13 @@
 
 Documents become token ids; each whole window of a document is a sequence of its own, and what is
 left of it (less than a window) goes into a shared one. The leftovers are dealt into shards of a
-bounded number of tokens, in the order of their rarest tokens, so that documents with the same
-rare tokens mostly meet in one shard. A shard holds a BM25 inverted index (document frequencies
-and mean length over all documents); the longest unused leftover is a seed, its best-weighted
-terms are the query, and unused neighbours join it by descending score while they fit. What room
-is left goes to the best neighbour that does not fit, cut at a multiple of GRID ids, or to the
-next unused leftover where the index returns none.
+bounded number of tokens by the rarest token that another document has too (document frequencies
+are counted over all documents first), so that documents that share a rare token mostly meet in
+one shard; a token whose documents exceed a shard is dealt into several. A shard holds a BM25
+inverted index (document frequencies and mean length over all documents); the longest unused
+leftover is a seed, its best-weighted terms are the query, and unused neighbours join it by
+descending score while they fit. What room is left goes to the best neighbour that does not fit,
+cut at a multiple of GRID ids, or to the next unused leftover where the index returns none.
 
 Checksums of pieces come from running ones at each multiple of GRID, so ids are never stored or
 shuffled: crc(B) = crc(AB) ^ shift(crc(A), |B|).
@@ -15,6 +16,7 @@ shuffled: crc(B) = crc(AB) ^ shift(crc(A), |B|).
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,6 +32,47 @@ GRID = 32
 _K1, _B = 1.2, 0.75
 
 
+class Parts:
+    """Ids of parts of texts, found by two hashes of a part (64 and 32 bits); about 30 bytes a part.
+
+    Entries lie in sorted levels, each several times as long as the next; a new level is merged
+    with those that aren't.
+    """
+
+    def __init__(self, wide: bool):
+        self.levels: list[tuple[np.ndarray, ...]] = []  # (hash, check, start of its ids, their number)
+        self.ids, self.used, self.n = np.zeros(1 << 14, np.uint32 if wide else np.uint16), 0, 0
+
+    def find(self, h: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each part start (-1: not here), and their number; h ascending."""
+        start, n = np.full(len(h), -1, np.int32), np.zeros(len(h), np.int32)
+        for keys, checks, starts, counts in self.levels:
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            hit = np.flatnonzero((keys[at] == h) & (checks[at] == check))
+            start[hit], n[hit] = starts[at[hit]], counts[at[hit]]
+        return start, n
+
+    def add(self, h: np.ndarray, check: np.ndarray, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Takes in parts with their ids one after the other, h ascending; returns where each one's start."""
+        end = self.used + len(ids)
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(end, 2 * len(self.ids)) - len(self.ids), self.ids.dtype)])
+        self.ids[self.used : end] = ids
+        start = (self.used + np.cumsum(n) - n).astype(np.int32)
+        self.used, self.n = end, self.n + len(h)
+        level = (h, check, start, n.astype(np.int32))
+        while self.levels and len(self.levels[-1][0]) < 3 * len(level[0]):
+            level = tuple(np.concatenate(x) for x in zip(self.levels.pop(), level, strict=True))
+            order = np.argsort(level[0])
+            level = tuple(x[order] for x in level)
+        self.levels.append(level)
+        return start
+
+
+def _random(n: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 class Encoder:
     """Ids by the tokenizers library, remembered for each part.
 
@@ -37,43 +80,101 @@ class Encoder:
     single numerals and runs of other marks, and each part is encoded for itself. Texts of the
     characters in _PLAIN only (composed Latin letters, digits, common marks) are taken apart here
     by the same rule, and each part is encoded by the library once, many together; any other text
-    goes to the library whole.
+    goes to the library whole, as do all texts where the file's own steps aren't those imitated.
+    Parts are remembered in two generations, so that those in use outlive a change.
     """
 
-    REMEMBERED = 800_000
+    REMEMBERED = 600_000  # parts of a generation, about 30 bytes each
     _LETTERS, _NUMERALS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
     _PLAIN = "[\n\x20-\x7e\xa1-\xac\xae-\u024f\u2010-\u2027]*"
+    #: The steps that the part-wise way imitates, and the added tokens, which all start with <|
+    _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    _BEFORE = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(file)
-        self.plain = re.compile(self._PLAIN).fullmatch
+        self.plain = re.compile(self._PLAIN).fullmatch if self.imitated(self.library) else lambda text: None
         self.apart = f"('(?:s|t|re|ve|m|ll|d)|[^{self._LETTERS}{self._NUMERALS}\\s]+|[{self._NUMERALS}])"
         self.ends = np.zeros(self.library.get_vocab_size() + 1, bool)
         for token, i in self.library.get_vocab(False).items():
             self.ends[i] = token.endswith("</w>")
-        self.parts: dict[str, bytes] = {"": b""}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[str]) -> None:
-        """Puts the ids of parts into self.parts."""
-        words, rest = [], []
-        for p in new:
-            (words if p.isalpha() else rest).append(p)
-        for i in range(0, len(words), 1000):
-            some = words[i : i + 1000]
-            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            at, raw = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), ids.tobytes()
+        self.wide = len(self.ends) > 1 << 16
+        self.now, self.before = Parts(self.wide), Parts(self.wide)
+        self.letters, self.steps = [_random(256, i) for i in (1, 2)], _random(2, 3)
+
+    @classmethod
+    def imitated(cls, library) -> bool:
+        """Whether the library's steps before the model are those that are imitated here."""
+        state = lambda x: json.loads(x.__getstate__()) if x else None
+        added = all(x.content.startswith("<|") for x in library.get_added_tokens_decoder().values())
+        return added and not library.post_processor and (state(library.normalizer), state(library.pre_tokenizer)) == (cls._NORMALIZER, cls._BEFORE)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.library.encode_batch(texts, add_special_tokens=False)]
+
+    def _learned(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts one after the other, and the number of each one's."""
+        n, flat, rest = np.zeros(len(new), np.int64), [], []
+        words = [i for i, p in enumerate(new) if p.isalpha()]
+        for a in range(0, len(words), 1000):
+            some = words[a : a + 1000]
+            ids = np.array(self.library.encode_batch_fast([" ".join([new[i] for i in some])], add_special_tokens=False)[0].ids, np.uint32)
+            at = np.flatnonzero(self.ends[ids]) + 1
             if len(at) == len(some):
-                self.parts.update(zip(some, [raw[x:y] for x, y in zip([0, *at], at)]))
+                n[some] = np.diff(at, prepend=0)
+                flat.append((some, ids))
             else:
                 rest += some
-        self.parts.update(zip(rest, self._encode(rest), strict=True))
-
-    def ids(self, texts: list[str], chars: int = 3_000_000) -> Iterator[np.ndarray]:
+        rest += [i for i, p in enumerate(new) if not p.isalpha()]
+        found = self._encode([new[i] for i in rest])
+        n[rest] = [len(x) for x in found]
+        out, start = np.empty(n.sum(), np.uint32), np.cumsum(n) - n
+        for which, ids in (*flat, (rest, np.concatenate([np.zeros(0, np.uint32), *found]))):
+            k = n[which]
+            out[np.repeat(start[which] - np.cumsum(k) + k, k) + np.arange(len(ids))] = ids
+        return out, n
+
+    def _hashes(self, parts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of random numbers for a part's bytes, each times a power for its place."""
+        _, offsets, data = parts.buffers()
+        at = np.frombuffer(offsets, np.int64)[parts.offset : parts.offset + len(parts) + 1]
+        size = np.diff(at)
+        x = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+        at = at[:-1] - at[0]
+        place = np.arange(len(x)) - np.repeat(at, size)
+        out, filled = [], np.flatnonzero(size)
+        for letters, step in zip(self.letters, self.steps, strict=True):
+            powers = np.cumprod(np.full(int(size.max(initial=0)) + 1, step, np.uint64))
+            h = size.astype(np.uint64)
+            if len(filled):
+                h[filled] += np.add.reduceat(letters[x] * powers[place], at[filled])
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            out.append(h ^ (h >> np.uint64(32)))
+        return out[0], out[1].astype(np.uint32)
+
+    def _found(self, parts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in self.now.ids the ids of each part start, and their number; parts are all different."""
+        if self.now.n > self.REMEMBERED:
+            self.before, self.now = self.now, Parts(self.wide)
+        h, check = self._hashes(parts)
+        order = np.argsort(h)
+        h, check = h[order], check[order]
+        start, n = self.now.find(h, check)
+        if len(gone := np.flatnonzero(start < 0)):
+            old, k = self.before.find(h[gone], check[gone])
+            back, new = np.flatnonzero(old >= 0), np.flatnonzero(old < 0)
+            for which, (ids, count) in ((back, (_pieces(self.before.ids, old[back], k[back]), k[back])), (new, self._learned(parts.take(pa.array(order[gone[new]])).to_pylist()))):
+                at = gone[which]
+                if len(at):
+                    start[at], n[at] = self.now.add(h[at], check[at], ids, count), count
+        out = np.empty((2, len(h)), np.int32)
+        out[0, order], out[1, order] = start, n
+        return out[0], out[1]
+
+    def ids(self, texts: list[str], chars: int = 2_000_000) -> Iterator[np.ndarray]:
         """Of each text, as unsigned 32-bit numbers."""
         at = 0
         while at < len(texts):
@@ -91,22 +192,19 @@ class Encoder:
         lower = pa.array([t.lower() if p else "" for t, p in zip(texts, plain, strict=True)], pa.large_string())
         split = pc.ascii_split_whitespace(pc.replace_substring_regex(lower, pattern=self.apart, replacement=r" \1 "))
         coded = split.flatten().dictionary_encode()
-        used = coded.dictionary.to_pylist()
-        if len(self.parts) + len(used) > self.REMEMBERED:
-            self.parts = {"": b""}
-        if new := [p for p in used if p not in self.parts]:
-            self._learn(new)
-        raw = list(map(self.parts.__getitem__, used))
-        size = np.fromiter(map(len, raw), np.int32, len(raw)) // 4
-        flat = np.frombuffer(b"".join(raw), "<u4")
+        start, size = self._found(coded.dictionary)
         part = coded.indices.to_numpy()
         lengths = size[part]
-        ends = np.cumsum(lengths, dtype=np.int32)  # a batch has far fewer ids than 2^31
-        start = np.cumsum(size, dtype=np.int32) - size
-        ids = flat[np.repeat(start[part] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
-        of_text = np.concatenate([[0], ends])[split.offsets.to_numpy()].tolist()
+        ids = _pieces(self.now.ids, start[part], lengths).astype(np.uint32)
+        of_text = np.concatenate([[0], np.cumsum(lengths)])[split.offsets.to_numpy()].tolist()
         for i, p in enumerate(plain):
-            yield ids[of_text[i] : of_text[i + 1]] if p else np.frombuffer(self._encode([texts[i]])[0], "<u4")
+            yield ids[of_text[i] : of_text[i + 1]] if p else self._encode([texts[i]])[0]
+
+
+def _pieces(x: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The pieces of x that start there and are so long, one after the other."""
+    end = np.cumsum(n, dtype=np.int32)  # far fewer than 2^31 at a time
+    return x[np.repeat(start - end + n, n) + np.arange(end[-1] if len(end) else 0, dtype=np.int32)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -154,17 +252,19 @@ def crc_after(whole: int, first: int, n: int) -> int:
     return whole ^ first
 
 
-_ENCODED = "doc_id long, n long, crcs binary, rest int, grid binary, terms binary, tfs binary, k1 int, k2 int, k3 int"
+_ENCODED = "row long, doc_id long, n long, crcs binary, rest int, grid binary, terms binary, tfs binary"
 
 
 def encoded(docs: DataFrame, file: str, end_id: int, window: int, id_col: str, text_col: str) -> DataFrame:
-    """Length, checksums of whole windows, running checksums of the rest, term frequencies and rarest terms of each row."""
+    """Length, checksums of whole windows, running checksums of the rest and term frequencies of each row."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = _encoder(file)
+        from pyspark import TaskContext
+
+        e, row = _encoder(file), TaskContext.get().partitionId() << 40
         for b in batches:
-            cols: list[list] = [[] for _ in range(9)]
+            cols: list[list] = [[] for _ in range(6)]
             for ids in e.ids(b.column("t").to_pylist()):
                 ids = np.append(ids, np.uint32(end_id))
                 data, cut = memoryview(ids.tobytes()), len(ids) // window * window
@@ -174,11 +274,11 @@ def encoded(docs: DataFrame, file: str, end_id: int, window: int, id_col: str, t
                     crc = zlib.crc32(data[i : i + 4 * GRID], crc)
                     grid.append(crc)
                 terms, tf = _counted(ids)
-                rare = [*terms[-3:][::-1].tolist(), -1, -1][:3]
-                for c, x in zip(cols, (len(ids), np.array(crcs, "<u4").tobytes(), len(ids) - cut, np.array(grid, "<u4").tobytes(), terms.astype("<u2" if terms[-1] < 65536 else "<u4").tobytes(), np.minimum(tf, 65535).astype("<u2").tobytes(), *rare), strict=True):
+                for c, x in zip(cols, (len(ids), np.array(crcs, "<u4").tobytes(), len(ids) - cut, np.array(grid, "<u4").tobytes(), terms.astype("<u4").tobytes(), tf.astype("<u4").tobytes()), strict=True):
                     c.append(x)
-            types = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], [f.split()[0] for f in _ENCODED.split(", ")])
+            types = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + b.num_rows)), b.column("id"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], [f.split()[0] for f in _ENCODED.split(", ")])
+            row += b.num_rows
 
     docs = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("t"))
     return docs.mapInArrow(run, _ENCODED)
@@ -191,8 +291,12 @@ def _counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[at], np.diff(np.append(at, len(s)))
 
 
-def _numbers(x: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4")
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The unsigned 32-bit numbers of a binary column without nulls, and where each row's begin and end."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, "<i4")[column.offset : column.offset + len(column) + 1].astype(np.int64) // 4
+    numbers = np.frombuffer(data, "<u4", count=int(at[-1])) if len(column) and at[-1] else np.zeros(0, "<u4")
+    return numbers[int(at[0]) if len(at) else 0 :], at - (at[0] if len(at) else 0)
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
@@ -202,32 +306,80 @@ def term_counts(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(1, np.int64)
         for b in batches:
-            for t, f in zip(b.column("terms"), b.column("tfs"), strict=True):
-                t = _numbers(t.as_py(), len(f.as_py()) // 2)
-                if len(t) and t[-1] >= len(df):
-                    df = np.concatenate([df, np.zeros(int(t[-1]) + 1 - len(df), np.int64)])
-                df[t] += 1
+            n = np.bincount(_flat(b.column("terms"))[0])
+            if len(n) > len(df):
+                df = np.concatenate([df, np.zeros(len(n) - len(df), np.int64)])
+            df[: len(n)] += n
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at], pa.int64())], ["term", "df"])
 
-    return rows.select("terms", "tfs").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    return rows.select("terms").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def rarest(df: np.ndarray) -> np.ndarray:
+    """Of each term its place in ascending order of frequency; terms that one row has alone come last, all in one place."""
+    place, shared = np.full(len(df), len(df), np.int32), np.flatnonzero(df > 1)
+    place[shared[np.argsort(df[shared], kind="stable")]] = np.arange(len(shared), dtype=np.int32)
+    return place
+
+
+def with_shards(rows: DataFrame, df: np.ndarray, shard_tokens: int) -> tuple[DataFrame, int]:
+    """rows with `shard`, and the number of shards, each of about shard_tokens leftover ids at most."""
+    place = rarest(df)
+
+    def least(b: pa.RecordBatch) -> np.ndarray:
+        terms, at = _flat(b.column("terms"))
+        return np.minimum.reduceat(place[terms], at[:-1]) if b.num_rows else np.zeros(0, np.int32)  # a row has a term at least
+
+    @tidy
+    def masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(place) + 1, np.int64)
+        for b in batches:
+            np.add.at(total, least(b), b.column("rest").to_numpy())
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["k", "rest"])
+
+    mass = rows.select("terms", "rest").mapInArrow(masses, "k long, rest long").groupBy("k").agg(F.sum("rest").alias("rest")).orderBy("k").toPandas()  # bounded by the vocabulary
+    # neighbouring places share a shard while its tokens last; a place with more has shards of its own, dealt by the row
+    first, parts, shards, size = np.zeros(len(place) + 1, np.int64), np.ones(len(place) + 1, np.int64), 0, 0
+    for k, rest in zip(mass["k"].tolist(), mass["rest"].tolist(), strict=True):
+        if size and size + rest > shard_tokens:
+            shards, size = shards + 1, 0
+        first[k], parts[k] = shards, max(1, -(-rest // shard_tokens))
+        if parts[k] > 1:
+            shards += int(parts[k])
+        else:
+            size += rest
+    shards += bool(size)
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k, row = least(b), b.column("row").to_numpy().astype(np.uint64)
+            dealt = (row * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64) % parts[k]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array((first[k] + dealt).astype(np.int32))], [*b.schema.names, "shard"])
+
+    return rows.mapInArrow(run, _ENCODED + ", shard int"), shards
 
 
 class Shard:
     """The inverted index of a shard's leftovers, and its packing."""
 
-    def __init__(self, rest: np.ndarray, lengths: np.ndarray, terms: list[np.ndarray], tfs: list[np.ndarray], idf: np.ndarray, mean: float, query_terms: int):
-        self.rest, self.query_terms = rest, query_terms
-        sizes = np.array([len(t) for t in terms], np.int64)
-        doc = np.repeat(np.arange(len(terms), dtype=np.int32), sizes)
-        term = np.concatenate(terms) if terms else np.zeros(0, np.uint16)  # 16 bits sort by radix
-        tf = np.concatenate(tfs).astype(np.float32) if terms else np.zeros(0, np.float32)
-        self.at = np.concatenate([[0], np.cumsum(sizes)])
-        norm = (_K1 * (1 - _B + _B * lengths / mean)).astype(np.float32)
-        self.term, self.weight = term, idf[term] * tf * np.float32(_K1 + 1) / (tf + norm[doc])
-        order = np.argsort(term, kind="stable")
-        self.doc, self.impact = doc[order].astype(np.int64), self.weight[order]
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(idf)))]).tolist()
+    def __init__(self, rest: np.ndarray, lengths: np.ndarray, terms: np.ndarray, tfs: np.ndarray, at: np.ndarray, idf: np.ndarray, mean: float, query_terms: int):
+        """terms and tfs of all leftovers one after the other; at: where each one's begin, and the end."""
+        self.rest, self.query_terms, self.at = rest, query_terms, at
+        self.term = terms.astype(np.uint16) if len(idf) <= 1 << 16 else terms  # 16 bits sort by radix
+        doc = np.repeat(np.arange(len(rest), dtype=np.int32), np.diff(at))
+        self.weight = tfs.astype(np.float32)
+        norm = (_K1 * (1 - _B + _B * lengths / mean)).astype(np.float32)[doc]
+        norm += self.weight
+        self.weight *= np.float32(_K1 + 1)
+        self.weight /= norm
+        del norm
+        self.weight *= idf[self.term]
+        order = np.argsort(self.term, kind="stable").astype(np.int32)  # a shard has far fewer terms than 2^31
+        self.doc, self.impact = doc[order], self.weight[order]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(self.term, minlength=len(idf)))]).tolist()
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every leftover for the seed's best-weighted terms."""
@@ -294,22 +446,30 @@ def pack(docs: DataFrame, file: str, end_id: int = 2, window: int = 4096, shard_
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = written(encoded(docs, file, end_id, window, id_col, text_col))
-    n, total, left = rows.agg(F.count(F.lit(1)), F.sum("n"), F.sum("rest")).first()
+    n, total = rows.agg(F.count(F.lit(1)), F.sum("n")).first()
     if not n:
         return spark.createDataFrame([], _PIECES)
     counts = term_counts(rows).toPandas()  # bounded by the vocabulary
-    idf = np.zeros(int(counts["term"].max()) + 1, np.float32)
-    idf[counts["term"]] = np.log(1 + (n - counts["df"] + 0.5) / (counts["df"] + 0.5))
-    mean, shards = total / n, max(1, -(-left // shard_tokens))
+    df = np.zeros(int(counts["term"].max()) + 1, np.int64)
+    df[counts["term"]] = counts["df"]
+    idf, mean = np.log(1 + (n - df + 0.5) / (df + 0.5)).astype(np.float32), total / n
+    dealt, shards = with_shards(rows, df, shard_tokens)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         only(no_cache)
-        rows = [r for b in batches for r in b.to_pylist()]
-        first = TaskContext.get().partitionId() << 36
-        rows.sort(key=lambda r: (r["k1"], r["k2"], r["k3"], r["doc_id"] is None, r["doc_id"], r["n"], r["grid"]))
+        held = list(batches)  # a shard, about 6 bytes for each of its tokens
+        if not held:
+            return
+        t, rows = pa.Table.from_batches(held), {}
+        del held
+        order = pa.array(np.argsort(t.column("row").to_numpy()))  # the same whatever order the shuffle gave
+        for c in ("doc_id", "n", "crcs", "rest", "grid", "terms", "tfs"):
+            rows[c] = t.column(c).take(order).combine_chunks()
+            t = t.drop_columns([c])
+        doc_id, n = rows["doc_id"].to_pylist(), rows["n"].to_pylist()
         out: list[tuple] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -317,33 +477,34 @@ def pack(docs: DataFrame, file: str, end_id: int = 2, window: int = 4096, shard_
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], [f.split()[0] for f in _PIECES.split(", ")])
                 out.clear()
 
-        sequence = first
-        for r in rows:
-            for i, crc in enumerate(np.frombuffer(r["crcs"], "<u4").tolist()):
-                out.append((r["doc_id"], i * window, window, crc, r["n"], sequence, 0))
+        sequence = TaskContext.get().partitionId() << 36
+        crcs, at = _flat(rows["crcs"])
+        for d in np.flatnonzero(np.diff(at)).tolist():
+            for i, crc in enumerate(crcs[at[d] : at[d + 1]].tolist()):
+                out.append((doc_id[d], i * window, window, crc, n[d], sequence, 0))
                 sequence += 1
-            if len(out) > 50_000:
+            if len(out) > 20_000:
                 yield from flush()
-        grids = [np.frombuffer(r["grid"], "<u4") for r in rows]
-        tfs = [np.frombuffer(r["tfs"], "<u2") for r in rows]
-        shard = Shard(np.array([r["rest"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.float32), [_numbers(r["terms"], len(t)) for r, t in zip(rows, tfs, strict=True)], tfs, idf, mean, query_terms)
-        whole = [r["rest"] for r in rows]
+        grid, grid_at = _flat(rows["grid"])
+        (terms, at), (tfs, _) = _flat(rows["terms"]), _flat(rows["tfs"])
+        whole = rows["rest"].to_pylist()
+        shard = Shard(np.array(whole, np.int64), np.array(n, np.float32), terms, tfs, at, idf, mean, query_terms)
+        del terms, tfs, rows["terms"], rows["tfs"]
         for pieces in shard.pack(window):
             offset = 0
             for d, a, k in pieces:
-                r, grid = rows[d], grids[d]
-                crc = int(grid[-1] if a + k == whole[d] else grid[(a + k) // GRID - 1])
+                g = grid_at[d]
+                crc = int(grid[grid_at[d + 1] - 1] if a + k == whole[d] else grid[g + (a + k) // GRID - 1])
                 if a:
-                    crc = crc_after(crc, int(grid[a // GRID - 1]), 4 * k)
-                out.append((r["doc_id"], r["n"] - whole[d] + a, k, crc, r["n"], sequence, offset))
+                    crc = crc_after(crc, int(grid[g + a // GRID - 1]), 4 * k)
+                out.append((doc_id[d], n[d] - whole[d] + a, k, crc, n[d], sequence, offset))
                 offset += k
             sequence += 1
-            if len(out) > 50_000:
+            if len(out) > 20_000:
                 yield from flush()
         yield from flush()
 
-    dealt = rows.repartitionByRange(int(shards), "k1", "k2", "k3", F.xxhash64("doc_id", "n", "grid"))
-    return dealt.mapInArrow(run, _PIECES)
+    return dealt.repartitionById(shards, "shard").mapInArrow(run, _PIECES)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from readmill.llm.packing import GRID, Encoder, Shard, crc_after, pack
+from readmill.llm.packing import GRID, Encoder, Shard, crc_after, encoded, pack, term_counts, with_shards
 
 P = pytest.importorskip("public_tokenizers")
 FILE = P.path("word_bpe_49k.json")
@@ -81,9 +81,50 @@ def test_cases(spark, library):
 
 
 def test_the_best_neighbour_joins_its_seed():
-    terms = [np.array(x, np.uint16) for x in ([1, 2, 3], [7, 8], [1, 2, 9], [7, 5])]
-    tfs = [np.ones(len(t), np.uint16) for t in terms]
+    terms, at = np.array([1, 2, 3, 7, 8, 1, 2, 9, 7, 5], np.uint32), np.array([0, 3, 5, 8, 10])
     idf = np.full(10, 2.0, np.float32)
     rest = np.array([3 * GRID, 3 * GRID, GRID, GRID])
-    got = list(Shard(rest, rest.astype(np.float32), terms, tfs, idf, 40.0, 8).pack(4 * GRID))
+    got = list(Shard(rest, rest.astype(np.float32), terms, np.ones(10, np.uint32), at, idf, 40.0, 8).pack(4 * GRID))
     assert [[d for d, *_ in s] for s in got] == [[0, 2], [1, 3]]
+
+
+def test_of_equal_neighbours_the_first_joins():
+    terms, at = np.array([1, 2, 1, 2, 1, 2, 5], np.uint32), np.array([0, 2, 4, 6, 7])
+    rest = np.array([3 * GRID, GRID, GRID, 3 * GRID])
+    got = list(Shard(rest, rest.astype(np.float32), terms, np.ones(7, np.uint32), at, np.full(6, 2.0, np.float32), 40.0, 8).pack(4 * GRID))
+    assert [[d for d, *_ in s] for s in got] == [[0, 1], [3, 2]]
+
+
+def test_only_the_known_steps_are_imitated(library):
+    from tokenizers import Tokenizer, normalizers
+
+    assert Encoder.imitated(library)
+    other = Tokenizer.from_file(FILE)
+    other.normalizer = normalizers.NFC()
+    assert not Encoder.imitated(other)
+
+
+def test_shards_are_bounded_and_related_rows_meet(spark):
+    """Rows with the same rare term lie in one shard; a term with more ids than a shard holds gets several."""
+    rng = np.random.default_rng(7)
+    groups = [" ".join(f"common{rng.integers(0, 9)} rarity{g}x" for _ in range(30)) for g in range(40)]
+    rows = [(100 * g + i, f"{t} tail{i}") for g, t in enumerate(groups) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    r = encoded(df, FILE, 2, 4096, "doc_id", "text").cache()
+    df_ = np.zeros(50_000, np.int64)
+    counts = term_counts(r).toPandas()
+    df_[counts["term"]] = counts["df"]
+    total = r.agg({"rest": "sum"}).first()[0]
+    dealt, shards = with_shards(r, df_, total // 8)
+    mass = [x[1] for x in dealt.groupBy("shard").sum("rest").collect()]
+    assert shards >= 8 and max(mass) <= 2 * total / 8
+    few, n = with_shards(r, df_, 200)
+    assert n >= total // 200 and max(x[1] for x in few.groupBy("shard").sum("rest").collect()) < 6 * 400
+
+
+def test_long_texts_ties_and_many_shards(spark, library):
+    rows = [(i, f"same words here {i % 3}") for i in range(50)] + [(90, "x" * 70_000), (91, "word " * 30_000), (None, None)]
+    ids = defaultdict(list)
+    for i, t in rows:
+        ids[i].append(ids_of(library, t))
+    check(pack(spark.createDataFrame(rows, "doc_id long, text string"), FILE, window=64, shard_tokens=50).collect(), ids, 64)
