@@ -4,8 +4,7 @@ Runs (`run_id`) are independent and spread over the cluster; within a run order
 is one sorted stream through one task. Reads arrive in batches; the state is a count-min sketch of
 fixed size (t rows of 2^bits one-byte cells), or exact counts in a dictionary for small inputs. The
 batched mode gives up order within a batch instead: all its reads are judged by the counts before
-it, with joins and aggregates only. Each run is a key of one shuffle; give more shuffle partitions
-than there are runs, so that few meet in a task.
+it, with joins and aggregates only.
 """
 
 from __future__ import annotations
@@ -157,7 +156,9 @@ def _pass(reads: DataFrame, params: Params, kind: str, t: int, bits: int, hash_s
     own = [c for c in ("d", "k", "A", "B", "C", "N", "Q") if c in reads.columns]
     cols = [F.col(c).cast("string").alias(c) if c in reads.columns else F.lit(None).cast("string").alias(c) for c in ("seq", "qual", "seq2", "qual2")]
     rows = reads.select(F.col("run_id").cast("string").alias("run_id"), F.col("file_nr").cast("int").alias("file_nr"), F.col("ord").cast("long").alias("ord"), _nth(reads), *cols, *(F.col(c).cast("int").alias(c) for c in own))
-    sorted_ = rows.repartition("run_id").sortWithinPartitions("run_id", "file_nr", "ord", "nth", "seq")
+    # several times as many parts as the session's shuffles have, so that few runs meet in a task, and none are put together for being small
+    parts = 4 * int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = rows.repartition(parts, "run_id").sortWithinPartitions("run_id", "file_nr", "ord", "nth", "seq")
     types = [pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary()]
     names = [x.split()[0] for x in _ROW.split(", ")]
 

@@ -58,6 +58,7 @@ def read_sweep(spark: SparkSession, path: str) -> DataFrame:
     return last_wins(f.select("line", *(F.col("f")[i].cast(t).alias(n) for i, (n, t) in enumerate(kinds))), ["dataset", "param_set"], [F.col("line")]).drop("line")
 
 
+# The patterns of a normalizer's printed statistics
 def statistics_columns(text):
     """The figures of a normalizer's printed statistics, 0 where one is missing."""
     get = lambda pattern, kind: F.coalesce(F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).cast(kind), F.lit(0).cast(kind))
