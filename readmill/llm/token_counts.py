@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, only, table, tasks, text_or_empty, tidy
+from .common import Remembered, bounded_batches, only, table, tasks, text_or_empty, tidy
 
 SPACE = "▁"
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -37,7 +37,7 @@ class CountTransducer:
     """Compiled from (piece, score) of the normal pieces; other characters count their UTF-8 bytes."""
 
     LONG = 200  # longer words are not remembered
-    REMEMBERED = 400_000
+    REMEMBERED = 200_000  # words of a generation
     STATES = 250_000  # beyond so many, states are dropped and made anew when reached
 
     def __init__(self, pieces: dict[str, float], bytes_fall_back: bool = True):
@@ -46,7 +46,7 @@ class CountTransducer:
         self.inside = {(p[i], p[i + 1]) for p in pieces for i in range(len(p) - 1)}
         self.splits_words = not any(b == SPACE != a for a, b in self.inside)
         self.pair: dict[tuple, bool] = {}
-        self.words = _Remembered(self)
+        self.words = Remembered(self.run, self.REMEMBERED)
         self._forget()
 
     def _forget(self) -> None:
@@ -122,7 +122,10 @@ class CountTransducer:
         """Tokens of normalised text (spaces as U+2581) from the start state."""
         if not self.splits_words:
             return self.run(text)
-        return sum(map(self.words.__getitem__, _WORDS.findall(text)))
+        words = _WORDS.findall(text)
+        if len(max(words, key=len, default="")) > self.LONG:
+            return sum(self.words[w] if len(w) <= self.LONG else self.run(w) for w in words)
+        return sum(map(self.words.__getitem__, words))
 
     def chunk_map(self, chunk: str) -> tuple[str, int | None, str]:
         """(head, count, tail); count is None where nothing in the chunk resets the state."""
@@ -151,22 +154,6 @@ class CountTransducer:
         return self.count(a[0]) + (0 if a[1] is None else a[1] + self.count(a[2]))
 
 
-class _Remembered(dict):
-    """Token counts of words met before, bounded in number."""
-
-    def __init__(self, transducer: CountTransducer):
-        super().__init__()
-        self.transducer = transducer
-
-    def __missing__(self, word: str) -> int:
-        n = self.transducer.run(word)
-        if len(word) <= CountTransducer.LONG:
-            if len(self) >= CountTransducer.REMEMBERED:
-                self.clear()
-            self[word] = n
-        return n
-
-
 _compiled: dict[str, CountTransducer] = {}
 
 
@@ -181,47 +168,70 @@ def _normalised(text: str) -> str:
     return (" " + text).replace(" ", SPACE) if text else ""
 
 
-def count_tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 1 << 17, limit: int = 4096) -> DataFrame:
+_MAP = "head string, n long, tail string"
+
+
+def _columns(maps: list[tuple]) -> list[pa.Array]:
+    head, n, tail = zip(*maps, strict=True) if maps else ((), (), ())
+    return [pa.array(head, pa.string()), pa.array(n, pa.int64()), pa.array(tail, pa.string())]
+
+
+def count_tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 1 << 13, piece_chars: int = 1 << 17, limit: int = 4096, together: int = 256) -> DataFrame:
     """(id_col, n_bytes, n_tokens, over_limit), one row for each row of docs, in no order.
 
     Null text counts as empty: 0 bytes, 0 tokens, false. Null ids are kept, repeated rows give
-    repeated results, other columns are ignored whatever their names. Texts above chunk_chars are
-    cut into chunks that are mapped by any task; no text is cut short. An empty table gives none.
+    repeated results, other columns are ignored whatever their names. Every text is read in chunks
+    of chunk_chars whose state maps are composed. Texts above piece_chars are cut into pieces that
+    are mapped by any task; the maps of `together` pieces in a row compose in a task, and those in
+    turn, until one is left. No text is cut short. An empty table gives none.
     """
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t"))
     docs = docs.withColumn("n_bytes", F.octet_length("t").cast("long"))
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def of_text(m: CountTransducer, t: str) -> tuple:
+        return m.scan([m.chunk_map(t[i : i + chunk_chars]) for i in range(0, len(t), chunk_chars)])
 
     @tidy
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _transducer(model_file)
         for b in batches:
-            n = [m.count(_normalised(t)) for t in b.column("t").to_pylist()]
+            n = [m.finish(of_text(m, _normalised(t))) for t in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n_bytes"), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
-    kind = docs.schema["id"].dataType.simpleString()
-    short = docs.where(F.length("t") <= chunk_chars).mapInArrow(whole, f"id {kind}, n_bytes long, n_tokens long")
+    short = docs.where(F.length("t") <= piece_chars).mapInArrow(whole, f"id {kind}, n_bytes long, n_tokens long")
 
     @tidy
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _transducer(model_file)
         for b in batches:
-            texts = [_normalised(t) if not k else t.replace(" ", SPACE) for t, k in zip(b.column("t").to_pylist(), b.column("k").to_pylist(), strict=True)]
-            maps = [m.chunk_map(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([*b.select(["row", "k", "id", "n_bytes"]).columns, *(pa.array(x, t) for x, t in zip(zip(*maps, strict=True), (pa.string(), pa.int64(), pa.string()), strict=True))], ["row", "k", "id", "n_bytes", "head", "n", "tail"]) if texts else b.select([])
+            texts = [t.replace(" ", SPACE) if k else _normalised(t) for t, k in zip(b.column("t").to_pylist(), b.column("k").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.select(["row", "k", "id", "n_bytes"]).columns, *_columns([of_text(m, t) for t in texts])], ["row", "k", "id", "n_bytes", "head", "n", "tail"])
+
+    def composed(t: pa.Table) -> pa.Table:
+        m, t = _transducer(model_file), t.sort_by("k")
+        one = m.scan(list(zip(*(t.column(c).to_pylist() for c in ("head", "n", "tail")), strict=True)))
+        return pa.table([t.column("row")[:1], pa.array([t.column("k")[0].as_py() // together], pa.int32()), t.column("id")[:1], t.column("n_bytes")[:1], *_columns([one])], ["row", "k", "id", "n_bytes", "head", "n", "tail"])
 
-    def composed(pdf):
+    @tidy
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _transducer(model_file)
-        pdf = pdf.sort_values("k")
-        maps = [(h, None if n != n or n is None else int(n), t) for h, n, t in zip(pdf["head"], pdf["n"], pdf["tail"], strict=True)]
-        return pdf[["id", "n_bytes"]].head(1).assign(n_tokens=m.finish(m.scan(maps)))
-
-    chunks = docs.where(F.length("t") > chunk_chars).withColumn("row", F.monotonically_increasing_id())
-    chunks = chunks.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / chunk_chars).cast("int"))))
-    chunks = chunks.withColumn("t", F.substring("t", F.col("k") * chunk_chars + 1, F.lit(chunk_chars)))
-    chunks = chunks.repartition(tasks(docs.sparkSession), "row", "k")
-    maps = chunks.mapInArrow(mapped, f"row long, k int, id {kind}, n_bytes long, head string, n long, tail string")
-    long = maps.groupBy("row").applyInPandas(composed, f"id {kind}, n_bytes long, n_tokens long")
+        for b in batches:
+            n = [m.finish(x) for x in zip(*(b.column(c).to_pylist() for c in ("head", "n", "tail")), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n_bytes"), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
+
+    pieces = docs.where(F.length("t") > piece_chars).withColumn("row", F.monotonically_increasing_id())
+    pieces = pieces.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / piece_chars).cast("int"))))
+    pieces = pieces.withColumn("t", F.substring("t", F.col("k") * piece_chars + 1, F.lit(piece_chars)))
+    schema = f"row long, k int, id {kind}, n_bytes long, {_MAP}"
+    maps = pieces.repartition(tasks(spark), "row", "k").mapInArrow(mapped, schema)
+    places = (1 << 31) // piece_chars + 1  # a text has 2^31 characters at most
+    while places > 1:
+        maps = maps.groupBy("row", F.floor(F.col("k") / together).alias("of")).applyInArrow(composed, schema)
+        places = -(-places // together)
+    long = maps.mapInArrow(finished, f"id {kind}, n_bytes long, n_tokens long")
     return short.unionByName(long).select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
