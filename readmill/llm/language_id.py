@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, only, table, text_or_empty, tidy
 
-_LETTERS = re.compile(r"[^\W\d_]+")
-_PIECE = 1 << 20  # characters of a text whose n-grams are held at once
+_OTHERS = re.compile(r"[\W\d_]+")
+_PIECE = 1 << 18  # n-grams of a text that are held at once
 UNDETERMINED = "und"
 
 
@@ -69,32 +69,27 @@ class Vectors:
     def counts(self, text: str) -> dict[str, int]:
         """How often each n-gram of the text's words occurs; empty if it has no letters."""
         out: dict[str, int] = {}
-        for a in range(0, len(text), _PIECE):
-            b = a + _PIECE
-            while b < len(text) and text[b - 1].isalpha() and text[b].isalpha() and b < a + 2 * _PIECE:
-                b += 1  # words are not cut
-            _count(_LETTERS.findall(text[a:b].lower()), self.n, out)
+        if words := _OTHERS.sub(" ", text.lower()).strip():
+            padded = f" {words} "
+            for a in range(0, len(padded) - self.n + 1, _PIECE):
+                _count(padded[a : a + _PIECE + self.n - 1], self.n, out)  # neighbouring pieces share n - 1 characters
         return out
 
 
-def _count(words: list[str], n: int, out: dict[str, int]) -> None:
-    """Adds the n-grams of the padded words: n-grams of the joined words that hold no inner space."""
-    if not words:
-        return
+def _count(padded: str, n: int, out: dict[str, int]) -> None:
+    """Adds the n-grams that hold no inner space."""
     # one array of code points; n-grams as rows; those with a space inside are left out
-    x = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le"), "<u4")
-    if len(x) < n:
-        return
+    x = np.frombuffer(padded.encode("utf-32-le"), "<u4")
     seen, codes = np.unique(x, return_inverse=True)
     base, m = len(seen), len(x) - n + 1
     if float(base) ** n >= 2**62:
-        s = x.tobytes().decode("utf-32-le")
+        s = padded
         for i in range(m):
             if " " not in s[i + 1 : i + n - 1]:
                 out[s[i : i + n]] = out.get(s[i : i + n], 0) + 1
         return
     key, inner = np.zeros(m, np.int64), np.ones(m, bool)
-    space = int(np.searchsorted(seen, 32))
+    space = 0 if seen[0] == 32 else -1  # the least code, as words hold letters only; a piece within one word has none
     for i in range(n):
         c = codes[i : i + m]
         key = key * base + c

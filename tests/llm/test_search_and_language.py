@@ -1,8 +1,11 @@
 """Exact top-k against all inner products, and held-out accuracy of the language profiles."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from readmill.llm import language_id as L
 from readmill.llm import queries as Q
 from readmill.llm.language_id import Vectors, held_out, learn, op5_language_id, predict
 from readmill.llm.topk_search import Block, search
@@ -53,6 +56,39 @@ def test_vectors_bind_bundle_and_count():
     assert (v.bundle(many) == sum(n * v.gram(g).astype(int) for g, n in many.items())).all()
 
 
+def test_pieces_of_a_text_count_as_the_whole(monkeypatch):
+    """Words across the bounds of pieces, and words longer than a piece, against n-grams of each padded word."""
+    rng = np.random.default_rng(3)
+    for piece in (3, 5, 64):
+        monkeypatch.setattr(L, "_PIECE", piece)
+        for n in (2, 3, 4):
+            for _ in range(60):
+                text = "".join(rng.choice(list("abc def12_é中 "), rng.integers(0, 50)))
+                want = {}
+                for w in re.findall(r"[^\W\d_]+", text.lower()):
+                    for g in (f" {w} "[i : i + n] for i in range(len(w) + 3 - n)):
+                        want[g] = want.get(g, 0) + 1
+                assert Vectors(16, n, 7).counts(text) == want, text
+
+
+def test_prediction_is_the_nearest_prototype(spark, sf):
+    """The query's languages and scores against plain sums of n-gram vectors."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [r for r in docs.collect() if len(r.text or "") < 1500][:40]
+    p = learn(docs.where(~held_out()))
+    v, langs = Vectors(1024, 3, 7), sorted(p)
+    want = {}
+    for r in rows:
+        x = np.zeros(1024)
+        for w in re.findall(r"[^\W\d_]+", r.text.lower()):
+            for i in range(len(w)):
+                x += v.gram(f" {w} "[i : i + 3])
+        cos = [float(p[k] @ x / (np.linalg.norm(x) or 1)) for k in langs]
+        want[r.doc_id] = (langs[int(np.argmax(cos))], max(cos)) if x.any() else ("und", 0.0)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in op5_language_id(spark, sf).where(F.col("doc_id").isin(*want)).collect()}
+    assert {k: x[0] for k, x in got.items()} == {k: x[0] for k, x in want.items()} and all(abs(got[k][1] - want[k][1]) < 1e-4 for k in want)
+
+
 def test_language_cases(spark):
     train = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de"), ("nothing", None), (None, "fr")] * 3)], "doc_id long, text string, lang string")
     p = learn(train)
