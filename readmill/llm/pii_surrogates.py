@@ -5,7 +5,7 @@ IBANs, and name parts behind a title. Each is reduced to what it identifies (the
 address, the digits, the lower-cased name; behind a title the first of several name parts is the
 given name, and its gender is that of all its titles), and that is replaced by something of the same type
 drawn from a keyed hash: digits by digits, letters by letters of the same script and case, a Luhn
-number by a Luhn number, an address octet by an octet, a given name by one of the same gender and a
+number by a Luhn number, an IBAN by one whose check digits hold, an address octet by an octet, a given name by one of the same gender and a
 family name by a made-up one. All mentions of an entity get one surrogate, written in each
 mention's own format.
 
@@ -23,9 +23,10 @@ from .common import table, written
 
 # Titles by gender, and given names to draw from
 _MALE_TITLES, _FEMALE_TITLES, _OTHER_TITLES = "Mr|Herr|Monsieur|Señor|Sr|Sir|Don", "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|Doña", "Dr|Prof|Doktor|Professor|Doctor"
-_MALE = "Adam Alan Bruno Carl David Emil Felix Gregor Henry Ivan Jonas Karl Leo Martin Nico Oscar Paul Robin Simon Thomas Victor Walter".split()
-_FEMALE = "Ada Alice Berta Clara Diana Emma Fiona Greta Helen Ines Julia Karin Laura Maria Nora Olga Paula Rosa Sara Tina Vera Wanda".split()
-_MALE_RU, _FEMALE_RU = "Антон Борис Виктор Глеб Денис Егор Иван Кирилл Лев Максим Никита Олег Павел Роман Сергей Тимур".split(), "Алла Берта Вера Галина Дарья Елена Жанна Зоя Ирина Клара Лариса Мария Нина Ольга Полина Раиса".split()
+_MALE = "Adam Adrian Alan Albert Andre Anton Arthur Axel Ben Boris Bruno Carl Cedric Daniel David Dennis Dominic Eduard Elias Emil Eric Felix Fabian Frank Gabriel Georg Gregor Hector Henry Hugo Ivan Jacob Jonas Julian Karl Leo Leon Lucas Marco Martin Max Nico Noah Oliver Oscar Oswald Pablo Paul Philip Rafael Ralph Robert Samuel Simon Stefan Theo Thomas Tobias Victor Vincent Walter William Xavier".split()
+_FEMALE = "Ada Adele Agnes Alice Alma Amelia Anita Anna Aurora Beatrice Berta Bianca Carla Cecilia Clara Daria Diana Dora Edith Elena Elsa Emma Erika Eva Fiona Flora Frieda Gloria Greta Hanna Helen Ida Ines Irene Iris Jana Johanna Julia Karin Klara Laura Lea Linda Lucia Lydia Maria Marta Mila Nadia Nora Olga Paula Petra Regina Rita Rosa Sara Silvia Sophia Teresa Tina Ursula Vera Wanda".split()
+_MALE_RU = "Александр Алексей Андрей Антон Борис Вадим Виктор Глеб Денис Дмитрий Егор Иван Игорь Кирилл Константин Лев Максим Михаил Никита Николай Олег Павел Пётр Роман Семён Сергей Степан Тимур Фёдор Юрий".split()
+_FEMALE_RU = "Алина Алла Анастасия Анна Берта Валентина Вера Галина Дарья Ева Елена Жанна Зоя Инна Ирина Кира Клара Ксения Лариса Лидия Людмила Марина Мария Нина Оксана Ольга Полина Раиса Светлана Тамара".split()
 _SYLLABLES = "ba be bo da de do fa fe ka ke ko la le lo ma me mi mo na ne no pa pe ra re ri ro sa se so ta te".split()
 _SYLLABLES_RU = "ба бе бо ва ве да де до за ка ке ко ла ле ло ма ме ми мо на не но па пе ра ре ро са се со та те".split()
 
@@ -109,6 +110,12 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(at, F.lit(0), lambda s, d: s + d)
 
 
+def _mod97(text: Column) -> Column:
+    """An account number's digits and letters (10 to 35) as one number, modulo 97."""
+    step = lambda s, c: F.when(c.rlike("[0-9]"), (s * 10 + F.ascii(c) - 48) % 97).otherwise((s * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(F.split(text, ""), F.lit(0), step)
+
+
 def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column:
     """What replaces the entity (in its reduced form) at the given attempt."""
     seed = F.sha2(F.concat_ws("|", F.lit(key), kind, entity, attempt.cast("string")), 256)
@@ -117,7 +124,10 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column
     card = F.when(_luhn(entity) % 10 == 0, F.concat(F.left(digits, F.length(digits) - 1), F.pmod(-_luhn(fixed), F.lit(10)).cast("string"))).otherwise(digits)
     email = F.concat(_redrawn(F.regexp_extract(entity, r"^(.*)\.[a-z]+$", 1), seed), F.lit("."), F.regexp_extract(entity, r"\.([a-z]+)$", 1))
     ip = F.concat_ws(".", *((_byte(seed, F.lit(i)) % 254 + 1).cast("string") for i in range(4)))
-    iban = F.concat(F.left(entity, F.lit(2)), _redrawn(F.substring(entity, F.lit(3), F.length(entity)), seed))
+    country, account = F.left(entity, F.lit(2)), _redrawn(F.substring(entity, F.lit(5), F.length(entity)), seed)
+    holds = _mod97(F.concat(F.substring(entity, F.lit(5), F.length(entity)), F.left(entity, F.lit(4)))) == 1
+    sum_ = F.lpad((98 - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
+    iban = F.concat(country, F.when(holds, sum_).otherwise(_redrawn(F.substring(entity, F.lit(3), F.lit(2)), seed)), account)
     russian = entity.rlike(r"\p{IsCyrillic}")
     n = _byte(seed, F.lit(0))
     named = lambda a, b: F.when(russian, _pick(b, n)).otherwise(_pick(a, n))
