@@ -8,11 +8,15 @@ response's id and the record's type, so a task that runs again makes the same re
 from __future__ import annotations
 
 import base64
+import contextlib
+import gzip
 import hashlib
 import html
+import io
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -124,7 +128,7 @@ def _line(name: str, value) -> F.Column:
 
 
 def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None:
-    """Records of `derivatives` as WARC/1.1 files, one for each partition."""
+    """Records of `derivatives` as WARC/1.1 files, one for each partition; empty values give no header line, no records an empty folder."""
     head = F.concat(
         F.lit("WARC/1.1\r\n"), _line("WARC-Type", F.col("record_type")), _line("WARC-Record-ID", F.col("record_id")), _line("WARC-Date", F.col("date")), _line("WARC-Target-URI", F.col("target_uri")),
         _line("WARC-Refers-To", F.col("refers_to")), _line("WARC-Refers-To-Target-URI", F.col("target_uri")), _line("WARC-Refers-To-Date", F.col("date")), _line("WARC-Concurrent-To", F.col("concurrent_to")),
@@ -135,36 +139,58 @@ def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of a WARC file's bytes, compressed or not."""
-    if data[:2] == b"\x1f\x8b":
-        import gzip
+    """(headers, block) of each record of a WARC file's bytes, compressed or not; one record is held at a time.
 
-        data = gzip.decompress(data)
-    at = 0
-    while (start := data.find(b"WARC/1.", at)) >= 0:
-        end = data.find(b"\r\n\r\n", start)
-        if end < 0:
-            return
-        headers = dict(x.split(": ", 1) for x in data[start:end].decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
-        n = int(headers.get("Content-Length", 0))
-        yield headers, data[end + 4 : end + 4 + n]
-        at = end + 4 + n
-
-
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(source, record_id, target_uri, date, http, payload) of the responses in WARC files; a file is read by one task."""
+    What follows a record without a readable length, or a cut-off end, is left out.
+    """
+    file = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data))
+    with contextlib.suppress(EOFError, zlib.error):  # a cut-off member
+        while line := file.readline():
+            if not line.startswith(b"WARC/1."):
+                continue
+            headers = {}
+            while (line := file.readline()) not in (b"\r\n", b"\n", b""):
+                name, mark, value = line.decode("utf-8", "replace").partition(":")
+                if mark:
+                    headers[name.strip().lower()] = value.strip()
+            n = headers.get("content-length", "")
+            if not n.isdecimal() or len(block := file.read(int(n))) < int(n):
+                return
+            yield headers, block
+
+
+def read_warc(spark: SparkSession, path: str, batch_bytes: int = 8_000_000) -> DataFrame:
+    """(source, record_id, target_uri, date, http, payload) of the responses in WARC files.
+
+    A file (2 GB at most, as it comes in one row) is read by one task, record by record; a task
+    holds the file as it is stored and about batch_bytes of records. Other types of records are
+    left out; missing headers are null. Files without responses and empty folders give no rows.
+    """
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        names = ["source", "record_id", "target_uri", "date", "http", "payload"]
+
+        def flush() -> pa.RecordBatch:
+            b = pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*out, strict=True) if out else [[]] * 6)], names)
+            out.clear()
+            return b
+
         for b in batches:
-            for file, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                out = []
-                for h, block in parse_warc(content):
-                    if h.get("WARC-Type") == "response":
+            for file, content in zip(b.column("path"), b.column("content"), strict=True):
+                size = 0
+                for h, block in parse_warc(content.as_py()):
+                    if h.get("warc-type", "").lower() == "response":
                         http, mark, payload = block.partition(b"\r\n\r\n")
-                        out.append((file, h.get("WARC-Record-ID"), h.get("WARC-Target-URI"), h.get("WARC-Date"), (http + mark).decode("utf-8", "replace"), payload.decode("utf-8", "replace")))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*out, strict=True) if out else [[]] * 6)], ["source", "record_id", "target_uri", "date", "http", "payload"])
-
+                        out.append((file.as_py(), h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-date"), (http + mark).decode("utf-8", "replace"), payload.decode("utf-8", "replace")))
+                        size += len(block)
+                        if size > batch_bytes:
+                            yield flush()
+                            size = 0
+        yield flush()
+
+    bounded_batches(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(run, "source string, record_id string, target_uri string, date string, http string, payload string")
 
