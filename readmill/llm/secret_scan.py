@@ -103,7 +103,7 @@ def example_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
     close = draw("close", "\" and", "", "\"", "' then", "\"!!", "\"###", "\" der")
     hashes = F.concat(draw("hl", "see ", "", "at "), draw("h", "commit ", "sha1: ", "sha256:", "md5 ", "checksum ", "digest: ", "revision ", "etag: \"", "uuid ", "blob ", "build "))
     words = draw("w", "the", "thin", "oner", "tion", "ment", "keit", "elle", "manager", "service", "request", "erthe", "ununge")
-    word = F.concat(words, draw("w2", "ation", "ering", "lich", "eaux", "Controller", "Factory", "anderen", "ingth"), draw("w3", "sten", "onre", "Handler", "mente", "ereren", "List", "heitung"), draw("w4", "anther", "Impl", "tionen", "ciónado"[:4], "ement"))
+    word = F.concat(words, draw("w2", "ation", "ering", "lich", "eaux", "Controller", "Factory", "anderen", "ingth"), draw("w3", "sten", "onre", "Handler", "mente", "ereren", "List", "heitung"), draw("w4", "anther", "Impl", "tionen", "ción", "ement"))
     path = F.concat(F.lit("usr/"), words, F.lit("/lib/"), words, F.lit("/"), word)
     sample = draw("s", "xxxxxxxxxxxxxxxxxxxxxxxx", "your_api_key_goes_here", "EXAMPLEEXAMPLEEXAMPLE", "abcdefghijklmnopqrstuvwxyz", "12345678901234567890", "changeme-changeme-changeme", "placeholder_secret_value", "00000000000000000000000000000000", "--------------------------", "++++++++++++++++++++", "____________________")
     uuid = F.concat_ws("-", *(F.substring(part("u"), a, k) for a, k in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
