@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from readmill.functions import sequences as S
 
 
-PIECE = 256  # windows cut from one string: each is found by walking from the string's start
+PIECE = 128  # windows cut from one part of a read
 
 
 def _pieces(reads: DataFrame, k: int, seq: str, qual: str | None, keys: tuple[str, ...]) -> DataFrame:
@@ -31,17 +31,18 @@ def kmer_rows(reads: DataFrame, k: int, seq: str = "seq", qual: str | None = Non
     without qualities of its own has a min_qual above all.
     """
     one = F.translate("s", "N", "A")
-    parts = _pieces(reads, k, seq, qual, keys).select("*", one.alias("f"), S.reverse_complement(one).alias("r"), F.length("s").alias("n"))
-    if coded:
-        parts = parts.withColumns({c: F.translate(c, "ACGT", "0123") for c in ("f", "r")})  # the order is the same
+    digits = (lambda c: F.translate(c, "ACGT", "0123")) if coded else lambda c: c  # the order is the same
+    # bytes, as a window of a string is found by walking through its characters
+    cols = {"f": digits(one), "r": digits(S.reverse_complement(one)), "s": F.col("s")} | ({"q": F.col("q")} if qual else {})
+    parts = _pieces(reads, k, seq, qual, keys).select(*keys, "at", F.length("s").alias("n"), S.has_n(F.col("s")).alias("any_n"), *(c.cast("binary").alias(x) for x, c in cols.items()))
     i, n = F.col("i"), F.col("n")
     many = F.least(n - k + 1, F.lit(PIECE))  # n isn't null, as least would pass it over
     rows = parts.select("*", F.explode(F.when(many > 0, F.sequence(F.lit(1), many))).alias("i"))
     window = lambda c, at: F.substring(c, at, F.lit(k))
-    canon = F.greatest(window("f", i), window("r", n - k - i + 2))
-    cols = [(F.col("at") + i - 1).alias("pos"), (_number(canon, k) if coded else canon).alias("canon"), S.has_n(window("s", i)).alias("has_n")]
+    canon = F.greatest(window("f", i), window("r", n - k - i + 2)).cast("string")
+    cols = [(F.col("at") + i - 1).alias("pos"), (_number(canon, k) if coded else canon).alias("canon"), (F.col("any_n") & S.has_n(window("s", i).cast("string"))).alias("has_n")]
     if qual:
-        cols.append(F.when(F.length(window("q", i)) == k, S.least_quality(window("q", i))).otherwise(F.lit(1 << 20)).alias("min_qual"))
+        cols.append(F.when(F.length(window("q", i)) == k, S.least_quality(window("q", i).cast("string"))).otherwise(F.lit(1 << 20)).alias("min_qual"))
     return rows.select(*keys, *cols)
 
 
@@ -74,8 +75,14 @@ def document_frequency(rows: DataFrame, read: str = "read_id", with_n: bool = Fa
     return rows.select("canon", read).distinct().groupBy("canon").agg(F.least(F.count(F.lit(1)), F.lit(S.COUNT_MAX)).cast("int").alias("d"))
 
 
-def counts_by_read(rows: DataFrame, df: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, counts[, quals]): the counts of a read's k-mers in order; those not in df are 0."""
+def is_small(k: int, few: int = 1 << 21) -> bool:
+    """Whether a table of all canonical k-mers has at most `few` rows, whatever the input."""
+    return 4**k // 2 <= few
+
+
+def counts_by_read(rows: DataFrame, df: DataFrame, keys: list[str], small: bool = False) -> DataFrame:
+    """(keys, counts[, quals]): the counts of a read's k-mers in order; those not in df are 0. small: df is bounded (`is_small`) and goes to every task, so that rows are shuffled by read only."""
+    df = F.broadcast(df) if small else df
     x = [F.col("pos"), F.coalesce("d", F.lit(0)).alias("c"), *([F.col("min_qual")] if "min_qual" in rows.columns else [])]
     found = rows.join(df, "canon", "left").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*x))).alias("x"))
     return found.select(*keys, F.col("x.c").alias("counts"), *([F.col("x.min_qual").alias("quals")] if "min_qual" in rows.columns else []))

@@ -140,7 +140,7 @@ _RARE, _MID = f"count(*) FILTER (c < {_D.A})", f"count(*) FILTER (c >= {_D.A} AN
 
 def _decided(spark: SparkSession, d: str, number: int, qual: bool = False) -> DataFrame:
     rows = K.kmer_rows(reads(spark, d), _D.k, qual="qual" if qual else None, coded=True)
-    found = K.counts_by_read(rows, K.document_frequency(rows), ["read_id"])
+    found = K.counts_by_read(rows, K.document_frequency(rows), ["read_id"], K.is_small(_D.k))
     return found.select("read_id.*", keep(number, F.col("counts"), q1=F.col("quals") if qual else None, params=_D).alias("kept"))
 
 
@@ -170,7 +170,7 @@ def _pair_decided(spark: SparkSession, d: str, number: int) -> DataFrame:
     pairs = _mates(spark, d).withColumn("read_id", F.struct("conv_id", "pair", "nth"))
     each = pairs.select("read_id", F.explode(F.array(F.struct(F.lit(1).alias("mate"), F.col("seq1").alias("seq")), F.struct(F.lit(2).alias("mate"), F.col("seq2").alias("seq")))).alias("x")).select("read_id", "x.*")
     rows = K.kmer_rows(each, _D.k, keys=("read_id", "mate"), coded=True)
-    counts = K.counts_by_read(rows, K.document_frequency(rows), ["read_id", "mate"])
+    counts = K.counts_by_read(rows, K.document_frequency(rows), ["read_id", "mate"], K.is_small(_D.k))
     one = counts.groupBy("read_id").agg(*(F.coalesce(F.max(F.when(F.col("mate") == i, F.col("counts"))), F.array().cast("array<int>")).alias(f"c{i}") for i in (1, 2)))
     both = one.where((F.size("c1") > 0) & (F.size("c2") > 0))
     return both.select("read_id.*", keep(number, F.col("c1"), F.col("c2"), params=_D).alias("kept"))
