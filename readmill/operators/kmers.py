@@ -70,9 +70,10 @@ def kmer_counts(reads: DataFrame, k: int, seq: str = "seq", key: str = "read_id"
 
 
 def document_frequency(rows: DataFrame, read: str = "read_id", with_n: bool = False) -> DataFrame:
-    """(canon, d): reads in which a k-mer occurs, cut at the counter's limit."""
+    """(canon, d): reads in which a k-mer occurs, cut at the counter's limit. A read's k-mers are held at once; the filter's reads are short."""
     rows = rows if with_n else rows.where(~F.col("has_n"))
-    return rows.select("canon", read).distinct().groupBy("canon").agg(F.least(F.count(F.lit(1)), F.lit(S.COUNT_MAX)).cast("int").alias("d"))
+    sets = rows.groupBy(read).agg(F.collect_list("canon").alias("x")).select(F.explode(F.array_distinct("x")).alias("canon"))
+    return sets.groupBy("canon").agg(F.least(F.count(F.lit(1)), F.lit(S.COUNT_MAX)).cast("int").alias("d"))
 
 
 def is_small(k: int, few: int = 1 << 21) -> bool:
@@ -101,12 +102,12 @@ def row_cell(code: Column, row: Column, cells: int) -> Column:
 def sketch(rows: DataFrame, t: int, cells: int, read: str = "read_id") -> DataFrame:
     """(row, cell, cnt): a count-min sketch as a relation; a read adds one to a cell at most.
 
-    A read's cells are a set (of t * cells at most) before anything is shuffled, as its rows lie
-    together; sums of cells are made in each task first.
+    A read's k-mers are held at once (the filter's reads are short), and its cells are made distinct
+    there, so that k-mers are shuffled once; sums of cells are made in each task first.
     """
     each = rows.where(~F.col("has_n")).select(read, S.code(F.col("canon")).alias("code"))
-    at = F.array(*((row_cell(F.col("code"), F.lit(r), cells) + r * cells).cast("int") for r in range(t)))
-    sets = each.select(read, F.explode(at).alias("c")).groupBy(read).agg(F.collect_set("c").alias("c"))
+    at = lambda c: F.array(*((row_cell(c, F.lit(r), cells) + r * cells).cast("int") for r in range(t)))
+    sets = each.groupBy(read).agg(F.collect_list("code").alias("x")).select(F.array_distinct(F.flatten(F.transform("x", at))).alias("c"))
     found = sets.select(F.explode("c").alias("c")).groupBy("c").agg(F.least(F.count(F.lit(1)), F.lit(S.COUNT_MAX)).cast("int").alias("cnt"))
     return found.select(F.floor(F.col("c") / cells).cast("int").alias("row"), (F.col("c") % cells).alias("cell"), "cnt")
 
