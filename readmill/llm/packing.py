@@ -6,8 +6,8 @@ bounded number of tokens by the rarest token that another document has too (docu
 are counted over all documents first), so that documents that share a rare token mostly meet in
 one shard; a token whose documents exceed a shard is dealt into several. A shard holds a BM25
 inverted index (document frequencies and mean length over all documents); the longest unused
-leftover is a seed, its best-weighted terms are the query, and unused neighbours join it by
-descending score while they fit. What room is left goes to the best neighbour that does not fit,
+leftover is a seed, its best-weighted terms are the query (the leaders by them are scored by all its
+terms), and unused neighbours join it by descending score while they fit. What room is left goes to the best neighbour that does not fit,
 cut at a multiple of GRID ids, or to the next unused leftover where the index returns none.
 
 Checksums of pieces come from running ones at each multiple of GRID, so ids are never stored or
@@ -201,6 +201,12 @@ class Encoder:
             yield ids[of_text[i] : of_text[i + 1]] if p else self._encode([texts[i]])[0]
 
 
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of ranges that are so long, one after the other."""
+    end = np.cumsum(n)
+    return np.repeat(start - end + n, n) + np.arange(end[-1] if len(end) else 0)
+
+
 def _pieces(x: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The pieces of x that start there and are so long, one after the other."""
     end = np.cumsum(n, dtype=np.int32)  # far fewer than 2^31 at a time
@@ -381,8 +387,10 @@ class Shard:
         self.doc, self.impact = doc[order], self.weight[order]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(self.term, minlength=len(idf)))]).tolist()
 
+    RESCORED = 128  # leaders that are scored by all of a seed's terms
+
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 of every leftover for the seed's best-weighted terms."""
+        """BM25 of every leftover for the seed's best-weighted terms; of the leaders by those, for all its terms."""
         lo, hi = self.at[seed], self.at[seed + 1]
         w = self.weight[lo:hi]
         best = np.argpartition(-w, self.query_terms)[: self.query_terms] if len(w) > self.query_terms else np.arange(len(w))
@@ -390,6 +398,13 @@ class Shard:
         for t in self.term[lo:hi][best].tolist():
             a, b = self.first[t], self.first[t + 1]
             score[self.doc[a:b]] += self.impact[a:b]
+        if len(best) < len(w):
+            lead = np.argpartition(score, len(score) - self.RESCORED)[-self.RESCORED :] if len(score) > self.RESCORED else np.arange(len(score))
+            asked = np.zeros(len(self.first), bool)
+            asked[self.term[lo:hi]] = True
+            n = self.at[lead + 1] - self.at[lead]
+            at = _ranges(self.at[lead], n)
+            score[lead] = np.add.reduceat(self.weight[at] * asked[self.term[at]], np.cumsum(n) - n)
         return score
 
     def pack(self, window: int) -> Iterator[list[tuple[int, int, int]]]:
