@@ -7,6 +7,7 @@ from collections.abc import Callable
 from .decontaminate import op7_decontamination
 from .jaccard_join import op9_jaccard_join
 from .language_id import op5_language_id
+from .line_dedup import OP11_SQL, op11_line_dedup
 from .packing import op2_packing
 from .pii_surrogates import op6_pii_surrogates
 from .repeats import op10_repeats
@@ -14,10 +15,11 @@ from .secret_scan import op8_secret_scan
 from .token_counts import op1_token_counts
 from .topk_search import OP3_SQL, op3_topk_search
 from .warc import op4_warc
+from .whitening import op12_embedding_whitening
 
 
 def queries() -> dict[str, Callable]:
-    return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_topk_search, op4_warc, op5_language_id, op6_pii_surrogates, op7_decontamination, op8_secret_scan, op9_jaccard_join, op10_repeats)}
+    return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_topk_search, op4_warc, op5_language_id, op6_pii_surrogates, op7_decontamination, op8_secret_scan, op9_jaccard_join, op10_repeats, op11_line_dedup, op12_embedding_whitening)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -57,4 +59,4 @@ SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_repeats": OP10_SQL, "op3_topk_search": OP3_SQL, "op7_decontamination": OP7_SQL, "op9_jaccard_join": OP9_SQL}
+    return {"op10_repeats": OP10_SQL, "op11_line_dedup": OP11_SQL, "op3_topk_search": OP3_SQL, "op7_decontamination": OP7_SQL, "op9_jaccard_join": OP9_SQL}
