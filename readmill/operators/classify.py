@@ -9,6 +9,7 @@ from readmill.functions import sequences as S
 from readmill.storage import materialized
 
 from . import kmers as K
+from .minimizers import Index
 
 
 def closure(taxonomy: DataFrame) -> DataFrame:
@@ -67,11 +68,30 @@ def classify(reads: DataFrame, table: DataFrame, taxonomy: DataFrame, k: int, qu
     rows = _coded(reads, k, ("read_id",))
     small = table.limit(few + 1).count() <= few
     rows = rows.join(F.broadcast(table) if small else table, "canon")
+    return _calls(reads, _hits(rows, quick_hits), closure(taxonomy) if up is None else up)
+
+
+def classify_by_index(reads: DataFrame, index: Index, taxonomy: DataFrame, quick_hits: int = 0, up: DataFrame | None = None) -> DataFrame:
+    """The same, with a table in buckets of minimizers (`minimizers.Index`), of any size, which isn't shuffled."""
+    each = reads.select("read_id", F.lit(0).alias("mate"), "seq")
+    if "seq2" in reads.columns:
+        each = each.unionByName(reads.where("seq2 is not null").select("read_id", F.lit(1).alias("mate"), F.col("seq2").alias("seq")))
+    with index.opened() as table:
+        rows = index.matched(each, ("read_id", "mate"), table)
+        hits = _hits(rows.withColumn("pos", F.col("pos") + F.col("mate") * (1 << 30)), quick_hits)
+    return _calls(reads, hits, closure(taxonomy) if up is None else up)
+
+
+def _hits(rows: DataFrame, quick_hits: int) -> DataFrame:
+    """(read_id, taxid, hits) of known k-mers (read_id, pos, taxid)."""
     if quick_hits:
         w = Window.partitionBy("read_id").orderBy("pos")
         rows = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= quick_hits)
-    hits = materialized(rows.groupBy("read_id", "taxid").agg(F.count(F.lit(1)).alias("hits")))
-    up = closure(taxonomy) if up is None else up
+    return materialized(rows.groupBy("read_id", "taxid").agg(F.count(F.lit(1)).alias("hits")))
+
+
+def _calls(reads: DataFrame, hits: DataFrame, up: DataFrame) -> DataFrame:
+    """(read_id, taxid, hits): for each read the taxon whose path to the root has most hits."""
     path = hits.select("read_id", "taxid").join(up, "taxid").join(hits.select("read_id", F.col("taxid").alias("ancestor"), "hits"), ["read_id", "ancestor"])
     scores = path.groupBy("read_id", "taxid").agg(F.sum("hits").alias("hits"))
     best = scores.withColumn("_m", F.max("hits").over(Window.partitionBy("read_id"))).where("hits = _m")

@@ -40,20 +40,20 @@ def kmer_rows(reads: DataFrame, k: int, seq: str = "seq", qual: str | None = Non
     rows = parts.select("*", F.explode(F.when(many > 0, F.sequence(F.lit(1), many))).alias("i"))
     window = lambda c, at: F.substring(c, at, F.lit(k))
     canon = F.greatest(window("f", i), window("r", n - k - i + 2)).cast("string")
-    cols = [(F.col("at") + i - 1).alias("pos"), (_number(canon, k) if coded else canon).alias("canon"), (F.col("any_n") & S.has_n(window("s", i).cast("string"))).alias("has_n")]
+    cols = [(F.col("at") + i - 1).alias("pos"), (number(canon, k) if coded else canon).alias("canon"), (F.col("any_n") & S.has_n(window("s", i).cast("string"))).alias("has_n")]
     if qual:
         cols.append(F.when(F.length(window("q", i)) == k, S.least_quality(window("q", i).cast("string"))).otherwise(F.lit(1 << 20)).alias("min_qual"))
     return rows.select(*keys, *cols)
 
 
-def _number(digits: Column, k: int) -> Column:
+def number(digits: Column, k: int) -> Column:
     """k digits 0 to 3 as one number: read as decimal while that fits, else to the base of 4."""
     return digits.cast("bigint") if k <= 18 else F.conv(digits, 4, 10).cast("bigint")
 
 
 def code(canon: Column, k: int) -> Column:
     """The number of a k-mer in rows that are `coded`."""
-    return _number(F.translate(canon, "ACGT", "0123"), k)
+    return number(F.translate(canon, "ACGT", "0123"), k)
 
 
 def decoded(number: Column, k: int) -> Column:

@@ -37,6 +37,11 @@ _IS_N[[ord(c) for c in "ACGTacgt"]] = False
 _NONE = np.zeros(0, np.int64)
 
 
+def odd_letters(raw: np.ndarray) -> np.ndarray:
+    """Which letters aren't A, C, G, T in either case."""
+    return _IS_N[raw]
+
+
 def codes(seq: bytes, k: int, first_min: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Canonical 2-bit codes (uint64) of a read's k-mers, and which of them hold an N. k is up to 32."""
     raw = np.frombuffer(seq, np.uint8)

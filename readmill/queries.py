@@ -15,13 +15,14 @@ from readmill.functions import sequences as S
 from readmill.operators import classify as C
 from readmill.operators import evaluate as E
 from readmill.operators import kmers as K
+from readmill.operators import minimizers as Z
 from readmill.operators import reads as R
 from readmill.operators.decide import Params, keep
 from readmill.operators.normalize import normalize, normalize_batch, run_statistics
 from readmill.operators.relational import first_by_prefix, last_wins, not_done, upsert
 from readmill.plans import sweep as P
 from readmill.sources.tables import statistics_columns
-from readmill.storage import materialized
+from readmill.storage import materialized, scratch
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _BASES = "ACGTACGTACGTACGTACGTACGTAN"
@@ -95,12 +96,12 @@ _WHOLE = f"{_LETTERS_SQL}, {_kmers_sql(K_, 'letters', 'read_id')}"
 
 @_query(f"WITH {_WHOLE} SELECT canon, count(*) AS n, count(DISTINCT read_id) AS d FROM kmers WHERE NOT has_n GROUP BY canon")
 def kmer_count(spark: SparkSession, d: str) -> DataFrame:
-    return K.kmer_counts(letters(spark, d), K_)
+    return Z.kmer_counts(letters(spark, d), K_)
 
 
 @_query(f"WITH {_WHOLE} SELECT canon, count(*) AS n FROM kmers WHERE NOT has_n GROUP BY canon ORDER BY n DESC, canon LIMIT 100")
 def kmer_top(spark: SparkSession, d: str) -> DataFrame:
-    return K.kmer_counts(letters(spark, d), K_).select("canon", "n").orderBy(F.desc("n"), "canon").limit(100)
+    return Z.kmer_counts(letters(spark, d), K_).select("canon", "n").orderBy(F.desc("n"), "canon").limit(100)
 
 
 @_query(f"""WITH {_READS}, r AS (SELECT seq, CASE WHEN length(seq) < {K_} THEN 'too_short' WHEN length(seq) - length(replace(seq, 'N', '')) > 4 THEN 'too_many_n' END AS why FROM reads)
@@ -112,7 +113,7 @@ def read_qc(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH {_WHOLE}, c AS (SELECT canon, least(count(DISTINCT read_id), 253) AS d FROM kmers WHERE NOT has_n GROUP BY canon) SELECT CAST(d AS INTEGER) AS cnt, count(*) AS kmers FROM c GROUP BY d")
 def kmer_hist(spark: SparkSession, d: str) -> DataFrame:
-    return K.count_histogram(K.kmer_counts(letters(spark, d), K_))
+    return K.count_histogram(Z.kmer_counts(letters(spark, d), K_))
 
 
 _CODE_SQL = "CAST(list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 13), lambda i: CAST(strpos('ACGT', substring(canon, i, 1)) - 1 AS BIGINT))), lambda a, x: a * 4 + x) AS BIGINT)"
@@ -447,15 +448,42 @@ def parameter_sweep(spark: SparkSession, d: str) -> DataFrame:
     return P.sweep(r.drop("run_id"), P.parameter_sets(spark), t=4, bits=16).withColumn("reads_kept_pct", F.round("reads_kept_pct", 6))
 
 
-@_query()
+_CLASSIFY = f"""WITH {_LETTERS_SQL}, items AS (SELECT CAST(item_id % 25 + 100 AS BIGINT) AS taxid, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{_LETTERS}', '{_BASES}') AS seq FROM benchmark),
+{_kmers_sql(31, "letters", "read_id", "rk")}, {_kmers_sql(31, "items", "taxid", "ik")},
+refs AS (SELECT DISTINCT canon, taxid, n_regionkey + 10 AS region FROM ik JOIN nation ON n_nationkey + 100 = taxid WHERE NOT has_n),
+tab AS (SELECT canon, CASE WHEN count(DISTINCT taxid) = 1 THEN min(taxid) WHEN count(DISTINCT region) = 1 THEN min(region) ELSE 1 END AS taxid FROM refs GROUP BY canon),
+h AS (SELECT read_id, taxid, count(*) AS hits FROM rk JOIN tab USING (canon) WHERE NOT has_n GROUP BY 1, 2),
+up AS (SELECT n_nationkey + 100 AS taxid, unnest([n_nationkey + 100, n_regionkey + 10, 1]) AS anc FROM nation UNION ALL SELECT r_regionkey + 10, unnest([r_regionkey + 10, 1]) FROM region UNION ALL SELECT 1, 1),
+sc AS (SELECT h.read_id, h.taxid, sum(a.hits) AS score FROM h JOIN up USING (taxid) JOIN h a ON a.read_id = h.read_id AND a.taxid = up.anc GROUP BY 1, 2),
+best AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY read_id) AS m FROM sc) WHERE score = m),
+c AS (SELECT read_id, anc, count(*) AS c, max(m) AS m FROM best JOIN up USING (taxid) GROUP BY 1, 2), n AS (SELECT read_id, count(*) AS n FROM best GROUP BY 1),
+calls AS (SELECT read_id, max(anc) AS taxid, max(m) AS hits FROM c JOIN n USING (read_id) WHERE c = n GROUP BY read_id)
+SELECT letters.read_id, CAST(coalesce(taxid, 0) AS BIGINT) AS taxid, CAST(coalesce(hits, 0) AS BIGINT) AS hits FROM letters LEFT JOIN calls USING (read_id)"""
+
+
+def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(items as references of nations, the tree of regions)."""
+    items = _table(spark, d, "benchmark").select((F.col("item_id") % 25 + 100).cast("bigint").alias("taxid"), F.translate(_letters(), _LETTERS, _BASES).alias("seq"))
+    return items, _tree(spark, d).where("rank <> 'species'")
+
+
+@_query(_CLASSIFY)
 def classify_reads(spark: SparkSession, d: str) -> DataFrame:
     """Whole documents as reads, benchmark items as references of nations in the tree of regions."""
-    items = _table(spark, d, "benchmark").select((F.col("item_id") % 25 + 100).cast("bigint").alias("taxid"), F.translate(_letters(), _LETTERS, _BASES).alias("seq"))
-    tree = _tree(spark, d).where("rank <> 'species'")
+    items, tree = _references(spark, d)
     up = C.closure(tree)
     return C.classify(letters(spark, d), materialized(C.kmer_taxa(items, tree, 31, up)), tree, 31, up=up)
 
 
+@_query(_CLASSIFY)
+def classify_by_index(spark: SparkSession, d: str) -> DataFrame:
+    """The same calls through a table in buckets of minimizers, which isn't shuffled."""
+    items, tree = _references(spark, d)
+    up = C.closure(tree)
+    index = Z.Index.write(C.kmer_taxa(items, tree, 31, up), scratch(spark), 31, buckets=16)
+    return C.classify_by_index(letters(spark, d), index, tree, up=up)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_found)
 

@@ -35,15 +35,20 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """df as a Parquet table, read again; it goes with `release`, or when the driver's Python ends."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there goes with `release`, or when the driver's Python ends."""
     path = f"{shared_dir(spark)}/readmill-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     if not _held:
         atexit.register(release, spark)
     _held.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """df as a Parquet table, read again; see `scratch`."""
+    path = scratch(df.sparkSession)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
