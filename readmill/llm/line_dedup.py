@@ -7,6 +7,7 @@ once has been seen twice. The filter of twice-seen hashes, of a fixed size, goes
 only lines whose hash it holds are suspects. A filter has no false negatives: every repeated key is
 suspected. Suspects alone are shuffled, by the SHA-256 of their keys, which confirms repeats exactly
 and chooses the document that keeps the line; then texts meet the places of their dropped lines.
+Keys with a large share of all suspects are few and go to every task instead of meeting in one.
 
 The size is `bits` (2^29 by default, 64 MB a filter), whatever the input. With 8 bits a key (67
 million keys) about 3 % of the single keys are suspects by mistake. Beyond, the share grows up to
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table, text_or_empty, tidy, written
+from .common import bounded_batches, table, tasks, text_or_empty, tidy, written
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 LEAST = 10  # code points of a key that counts
@@ -149,8 +150,11 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     rows = rows.withColumn("print", F.xxhash64("id", "text"))
     suspects = written(_suspects(rows, spark.sparkContext.broadcast(blocks), bits))
     own = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"))
-    first = suspects.groupBy("key").agg(F.min(own).alias("first"), F.max(own).alias("last")).where("first <> last").select("key", "first")
-    dropped = suspects.join(first, "key").where(own != F.col("first"))
+    first = suspects.groupBy("key").agg(F.min(own).alias("first"), F.max(own).alias("last"), F.count(F.lit(1)).alias("n")).where("first <> last")
+    first, most = written(first.select("key", "first", "n")), suspects.count() // (4 * tasks(spark))
+    often = F.broadcast(first.where(F.col("n") > most))  # 4 times as many rows as a shuffle has parts, at most
+    rest = suspects.join(often, "key", "left_anti").join(first.where(F.col("n") <= most), "key")
+    dropped = suspects.join(often, "key").unionByName(rest).where(own != F.col("first"))
     dropped = dropped.groupBy("id", "print").agg(F.collect_set("place").alias("places"))  # a text's lines at most
     of = dropped.select(F.col("id").alias("_id"), F.col("print").alias("_print"), "places")
     both = rows.join(of, (F.col("print") == F.col("_print")) & F.col("id").eqNullSafe(F.col("_id")), "left").select("id", "text", "places")
