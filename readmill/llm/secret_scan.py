@@ -49,13 +49,30 @@ def _beside(candidate: Column, before: Column, behind: Column) -> Column:
     return F.struct(candidate.alias("candidate"), F.right(before, F.lit(48)).alias("before"), F.left(behind, F.lit(48)).alias("behind"))
 
 
-def _with_parts(x: Column) -> Column:
-    """The candidate, and what of it stands between slashes and is long enough to be one."""
-    cut = F.split(x["candidate"], "/")
-    start = lambda i: F.when(i > 0, F.concat(F.array_join(F.slice(cut, F.lit(1), F.greatest(i, F.lit(1))), "/"), F.lit("/"))).otherwise(F.lit(""))
-    end = lambda i: F.when(i + 1 < F.size(cut), F.concat(F.lit("/"), F.array_join(F.slice(cut, i + 2, F.size(cut)), "/"))).otherwise(F.lit(""))
-    parts = F.transform(cut, lambda c, i: _beside(c, F.concat(x["before"], start(i)), F.concat(end(i), x["behind"])))
-    return F.concat(F.array(x), F.filter(parts, lambda p: (F.length(p["candidate"]) >= _LEAST) & (p["candidate"] != x["candidate"])))
+def _with_parts(around: Column) -> Column:
+    """Of each candidate of an array: it, and what of it stands between slashes and is long enough to be one.
+
+    A part's surroundings are built from the 48 pieces beside it, each cut to 48 characters, and all
+    that a run's parts share is made once, so that the work is in proportion to the run's length.
+    """
+    near = 48
+    cut = F.transform(around, lambda x: F.struct(x.alias("x"), F.split(x["candidate"], "/").alias("cut")))
+    ready = F.transform(cut, lambda y: F.struct(
+        y["x"].alias("x"), y["cut"].alias("cut"), F.transform(y["cut"], lambda c: F.right(c, F.lit(near))).alias("ends"), F.transform(y["cut"], lambda c: F.left(c, F.lit(near))).alias("starts"),
+        F.filter(F.sequence(F.lit(0), F.size(y["cut"]) - 1), lambda i: F.length(F.get(y["cut"], i)) >= _LEAST).alias("at"),
+    ))
+
+    def part(y: Column, i: Column) -> Column:
+        first = F.greatest(i - near, F.lit(0))
+        before = F.concat_ws("/", F.slice(y["ends"], first + 1, i - first), F.lit(""))
+        behind = F.concat_ws("/", F.lit(""), F.slice(y["starts"], i + 2, F.lit(near)))
+        one = F.when(i > 0, before).otherwise(F.lit(""))
+        two = F.when(i + 1 < F.size(y["cut"]), behind).otherwise(F.lit(""))
+        return _beside(F.get(y["cut"], i), F.concat(y["x"]["before"], one), F.concat(two, y["x"]["behind"]))
+
+    parts = lambda y: F.when(F.size(y["cut"]) > 1, F.transform(y["at"], lambda i: part(y, i)))
+    none = lambda y: F.filter(F.array(y["x"]), lambda _: F.lit(False))
+    return F.transform(ready, lambda y: F.concat(F.array(y["x"]), F.coalesce(parts(y), none(y))))
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -67,7 +84,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     t = t.withColumn("_parts", by(lambda p: F.split("_t", p, -1)))
     hit = lambda i: F.coalesce(F.get("_hits", i), F.lit(""))
     around = F.transform("_hits", lambda h, i: _beside(h, F.concat(hit(i - 1), F.get("_parts", i)), F.concat(F.get("_parts", i + 1), hit(i + 1))))
-    return t.select(id_col, F.posexplode(F.flatten(F.transform(around, _with_parts))).alias("nth", "x")).select(id_col, "nth", "x.*")
+    return t.select(id_col, F.posexplode(F.flatten(_with_parts(around))).alias("nth", "x")).select(id_col, "nth", "x.*")
 
 
 def features(found: DataFrame) -> tuple[DataFrame, list[str]]:

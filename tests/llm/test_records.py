@@ -1,7 +1,10 @@
 """WARC derivatives, surrogates, the secret scan and the pipeline."""
 
+import base64
 import json
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -320,3 +323,21 @@ def _shares(text, items, D):
         if n and {tuple(w[j : j + n]) for j in range(len(w) - n + 1)} & {tuple(words[j : j + n]) for j in range(len(words) - n + 1)}:
             return True
     return False
+
+
+def test_parts_of_long_runs(spark):
+    """Each part of a run with the 48 characters beside it, and a run of two million characters."""
+    rng = random.Random(6)
+    run = "/".join("".join(rng.choice("abcXYZ019+") for _ in range(rng.choice([0, 1, 3, 20, 25, 60, 200]))) for _ in range(200)) + "/" * 60 + "q" * 30
+    got = [(r.candidate, r.before, r.behind) for r in X.candidates(spark.createDataFrame([(1, f"see {run} end")], "doc_id long, text string")).collect()]
+    want, at = [(run, "see ", " end")], 0
+    for part in run.split("/"):
+        if len(part) >= 20:
+            want.append((part, f"see {run[:at]}"[-48:], f"{run[at + len(part) :]} end"[:48]))
+        at += len(part) + 1
+    assert sorted(got) == sorted(want)
+    data = base64.b64encode(rng.randbytes(1_500_000)).decode()
+    forest = X.train(X.example_findings(spark, 400), trees=4)
+    began = time.monotonic()
+    n = X.scan(spark.createDataFrame([(1, f"data: {data} .")], "doc_id long, text string"), forest).count()
+    assert n == 1 + sum(len(p) >= 20 for p in data.rstrip("=").split("/")) and time.monotonic() - began < 20
