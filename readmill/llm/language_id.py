@@ -10,6 +10,7 @@ the language whose prototype has the largest cosine with it.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, only, table, text_or_empty, tidy
 
-_OTHERS = re.compile(r"[\W\d_]+")
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())  # such as ½ and Ⅷ
+_OTHERS = re.compile(rf"[\W\d_{_NUMERALS}]+")
 _PIECE = 1 << 18  # n-grams of a text that are held at once
 UNDETERMINED = "und"
 

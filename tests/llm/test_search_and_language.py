@@ -109,3 +109,10 @@ def test_held_out_accuracy(spark, sf):
     import zlib
 
     assert zlib.crc32(str(one).encode()) % 3 == 1
+
+
+def test_numerals_are_no_letters(spark):
+    model = learn(spark.createDataFrame([(i, "the cat and the dog", "en") for i in range(9)], "doc_id long, text string, lang string"))
+    rows = [(1, "½ ² ①"), (2, "Ⅷ"), (3, "٣ 7 _"), (4, "½ dog"), (5, "ﬁ")]
+    got = {r.doc_id: (r.lang_pred, r.score > 0) for r in predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert {i for i, (x, _) in got.items() if x == "und"} == {1, 2, 3} and not any(s for i, (_, s) in got.items() if i < 4)
