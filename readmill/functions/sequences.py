@@ -117,3 +117,16 @@ def is_read_file(path: Column) -> Column:
 def is_fastq(path: Column, first_char: Column | None = None) -> Column:
     """By suffix, else by the first character, else FASTQ."""
     return F.when(path.rlike(r"\.(fq|fastq)(\.gz)?$"), True).when(path.rlike(r"\.(fa|fasta)(\.gz)?$"), False).otherwise(F.coalesce(first_char == "@", F.lit(True)) if first_char is not None else F.lit(True))
+
+
+# How letters of a text stand for bases
+LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAN"
+
+
+def letters_only(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), "[^a-z]", "")
+
+
+def pseudo_bases(text: Column) -> Column:
+    """A text's letters a to z (in either case) as bases."""
+    return F.translate(letters_only(text), LETTERS, BASES)

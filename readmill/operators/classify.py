@@ -137,14 +137,15 @@ def report_lines(r: DataFrame) -> DataFrame:
     return head.unionByName(r.select("order", text.alias("value"))).coalesce(1).sortWithinPartitions("order").select("value")
 
 
-def rollup(direct: DataFrame, taxonomy: DataFrame, value: str = "tax_reads", up: DataFrame | None = None) -> DataFrame:
-    """(taxid, value, reads, percent): clade sums over (taxid, value); percent of all, unclassified (0) included."""
-    up = closure(taxonomy) if up is None else up
-    clade = direct.join(up, "taxid").groupBy("ancestor").agg(F.sum(value).alias("reads")).withColumnRenamed("ancestor", "taxid")
-    own = direct.groupBy("taxid").agg(F.sum(value).alias(value))
-    rows = clade.join(own, "taxid", "left").unionByName(own.where("taxid = 0").withColumn("reads", F.col(value)))
-    total = direct.agg(F.sum(value).alias("_t"))
-    return rows.join(F.broadcast(total)).select("taxid", F.coalesce(value, F.lit(0)).alias(value), "reads", (100 * F.col("reads") / F.col("_t")).alias("percent"))
+def rollup(direct: DataFrame, taxonomy: DataFrame, value: str = "tax_reads", up: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
+    """([keys, ]taxid, value, reads, percent): clade sums over ([keys, ]taxid, value); percent of all (of a key), unclassified (0) included."""
+    up, keys = closure(taxonomy) if up is None else up, keys or []
+    clade = direct.join(up, "taxid").groupBy(*keys, "ancestor").agg(F.sum(value).alias("reads")).withColumnRenamed("ancestor", "taxid")
+    own = direct.groupBy(*keys, "taxid").agg(F.sum(value).alias(value))
+    rows = clade.join(own, [*keys, "taxid"], "left").unionByName(own.where("taxid = 0").withColumn("reads", F.col(value)))
+    total = direct.groupBy(*keys).agg(F.sum(value).alias("_t"))
+    rows = rows.join(total, keys) if keys else rows.join(F.broadcast(total))
+    return rows.select(*keys, "taxid", F.coalesce(value, F.lit(0)).alias(value), "reads", (100 * F.col("reads") / F.col("_t")).alias("percent"))
 
 
 def extract_ranks(report: DataFrame, ranks: list[str]) -> DataFrame:

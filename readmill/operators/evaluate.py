@@ -10,11 +10,18 @@ from readmill.functions import sequences as S
 KEYS = ["tool", "dataset", "level"]
 
 
+def _once(pred: DataFrame, keys: list[str]) -> DataFrame:
+    """pred with one row for each taxon of a key: that of the largest abundance."""
+    rest = [c for c in pred.columns if c not in (*keys, "taxid", "abundance")]
+    return pred.groupBy(*keys, "taxid").agg(F.max(F.struct("abundance", *rest)).alias("_x")).select(*keys, "taxid", "_x.*")
+
+
 def prefix_curve(pred: DataFrame, truth: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """(keys, taxid, abundance, rank, tp, precision, recall, f1) at every prefix by abundance, ties by taxid.
 
-    One shuffle by key: truth is counted and matched within the same partitioning.
+    A taxon that is predicted more than once counts once, with its largest abundance.
     """
+    pred = _once(pred, keys)
     of = [k for k in keys if k in truth.columns]
     t = truth.select(*of, "taxid").distinct()
     size = t.groupBy(*of).agg(F.count(F.lit(1)).alias("n_truth"))
@@ -43,12 +50,12 @@ def questions(pred: DataFrame, truth: DataFrame, keys: list[str] = KEYS) -> Data
 
 
 def aupr(pred: DataFrame, truth: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Area under the precision-recall curve over predictions and truth together; equal scores are one step, trapezoids from (0, 1)."""
+    """Area under the precision-recall curve over predictions and truth together; equal scores are one step, trapezoids from (0, 1). Repeated predictions as in `prefix_curve`."""
     of = [k for k in keys if k in truth.columns]
     t = truth.select(*of, "taxid").distinct().withColumn("_y", F.lit(1))
     if len(of) < len(keys):
         t = questions(pred, truth, keys).join(t, of)
-    both = pred.select(*keys, "taxid", "abundance").join(t, [*keys, "taxid"], "full").select(*keys, F.coalesce("abundance", F.lit(0.0)).alias("s"), F.coalesce("_y", F.lit(0)).alias("y"))
+    both = _once(pred.select(*keys, "taxid", "abundance"), keys).join(t, [*keys, "taxid"], "full").select(*keys, F.coalesce("abundance", F.lit(0.0)).alias("s"), F.coalesce("_y", F.lit(0)).alias("y"))
     steps = both.groupBy(*keys, "s").agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(*keys).orderBy(F.desc("s"))
     run = w.rowsBetween(Window.unboundedPreceding, 0)

@@ -24,8 +24,7 @@ from readmill.plans import sweep as P
 from readmill.sources.tables import statistics_columns
 from readmill.storage import materialized, scratch
 
-_LETTERS = "abcdefghijklmnopqrstuvwxyz"
-_BASES = "ACGTACGTACGTACGTACGTACGTAN"
+_LETTERS, _BASES = S.LETTERS, S.BASES
 _QUALS = "".join(chr(33 + ord(c) % 41) for c in _LETTERS)
 K_ = 21
 
@@ -48,7 +47,7 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _letters(text: str = "text"):
-    return F.regexp_replace(F.lower(text), "[^a-z]", "")
+    return S.letters_only(F.col(text))
 
 
 def letters(spark: SparkSession, d: str) -> DataFrame:
@@ -448,7 +447,7 @@ def parameter_sweep(spark: SparkSession, d: str) -> DataFrame:
     return P.sweep(r.drop("run_id"), P.parameter_sets(spark), t=4, bits=16).withColumn("reads_kept_pct", F.round("reads_kept_pct", 6))
 
 
-_CLASSIFY = f"""WITH {_LETTERS_SQL}, items AS (SELECT CAST(item_id % 25 + 100 AS BIGINT) AS taxid, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{_LETTERS}', '{_BASES}') AS seq FROM benchmark),
+CLASSIFY_SQL = f"""WITH {_LETTERS_SQL}, items AS (SELECT CAST(item_id % 25 + 100 AS BIGINT) AS taxid, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{_LETTERS}', '{_BASES}') AS seq FROM benchmark),
 {_kmers_sql(31, "letters", "read_id", "rk")}, {_kmers_sql(31, "items", "taxid", "ik")},
 refs AS (SELECT DISTINCT canon, taxid, n_regionkey + 10 AS region FROM ik JOIN nation ON n_nationkey + 100 = taxid WHERE NOT has_n),
 tab AS (SELECT canon, CASE WHEN count(DISTINCT taxid) = 1 THEN min(taxid) WHEN count(DISTINCT region) = 1 THEN min(region) ELSE 1 END AS taxid FROM refs GROUP BY canon),
@@ -467,7 +466,7 @@ def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return items, _tree(spark, d).where("rank <> 'species'")
 
 
-@_query(_CLASSIFY)
+@_query(CLASSIFY_SQL)
 def classify_reads(spark: SparkSession, d: str) -> DataFrame:
     """Whole documents as reads, benchmark items as references of nations in the tree of regions."""
     items, tree = _references(spark, d)
@@ -475,7 +474,7 @@ def classify_reads(spark: SparkSession, d: str) -> DataFrame:
     return C.classify(letters(spark, d), materialized(C.kmer_taxa(items, tree, 31, up)), tree, 31, up=up)
 
 
-@_query(_CLASSIFY)
+@_query(CLASSIFY_SQL)
 def classify_by_index(spark: SparkSession, d: str) -> DataFrame:
     """The same calls through a table in buckets of minimizers, which isn't shuffled."""
     items, tree = _references(spark, d)
