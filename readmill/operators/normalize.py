@@ -252,8 +252,22 @@ def pass_through(reads: DataFrame) -> DataFrame:
     return reads.select(*at, F.lit(True).alias("kept"), F.lit(None).cast("string").alias("reason"))
 
 
+def add_counts(*counts: DataFrame) -> DataFrame:
+    """Tables (canon, d) summed up; counters stop at their limit, so that sums in any order are the same."""
+    out = counts[0].select("canon", "d")
+    for more in counts[1:]:
+        out = out.unionByName(more.select("canon", "d"))
+    return out.groupBy("canon").agg(F.least(F.sum("d"), F.lit(S.COUNT_MAX)).cast("int").alias("d"))
+
+
 def normalize_batch(reads: DataFrame, counts: DataFrame | None, params: Params, max_len: int = S.MAX_LEN) -> tuple[DataFrame, DataFrame]:
-    """(verdicts, counts after) with every read or pair judged by the same counts (canon, d); relational throughout.
+    """(verdicts, counts after) of a batch, see `judge_batch`."""
+    verdicts, more = judge_batch(reads, counts, params, max_len)
+    return verdicts, more if counts is None else add_counts(counts, more)
+
+
+def judge_batch(reads: DataFrame, counts: DataFrame | None, params: Params, max_len: int = S.MAX_LEN) -> tuple[DataFrame, DataFrame]:
+    """(verdicts, counts of the kept reads) with every read or pair judged by the same counts (canon, d); relational throughout.
 
     A pair is one read: a k-mer counts once for both mates. Where there are no qualities, every
     k-mer passes decision 6. k-mers are those of `kmers.kmer_rows`.
@@ -281,6 +295,4 @@ def normalize_batch(reads: DataFrame, counts: DataFrame | None, params: Params,
     ok = R.reject_reason(F.col("seq"), p.k, p.N, second).isNull()
     verdicts = r.join(judged, "read_id", "left").select(*at, (F.coalesce("kept", F.lit(False)) & ok).alias("kept"))
     taken = rows.join(verdicts.where("kept").select(F.struct(*at).alias("read_id")), "read_id", "left_semi")
-    more = K.document_frequency(taken)
-    after = counts.unionByName(more).groupBy("canon").agg(F.least(F.sum("d"), F.lit(S.COUNT_MAX)).cast("int").alias("d"))
-    return verdicts, after
+    return verdicts, K.document_frequency(taken)

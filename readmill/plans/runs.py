@@ -153,12 +153,16 @@ def evaluate(spark: SparkSession, eval_dir: str, truth_dir: str, experiments_dir
     """Judges the predictions in every folder of eval_dir; writes `metrics`, `benchmark_summary.tsv` and plot rows, and returns the summary.
 
     A folder with reports gets predictions from them first. A tool is judged on a dataset where its
-    genus and species files are both there, if they are empty too. Runtimes come from a folder's
+    genus and species files are both there, if they are empty too; datasets whose truth is missing at
+    a level are left out. Runtimes come from a folder's
     `runtimes.tsv`, else from its logs; those of preprocessing from the experiments' summary. Files
     of metrics are written for folders whose name holds `detailed`. Folders of one name can't be;
     a tool's name in two folders is told apart by them.
     """
-    names = [r.name for r in R.listing(spark, f"{truth_dir}/genus").collect() if not r.name.startswith(".") and r.name.endswith("_TRUTH.txt")]
+    truths = [{r.name for r in R.listing(spark, f"{truth_dir}/{level}").collect() if not r.name.startswith(".") and r.name.endswith("_TRUTH.txt")} for level in ("genus", "species")]
+    names = sorted(truths[0] & truths[1])
+    for name in sorted((truths[0] | truths[1]) - set(names)):
+        print(f"left out, as its truth is there at one level only: {name}")
     datasets = [d for d in datasets if f"{d}_TRUTH.txt" in names] if datasets else [n.removesuffix("_TRUTH.txt") for n in names]
     if not datasets:
         raise FileNotFoundError(f"no truth for the datasets in {truth_dir}")

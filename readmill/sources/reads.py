@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readmill.functions import sequences as S
@@ -65,6 +65,24 @@ def _uri():
     return F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/").alias("uri")
 
 
+_BLANK = r"[ \t\x0b\f\r]"  # ends a name; what follows is the comment
+
+
+def _head(line: str) -> tuple[str, str, str]:
+    """(name, blank, comment) of a record's first line behind its mark."""
+    line = line.rstrip("\r")
+    at = re.search(_BLANK, line)
+    return (line, "", "") if at is None else (line[: at.start()], at.group(), line[at.end() :])
+
+
+def _name(head: Column) -> Column:
+    return F.regexp_extract(head, f"^{_BLANK.replace('[', '[^', 1)}*", 0)
+
+
+def _comment(head: Column) -> Column:
+    return F.regexp_extract(head, f"(?s)^{_BLANK.replace('[', '[^', 1)}*{_BLANK}(.*)$", 1)
+
+
 def parse(lines: Iterator[str]) -> Iterator[tuple[str, str, str, str | None]]:
     """(name, comment, seq, qual) of FASTA and FASTQ records, mixed and over several lines; qual is null for FASTA.
 
@@ -76,7 +94,7 @@ def parse(lines: Iterator[str]) -> Iterator[tuple[str, str, str, str | None]]:
         if not line or line[0] not in ">@":
             line = next(lines, None)
             continue
-        name, _, comment = line[1:].partition(" ")
+        name, _, comment = _head(line[1:])
         seq = []
         while (line := next(lines, None)) is not None and line[:1] not in (">", "@", "+"):
             seq.append(line.strip())
@@ -152,7 +170,7 @@ def _four_lines(lines: DataFrame) -> DataFrame:
     r = r.where("head <> '' or seq <> ''")  # blank lines at the end
     good = F.col("head").startswith("@") & F.col("plus").startswith("+") & (F.length("seq") == F.length("qual"))
     head = F.when(F.coalesce(good, F.lit(False)), F.substring("head", 2, 1 << 30)).otherwise(F.raise_error(F.concat(F.lit("not a record of four lines: "), F.coalesce("head", F.lit("")))))
-    return r.withColumn("head", head).select("uri", "ord", F.substring_index("head", " ", 1).alias("name"), F.when(F.instr("head", " ") > 0, F.substring(F.col("head"), F.instr("head", " ") + 1, F.length("head"))).otherwise("").alias("comment"), "seq", "qual")
+    return r.withColumn("head", head).select("uri", "ord", _name(F.col("head")).alias("name"), _comment(F.col("head")).alias("comment"), "seq", "qual")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -163,8 +181,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def read_fasta_split(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, at, name, comment, seq) of large plain FASTA files, split within files; `at` orders records."""
     rows = spark.read.option("lineSep", "\n>").text(paths).select(F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("at"), F.regexp_replace("value", "^>", "").alias("r"))
-    head, body = F.substring_index("r", "\n", 1), F.regexp_replace("r", "^[^\n]*\n?", "")
-    return rows.select("path", "at", F.substring_index(head, " ", 1).alias("name"), F.regexp_extract(head, r"^\S+ (.*)$", 1).alias("comment"), F.regexp_replace(body, r"\s", "").alias("seq"))
+    head, body = F.regexp_replace(F.substring_index("r", "\n", 1), "\r+$", ""), F.regexp_replace("r", "^[^\n]*\n?", "")
+    return rows.select("path", "at", _name(head).alias("name"), _comment(head).alias("comment"), F.regexp_replace(body, r"\s", "").alias("seq"))
 
 
 def paired(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -35,6 +35,12 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Removes folders of any store that Spark reads; those that aren't there are passed over."""
+    for path in paths:
+        _drop(spark, path)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder; what is written there goes with `release`, or when the driver's Python ends."""
     path = f"{shared_dir(spark)}/readmill-{uuid.uuid4().hex}"
