@@ -156,8 +156,8 @@ _PART = 1 << 20  # bytes of a sketch's row in one row of the result
 TICK = 100_000  # reads between two lines of progress
 
 
-def _pass(reads: DataFrame, params: Params, kind: str, t: int, bits: int, hash_set: int, max_len: int, count_n: bool, first_min: bool, detail: bool, verdicts: bool, statistics: bool, dump: bool, progress: bool) -> DataFrame:
-    """One pass over all runs: rows of verdicts (kind 0), and a run's statistics (1) and sketch (2) behind its last read."""
+def _pass(reads: DataFrame, params: Params, kind: str, t: int, bits: int, hash_set: int, max_len: int, count_n: bool, first_min: bool, detail: bool, verdicts: bool, statistics: bool, dump: bool, progress: bool, catch: bool = False) -> DataFrame:
+    """One pass over all runs: rows of verdicts (kind 0), and a run's statistics (1) and sketch (2) behind its last read. catch: a run's error is the reason in its statistics, in place of figures."""
     own = [c for c in ("d", "k", "A", "B", "C", "N", "Q") if c in reads.columns]
     cols = [F.col(c).cast("string").alias(c) if c in reads.columns else F.lit(None).cast("string").alias(c) for c in ("seq", "qual", "seq2", "qual2")]
     rows = reads.select(F.col("run_id").cast("string").alias("run_id"), F.col("file_nr").cast("int").alias("file_nr"), F.col("ord").cast("long").alias("ord"), _nth(reads), *cols, *(F.col(c).cast("int").alias(c) for c in own))
@@ -168,7 +168,7 @@ def _pass(reads: DataFrame, params: Params, kind: str, t: int, bits: int, hash_s
     names = [x.split()[0] for x in _ROW.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run_id, f, n, began, out = None, None, 0, 0.0, []
+        run_id, f, n, began, out, error = None, None, 0, 0.0, [], None
 
         def batch() -> pa.RecordBatch:
             b = pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*out, strict=True) if out else [[]] * len(names), types, strict=True)], names)
@@ -176,9 +176,11 @@ def _pass(reads: DataFrame, params: Params, kind: str, t: int, bits: int, hash_s
             return b
 
         def done() -> Iterator[pa.RecordBatch]:
-            if f is None:
-                return
             none = (None,) * 7
+            if error is not None and statistics:
+                out.append((1, run_id, None, None, None, None, error, None, None, [0] * len(_STATS), [], None, None, None))
+            if f is None or error is not None:
+                return
             if statistics:
                 f.stats["millis"] = round(1000 * (time.monotonic() - began))
                 out.append((1, run_id, *none, [f.stats[x] for x in _STATS], f.counter.histogram().tolist(), None, None, None))
@@ -190,12 +192,21 @@ def _pass(reads: DataFrame, params: Params, kind: str, t: int, bits: int, hash_s
 
         for b in batches:
             for r in b.to_pylist():
-                if f is None or r["run_id"] != run_id:
-                    yield from done()
-                    run_id, n, began, p = r["run_id"], 0, time.monotonic(), params if not own else Params(**(params.__dict__ | {c: r[c] for c in own if r[c] is not None}))
-                    f = Filter(p, _counter(kind, t, bits, p.k, hash_set), max_len, count_n, first_min)
-                kept, why, c1, c2 = f.judge(r["seq"], r["qual"], r["seq2"], r["qual2"])
-                n += 1
+                try:
+                    if n == 0 or r["run_id"] != run_id:
+                        yield from done()
+                        run_id, n, began, f, error = r["run_id"], 0, time.monotonic(), None, None
+                        p = params if not own else Params(**(params.__dict__ | {c: r[c] for c in own if r[c] is not None}))
+                        f = Filter(p, _counter(kind, t, bits, p.k, hash_set), max_len, count_n, first_min)
+                    n += 1
+                    if error is not None:
+                        continue
+                    kept, why, c1, c2 = f.judge(r["seq"], r["qual"], r["seq2"], r["qual2"])
+                except Exception as e:
+                    if not catch:
+                        raise
+                    n, error = max(n, 1), f"{type(e).__name__}: {e}"
+                    continue
                 if progress and n % TICK == 0:
                     print(f"run {run_id}: {n} reads processed", file=sys.stderr, flush=True)
                 if verdicts:
@@ -212,13 +223,14 @@ def _verdicts(found: DataFrame, reads: DataFrame) -> DataFrame:
     return v if "nth" in reads.columns else v.drop("nth")
 
 
-def _statistics(found: DataFrame, t: int) -> DataFrame:
-    s = found.where("kind = 1").select("run_id", *(F.col("stats")[i].alias(n) for i, n in enumerate(_STATS)), "histogram", F.aggregate("histogram", F.lit(0).cast("long"), lambda a, x: a + x).alias("total_cells"))
+def _statistics(found: DataFrame, t: int, catch: bool = False) -> DataFrame:
+    s = found.where("kind = 1").select("run_id", F.col("reason").alias("error"), *(F.col("stats")[i].alias(n) for i, n in enumerate(_STATS)), "histogram", F.aggregate("histogram", F.lit(0).cast("long"), lambda a, x: a + x).alias("total_cells"))
     occupied = F.aggregate(F.slice("histogram", 2, 254), F.lit(0).cast("long"), lambda a, x: a + x)
     total = F.aggregate(F.transform(F.slice("histogram", 2, 254), lambda x, i: x * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
     base = S.safe_ratio(occupied, F.col("total_cells"))
     kept, seen = F.col("unpaired_out") + F.col("paired_out"), F.col("unpaired_in") + F.col("paired_in")
-    return s.select("*", occupied.alias("n_occupied"), total.alias("counter_sum"), base.alias("base"), F.pow(base, t).alias("fp"), kept_percent(kept, seen).alias("reads_kept_pct"))
+    s = s.select("*", occupied.alias("n_occupied"), total.alias("counter_sum"), base.alias("base"), F.pow(base, t).alias("fp"), kept_percent(kept, seen).alias("reads_kept_pct"))
+    return s if catch else s.drop("error")
 
 
 def normalize(reads: DataFrame, params: Params, kind: str = "sketch", t: int = 10, bits: int = 20, hash_set: int = 1, max_len: int = S.MAX_LEN, count_n: bool = False, first_min: bool = False, detail: bool = False) -> DataFrame:
@@ -237,13 +249,15 @@ def run_statistics(reads: DataFrame, params: Params, kind: str = "sketch", t: in
     return _statistics(_pass(reads, params, kind, t, bits, hash_set, max_len, count_n, first_min, False, False, True, False, False), t)
 
 
-def normalize_all(reads: DataFrame, params: Params, kind: str = "sketch", t: int = 10, bits: int = 20, hash_set: int = 1, max_len: int = S.MAX_LEN, count_n: bool = False, first_min: bool = False, detail: bool = False, dump: bool = False, progress: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def normalize_all(reads: DataFrame, params: Params, kind: str = "sketch", t: int = 10, bits: int = 20, hash_set: int = 1, max_len: int = S.MAX_LEN, count_n: bool = False, first_min: bool = False, detail: bool = False, dump: bool = False, progress: bool = False, catch: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(verdicts, statistics, sketch) of one pass, which is written once; sketch (run_id, row, part, cells) is empty unless `dump`.
 
-    progress: a line for each TICK reads in the executors' logs.
+    progress: a line for each TICK reads in the executors' logs. catch: a run in which something
+    fails (its parameters, a read) has what failed as `error` in its statistics, and figures of 0;
+    other runs go on. Its verdicts up to there are worthless.
     """
-    found = materialized(_pass(reads, params, kind, t, bits, hash_set, max_len, count_n, first_min, detail, True, True, dump, progress))
-    return _verdicts(found, reads), _statistics(found, t), found.where("kind = 2").select("run_id", "row", "part", "cells")
+    found = materialized(_pass(reads, params, kind, t, bits, hash_set, max_len, count_n, first_min, detail, True, True, dump, progress, catch))
+    return _verdicts(found, reads), _statistics(found, t, catch), found.where("kind = 2").select("run_id", "row", "part", "cells")
 
 
 def pass_through(reads: DataFrame) -> DataFrame:

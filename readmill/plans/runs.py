@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import time
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from readmill.storage import materialized
 
 from . import sweep as P
 
+_FAILED = (PySparkException, Py4JJavaError)  # of a job; some errors of a task come as the latter
+
 # Words in the names of result files that hold no tool's predictions, and endings of truth files
 NOT_TOOLS = r"average|max|median|priority"
 NOT_PREDICTIONS = r"_(TRUTH|COMMUNITY)\.txt$"
@@ -42,7 +46,9 @@ def experiments(spark: SparkSession, folder: str, experiment_dir: str, only: str
 
     Results replace those of the same dataset and set in `summary.tsv`; skip_done leaves out those
     that are there. `logs` gets a file for each run, and kept reads go beside the input (or into
-    `out`) as `<file>.<set>.gz`, those of second mates under their own file's name.
+    `out`) as `<file>.<set>.gz`, those of second mates under their own file's name. A run that fails,
+    by a file that can't be read or by its parameters, has exit code 1 and what failed in its log;
+    the others go on, and what the summary knew of it stays.
     """
     summary = f"{experiment_dir}/summary.tsv"
     old = materialized(tables.read_sweep(spark, summary)) if sinks.exists(spark, summary) else None
@@ -54,16 +60,31 @@ def experiments(spark: SparkSession, folder: str, experiment_dir: str, only: str
         chosen = runs.select("path", "mate").distinct().orderBy("path").collect()  # names of files only
         if not chosen:
             continue
-        reads = R.clipped(read_runs(spark, chosen)).join(F.broadcast(runs.drop("mate")), "path")  # a row for each file and set
-        reads = reads.withColumn("run_id", F.concat_ws("\x1f", "path", "param_set"))
-        v, stats, _ = normalize_all(reads.drop("path", "dataset", "param_set"), Params(d=3), **options)
-        part = F.split("run_id", "\x1f")
-        done = stats.withColumns({"path": part[0], "param_set": part[1], "seconds": F.col("millis") / 1000})
-        done = materialized(done.join(runs.select("path", "param_set", "mate", "dataset", "k", "N"), ["path", "param_set"]))
-        _logs(done, f"{experiment_dir}/logs")
+        broken: dict[str, str] = {}
+        try:
+            found = _normalized(spark, chosen, runs, options)
+        except _FAILED:
+            broken = _unreadable(spark, chosen)
+            if not broken:
+                raise
+            chosen = [r for r in chosen if r.path not in broken]
+            found = _normalized(spark, chosen, runs, options) if chosen else None
+        if broken:
+            errors = spark.createDataFrame(sorted(broken.items()), "path string, error string")
+            failed = materialized(runs.select("path", "param_set", "mate", "dataset", "k").join(F.broadcast(errors), "path"))
+            _failures(failed, f"{experiment_dir}/logs")
+            none = failed.select("dataset", "param_set", *(F.lit(0).cast(t).alias(c) for c, t in (("reads_processed", "long"), ("reads_accepted", "long"), ("reads_kept_pct", "double"), ("fp", "double"), ("runtime_s", "double"))), F.lit(1).alias("exit_code"))
+            results = none if results is None else results.unionByName(none)
+        if found is None:
+            continue
+        reads, v, done = found
+        fine = done.where("error is null")
+        _logs(fine, f"{experiment_dir}/logs")
+        _failures(done.where("error is not null"), f"{experiment_dir}/logs")
         if write:
-            _kept(reads.join(v.select("run_id", "file_nr", "ord", "kept"), ["run_id", "file_nr", "ord"]).where("kept"), done, folder, out or folder)
-        one = done.select("dataset", "param_set", *P.counts_of_run(), F.col("seconds").alias("runtime_s"), F.lit(0).alias("exit_code"))
+            _kept(reads.join(v.select("run_id", "file_nr", "ord", "kept"), ["run_id", "file_nr", "ord"]).where("kept").join(F.broadcast(fine.select("run_id")), "run_id"), fine, folder, out or folder)
+        code = F.when(F.col("error").isNull(), 0).otherwise(1)
+        one = done.select("dataset", "param_set", *P.counts_of_run(), F.col("seconds").alias("runtime_s"), code.alias("exit_code"))
         results = one if results is None else results.unionByName(one)
     if results is None:
         return spark.createDataFrame([], "dataset string, param_set string, reads_processed long, reads_accepted long, reads_kept_pct double, fp double, runtime_s double, exit_code int")
@@ -73,6 +94,36 @@ def experiments(spark: SparkSession, folder: str, experiment_dir: str, only: str
     return results
 
 
+def _normalized(spark: SparkSession, chosen: list, runs: DataFrame, options: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(reads, verdicts, a row of figures or an error for each run) of the chosen files under their parameter sets."""
+    reads = R.clipped(read_runs(spark, chosen)).join(F.broadcast(runs.drop("mate")), "path")  # a row for each file and set
+    reads = reads.withColumn("run_id", F.concat_ws("\x1f", "path", "param_set"))
+    v, stats, _ = normalize_all(reads.drop("path", "dataset", "param_set"), Params(d=3), catch=True, **options)
+    part = F.split("run_id", "\x1f")
+    done = stats.withColumns({"path": part[0], "param_set": part[1], "seconds": F.col("millis") / 1000})
+    return reads, v, materialized(done.join(runs.select("path", "param_set", "mate", "dataset", "k", "N"), ["path", "param_set"]))
+
+
+def _unreadable(spark: SparkSession, chosen: list) -> dict[str, str]:
+    """What is wrong with each of the files (or its mate) that can't be read to the end, a job for each; asked only after a failure."""
+    found = {}
+    for r in chosen:
+        try:
+            spark.read.text([x for x in (r.path, r.mate) if x]).agg(F.sum(F.length("value"))).collect()
+        except _FAILED as e:
+            lines = [x for x in str(e).split("\n") if x.strip()]
+            found[r.path] = next((x.strip() for x in reversed(lines) if "Caused by" in x), lines[0])
+    return found
+
+
+def _failures(failed: DataFrame, folder: str) -> None:
+    """A log with what failed for each run."""
+    name = F.concat(F.lit(f"{folder}/"), F.regexp_replace("path", "^.*/", ""), F.lit("_"), "param_set", F.lit("_log.txt"))
+    text = F.concat(F.lit("Input: "), "path", F.lit("\nParameter set: "), "param_set", F.lit("\nReturn code: 1\n\n"), "error", F.lit("\n"))
+    rows = failed.select(name.alias("path"), text.alias("value"))
+    sinks.write_files(rows, folder, sorted(r.path for r in rows.select("path").distinct().collect()))  # names only
+
+
 def _logs(done: DataFrame, folder: str) -> None:
     """A log for each run: its parameters, its statistics and how long it took."""
     name = F.concat(F.lit(f"{folder}/"), F.regexp_replace("path", "^.*/", ""), F.lit("_"), "param_set", F.lit("_log.txt"))
@@ -122,7 +173,7 @@ def classification(spark: SparkSession, folder: str, truth_dir: str, references:
         began = time.monotonic()
         reads = R.clipped(read_runs(spark, [r]), 1 << 30).withColumn("read_id", F.struct("file_nr", "ord"))
         calls = materialized(C.classify(reads, table, taxonomy, k, quick_hits=1 if quick else 0, up=up))
-        sinks.write_file(C.report_lines(C.report(calls, C.taxon_kmers(reads, calls, table, k), taxonomy, up)), report)
+        sinks.write_file(C.report_lines(C.report(calls, C.clade_kmers(reads, calls, table, k, up), taxonomy, up)), report)
         runtimes[r.dataset] = time.monotonic() - began
         sinks.write_tsv(sinks.runtime_rows(spark.createDataFrame(sorted(runtimes.items()), "dataset string, runtime_s double")), runtime_file, order=["dataset"])
     return target

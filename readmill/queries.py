@@ -447,7 +447,7 @@ def parameter_sweep(spark: SparkSession, d: str) -> DataFrame:
     return P.sweep(r.drop("run_id"), P.parameter_sets(spark), t=4, bits=16).withColumn("reads_kept_pct", F.round("reads_kept_pct", 6))
 
 
-CLASSIFY_SQL = f"""WITH {_LETTERS_SQL}, items AS (SELECT CAST(item_id % 25 + 100 AS BIGINT) AS taxid, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{_LETTERS}', '{_BASES}') AS seq FROM benchmark),
+_CALLS_SQL = f"""WITH {_LETTERS_SQL}, items AS (SELECT CAST(item_id % 25 + 100 AS BIGINT) AS taxid, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{_LETTERS}', '{_BASES}') AS seq FROM benchmark),
 {_kmers_sql(31, "letters", "read_id", "rk")}, {_kmers_sql(31, "items", "taxid", "ik")},
 refs AS (SELECT DISTINCT canon, taxid, n_regionkey + 10 AS region FROM ik JOIN nation ON n_nationkey + 100 = taxid WHERE NOT has_n),
 tab AS (SELECT canon, CASE WHEN count(DISTINCT taxid) = 1 THEN min(taxid) WHEN count(DISTINCT region) = 1 THEN min(region) ELSE 1 END AS taxid FROM refs GROUP BY canon),
@@ -456,7 +456,8 @@ up AS (SELECT n_nationkey + 100 AS taxid, unnest([n_nationkey + 100, n_regionkey
 sc AS (SELECT h.read_id, h.taxid, sum(a.hits) AS score FROM h JOIN up USING (taxid) JOIN h a ON a.read_id = h.read_id AND a.taxid = up.anc GROUP BY 1, 2),
 best AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY read_id) AS m FROM sc) WHERE score = m),
 c AS (SELECT read_id, anc, count(*) AS c, max(m) AS m FROM best JOIN up USING (taxid) GROUP BY 1, 2), n AS (SELECT read_id, count(*) AS n FROM best GROUP BY 1),
-calls AS (SELECT read_id, max(anc) AS taxid, max(m) AS hits FROM c JOIN n USING (read_id) WHERE c = n GROUP BY read_id)
+calls AS (SELECT read_id, max(anc) AS taxid, max(m) AS hits FROM c JOIN n USING (read_id) WHERE c = n GROUP BY read_id)"""
+CLASSIFY_SQL = f"""{_CALLS_SQL}
 SELECT letters.read_id, CAST(coalesce(taxid, 0) AS BIGINT) AS taxid, CAST(coalesce(hits, 0) AS BIGINT) AS hits FROM letters LEFT JOIN calls USING (read_id)"""
 
 
@@ -483,6 +484,17 @@ def classify_by_index(spark: SparkSession, d: str) -> DataFrame:
     return C.classify_by_index(letters(spark, d), index, tree, up=up)
 
 
+@_query(f"""{_CALLS_SQL}, known AS (SELECT canon, tab.taxid FROM rk JOIN tab USING (canon) JOIN calls ON calls.read_id = rk.read_id WHERE NOT has_n), genome AS (SELECT anc, count(*) AS g FROM tab JOIN up USING (taxid) GROUP BY anc)
+SELECT CAST(anc AS BIGINT) AS taxid, count(DISTINCT canon) AS kmers, round(count(*) / count(DISTINCT canon), 6) AS dup, round(count(DISTINCT canon) / g, 6) AS cov FROM known JOIN up USING (taxid) JOIN genome USING (anc) GROUP BY anc, g""")
+def clade_kmers(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct k-mers of classified reads by clade, counted exactly."""
+    items, tree = _references(spark, d)
+    up, whole = C.closure(tree), materialized(letters(spark, d))
+    table = materialized(C.kmer_taxa(items, tree, 31, up))
+    found = C.clade_kmers(whole, materialized(C.classify(whole, table, tree, 31, up=up)), table, 31, up, exact=True)
+    return found.select("taxid", "kmers", F.round("dup", 6).alias("dup"), F.round("cov", 6).alias("cov"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_found)
 

@@ -1,5 +1,7 @@
 """Classification, trees, upserts and streaming on small inputs."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from readmill import cli
@@ -9,6 +11,7 @@ from readmill.operators.normalize import run_statistics
 from readmill.operators.relational import first_by_prefix, first_mates, upsert
 from readmill.functions import sequences as S
 from readmill.plans import sweep as P
+from readmill.storage import materialized
 from readmill.sources.sinks import histogram_rows, statistics_text
 from readmill.sources.tables import statistics_columns
 from readmill.streaming import normalize_stream as N
@@ -103,3 +106,28 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "r.fa").write_text(">a\nACGTACGTAC\n>b\nACGTACGTAC\n>c\nTTTTGGGGCC\n")
     cli.main(["normalize", "-u", str(tmp_path / "r.fa"), "-k", "5", "-d", "1", "-C", "0", "-t", "3", "-m", "1", "--out", str(tmp_path / "o"), "-r"])
     assert {r.value for r in spark.read.text(str(tmp_path / "o_keep")).collect()} == {">a", "ACGTACGTAC", ">c", "TTTTGGGGCC"}
+
+
+def test_clade_kmers_within_their_error(spark):
+    rng = random.Random(3)
+    draw = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    core = draw(3000)
+    refs = spark.createDataFrame([(11, core + draw(4000)), (12, core + draw(2000)), (21, draw(5000))], "taxid long, seq string")
+    tree = spark.createDataFrame([(1, None), (10, 1), (11, 10), (12, 10), (20, 1), (21, 20), (22, 20)], "taxid long, parent long")
+    up = C.closure(tree)
+    table = materialized(C.kmer_taxa(refs, tree, 15, up))
+    genomes = {r.taxid: r.seq for r in refs.collect()}
+    reads = [(i, genomes[t := rng.choice([11, 12, 21])][(a := rng.randrange(len(genomes[t]) - 200)) : a + 200]) for i in range(150)] + [(900, draw(300)), (901, None)]
+    df = spark.createDataFrame(reads, "read_id long, seq string")
+    calls = C.classify(df, table, tree, 15, up=up)
+    exact = {r.taxid: r for r in C.clade_kmers(df, calls, table, 15, up, exact=True).collect()}
+    near = {r.taxid: r for r in C.clade_kmers(df, calls, table, 15, up).collect()}
+    assert set(exact) == set(near) == {1, 10, 11, 12, 20, 21}
+    for t, r in exact.items():
+        assert abs(near[t].kmers / r.kmers - 1) < 0.03 and abs(near[t].dup / r.dup - 1) < 0.03 and abs(near[t].cov - r.cov) < 0.03
+    of = lambda s: {max(w, w[::-1].translate(str.maketrans("ACGT", "TGCA"))) for p in range(len(s) - 14) for w in [s[p : p + 15]]}
+    called = {r.read_id for r in calls.where("taxid > 0").collect()}
+    seen = set().union(*(of(s) for i, s in reads if i in called))
+    assert exact[1].kmers == len(seen & set().union(*map(of, genomes.values()))) and exact[20].cov == len(seen & of(genomes[21])) / len(of(genomes[21]))
+    lines = [r.value.split("\t") for r in C.report_lines(C.report(calls, C.clade_kmers(df, calls, table, 15, up), tree.selectExpr("*", "'x' as rank", "'y' as name"), up)).collect()]
+    assert {x[6]: x[5] for x in lines[1:]}["0"] == "NA" and all(0 < float(x[5]) <= 1 for x in lines[2:])

@@ -16,6 +16,7 @@ from readmill.operators import kmers as K
 from readmill.operators.decide import Params
 from readmill.operators.normalize import normalize, normalize_all, normalize_batch, pass_through
 from readmill.plans import runs
+from readmill.plans import sweep as P
 from readmill.sources import reads as R
 from readmill.sources import sinks, tables
 from readmill.streaming import normalize_stream as N
@@ -71,6 +72,33 @@ def test_sweep_reads_pairs_and_resumes(spark, tmp_path):
     assert {r.dataset: r.reads_processed for r in tables.read_sweep(spark, str(out / "summary.tsv")).collect()} == {"x": 24, "y": 1, "z": 5}
 
 
+def test_a_failing_run_fails_alone(spark, tmp_path, monkeypatch):
+    data, out = tmp_path / "in", tmp_path / "out"
+    data.mkdir()
+    fastq(data / "x.fastq.gz", [(f"r{i}", SEQS[0] * 4) for i in range(24)], gzip.open)
+    fastq(data / "y.fastq.gz", [(f"r{i}", (SEQS[1] * 4)[i:]) for i in range(40)], gzip.open)
+    (data / "y.fastq.gz").write_bytes((data / "y.fastq.gz").read_bytes()[:-30])
+    (data / "z.fa").write_text(">r\n" + "".join(SEQS) + "\n")
+    out.mkdir()
+    (out / "summary.tsv").write_text("dataset\tparam_set\treads_processed\treads_accepted\treads_kept_pct\tfp\truntime_s\ny\tdefault\t5\t4\t80.00\t0.001\t9\n")
+    got = runs.experiments(spark, str(data), str(out), baseline_only=True, t=2, bits=14)
+    assert {(r.dataset, r.reads_processed, r.exit_code) for r in got.collect()} == {("x", 24, 0), ("y", 0, 1), ("z", 1, 0)}
+    assert P.outcome(got).first()[:] == (2, 1, 3)
+    assert {r.dataset: r.reads_processed for r in tables.read_sweep(spark, str(out / "summary.tsv")).collect()} == {"x": 24, "y": 5, "z": 1}
+    assert "Return code: 1" in (out / "logs" / "y.fastq.gz_default_log.txt").read_text() and "Return code: 0" in (out / "logs" / "x.fastq.gz_default_log.txt").read_text()
+    assert (data / "x.fastq.gz.default.gz").exists() and not (data / "y.fastq.gz.default.gz").exists()
+
+
+def test_a_run_with_impossible_parameters_fails_alone(spark):
+    reads = spark.createDataFrame([(r, 0, i, SEQS[i % 3], k) for r, k in (("a", 7), ("b", 99), ("c", 9)) for i in range(6)], "run_id string, file_nr int, ord long, seq string, k int").coalesce(1)
+    v, s, _ = normalize_all(reads, Params(d=1, k=7, C=0, N=-1), t=2, bits=12, catch=True)
+    by = {r.run_id: r for r in s.collect()}
+    assert by["a"].error is None and by["c"].error is None and by["a"].unpaired_in == by["c"].unpaired_in == 6 and "ValueError" in by["b"].error and by["b"].unpaired_in == 0
+    assert {r.run_id for r in v.where("kept").collect()} == {"a", "c"}
+    with pytest.raises(Exception, match="k is 3 to 32"):
+        normalize_all(reads, Params(d=1, k=7, C=0, N=-1), t=2, bits=12)
+
+
 TAXA = [(1, None, "no rank", "root"), (10, 1, "genus", "Alpha"), (11, 10, "species", "Alpha one"), (12, 10, "species", "Alpha two"), (20, 1, "genus", "Beta"), (21, 20, "species", "Beta one")]
 
 
@@ -96,7 +124,7 @@ def test_classify_then_evaluate(spark, tmp_path):
     assert (ev / "mill" / "one_REPORT.tsv").stat().st_mtime_ns == before  # done before
     rows = {r.taxid: r for r in tables.read_reports(spark, str(ev / "mill" / "one_REPORT.tsv")).collect()}
     assert {t: (r.reads, r.tax_reads) for t, r in rows.items()} == {0: (1, 1), 1: (2, 0), 10: (2, 0), 11: (1, 1), 12: (1, 1)}
-    assert rows[11].depth == 2 and rows[11].kmers in (13, 14) and rows[11].cov is None and abs(rows[1].percent - 66.67) < 0.01
+    assert rows[11].depth == 2 and rows[11].kmers in (13, 14) and rows[11].cov > 0.8 and rows[10].kmers >= rows[11].kmers + rows[12].kmers > 20 and rows[0].cov is None and abs(rows[1].percent - 66.67) < 0.01
     text = (ev / "mill" / "one_REPORT.tsv").read_text().split("\n")
     assert [x.split("\t")[6] for x in text if x] == ["taxID", "0", "1", "10", "11", "12"]  # pre-order
     assert {r.dataset for r in tables.read_runtimes(spark, str(ev / "mill" / "runtimes.tsv")).collect()} == {"one", "two"}
