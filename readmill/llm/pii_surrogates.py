@@ -48,6 +48,7 @@ _NUMBERS = "(?=[+(0-9])"  # checked first, as most places fail it
 PLAIN = f"(?:{PATTERNS['email']})|(?:{PATTERNS['iban']})|{_NUMBERS}(?:" + "|".join(f"(?:{PATTERNS[k]})" for k in ("ip", "card", "ssn", "phone")) + ")"
 NAMED = rf"{PLAIN}|(?=\p{{Lu}})(?:(?:{PATTERNS['given']})|(?:{PATTERNS['family']}))"
 _TITLED = rf"(?<!\w){_TITLE}\.? \p{{Lu}}"
+_SHORT = 3  # attempts after the first before a format counts as too short
 _DIGITS = ("iban", "card", "ssn", "phone")
 
 
@@ -122,8 +123,6 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column
     digits = F.concat(F.left(entity, F.lit(1)), _redrawn(F.substring(entity, F.lit(2), F.length(entity)), seed))
     fixed = F.concat(F.left(digits, F.length(digits) - 1), F.lit("0"))
     card = F.when(_luhn(entity) % 10 == 0, F.concat(F.left(digits, F.length(digits) - 1), F.pmod(-_luhn(fixed), F.lit(10)).cast("string"))).otherwise(digits)
-    email = F.concat(_redrawn(F.regexp_extract(entity, r"^(.*)\.[a-z]+$", 1), seed), F.lit("."), F.regexp_extract(entity, r"\.([a-z]+)$", 1))
-    ip = F.concat_ws(".", *((_byte(seed, F.lit(i)) % 254 + 1).cast("string") for i in range(4)))
     country, account = F.left(entity, F.lit(2)), _redrawn(F.substring(entity, F.lit(5), F.length(entity)), seed)
     holds = _mod97(F.concat(F.substring(entity, F.lit(5), F.length(entity)), F.left(entity, F.lit(4)))) == 1
     sum_ = F.lpad((98 - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
@@ -131,21 +130,35 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column
     russian = entity.rlike(r"\p{IsCyrillic}")
     n = _byte(seed, F.lit(0))
     named = lambda a, b: F.when(russian, _pick(b, n)).otherwise(_pick(a, n))
-    made = lambda i: F.when(russian, _pick(_SYLLABLES_RU, _byte(seed, F.lit(i)))).otherwise(_pick(_SYLLABLES, _byte(seed, F.lit(i))))
-    more = F.when(attempt == 0, F.lit("")).otherwise(F.concat(F.lit("-"), F.initcap(F.concat(*(made(i) for i in range(9, 13))))))
+    made = lambda i: F.when(russian, _pick(_SYLLABLES_RU, _byte(seed, i))).otherwise(_pick(_SYLLABLES, _byte(seed, i)))
+    # a format whose values run short gets one more place with every further attempt
+    longer = F.greatest(attempt - _SHORT, F.lit(0))
+    places = F.when(longer > 0, F.sequence(F.lit(100), longer + 99)).otherwise(F.array().cast("array<int>"))
+    grown = lambda each: F.array_join(F.transform(places, each), "")
+    digit = grown(lambda i: (_byte(seed, i) % 10).cast("string"))
+    email = _redrawn(F.regexp_extract(entity, r"^(.*)\.[a-z]+$", 1), seed)
+    email = F.concat(F.substring_index(email, "@", 1), grown(lambda i: _pick(list("abcdefghijklmnopqrstuvwxyz"), _byte(seed, i))), F.lit("@"), F.substring_index(email, "@", -1), F.lit("."), F.regexp_extract(entity, r"\.([a-z]+)$", 1))
+    ip = F.concat_ws(".", *((_byte(seed, F.lit(i)) % 254 + 1).cast("string") for i in range(4)))
+    ip = F.when(longer == 0, ip).otherwise(F.concat(F.lit("2001:db8"), *(x for i in range(4, 10) for x in (F.lit(":"), F.lower(F.hex(_byte(seed, F.lit(i)) % 65536))))))  # the documentation range, where IPv4 runs short
+    more = F.when(attempt == 0, F.lit("")).otherwise(F.concat(F.lit("-"), F.initcap(F.concat(*(made(F.lit(i)) for i in range(9, 13)), grown(made)))))
     is_one = lambda *names: (kind == "given_u") & entity.isin(*(n.lower() for x in names for n in x))  # noqa: E731  a neutral title, but a name of one gender
     given = F.when((kind == "given_m") | is_one(_MALE, _MALE_RU), named(_MALE, _MALE_RU)).when((kind == "given_f") | is_one(_FEMALE, _FEMALE_RU), named(_FEMALE, _FEMALE_RU)).otherwise(named(_MALE + _FEMALE, _MALE_RU + _FEMALE_RU))
-    family = F.initcap(F.concat(*(made(i) for i in range(1, 6))))
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "iban", iban).when(kind.isin("ssn", "phone"), _redrawn(entity, seed)).when(kind == "family", family).otherwise(F.concat(given, more))
+    family = F.initcap(F.concat(*(made(F.lit(i)) for i in range(1, 6)), grown(made)))
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "iban", iban).when(kind.isin("ssn", "phone"), F.concat(_redrawn(entity, seed), digit)).when(kind == "family", family).otherwise(F.concat(given, more))
 
 
-def surrogates(entities: DataFrame, key: str, rounds: int = 40) -> DataFrame:
-    """(kind, entity, surrogate) for distinct (kind, entity): one to one, and apart from all entities; names of all kinds count as one."""
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
+    """(kind, entity, surrogate) for distinct (kind, entity): one to one, and apart from all entities; names of all kinds count as one.
+
+    Only those that collide draw again. From the fifth attempt on a surrogate is longer by a place with
+    each attempt, so that a format with fewer values than entities has enough: an address in its local
+    part, a number by further digits, a name by syllables; an IPv4 address becomes one of IPv6.
+    """
     group = F.when(F.col("kind").startswith("given") | (F.col("kind") == "family"), F.lit("name")).otherwise(F.col("kind"))
     entities = written(entities.withColumn("of", group))
     drawn = entities.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(F.col("kind"), F.col("entity"), F.lit(0), key))
     real = entities.select("of", F.col("entity").alias("_s")).distinct()
-    for _ in range(rounds):
+    while True:
         drawn = drawn.withColumn("_s", F.lower("surrogate"))
         first = Window.partitionBy("of", "_s").orderBy("entity", "kind")
         drawn = written(drawn.withColumn("again", F.row_number().over(first) > 1).join(real.withColumn("taken", F.lit(True)), ["of", "_s"], "left").withColumn("again", F.col("again") | F.coalesce("taken", F.lit(False))).drop("_s", "taken"))
@@ -153,13 +166,14 @@ def surrogates(entities: DataFrame, key: str, rounds: int = 40) -> DataFrame:
             return drawn.select("kind", "entity", "surrogate")
         drawn = drawn.withColumn("attempt", F.col("attempt") + F.col("again").cast("int"))
         drawn = drawn.withColumn("surrogate", F.when(F.col("again"), surrogate(F.col("kind"), F.col("entity"), F.col("attempt"), key)).otherwise(F.col("surrogate"))).drop("again")
-    raise ValueError("some format has fewer possible values than entities; no distinct surrogates are left")
 
 
 def _in_format(kind: Column, mention: Column, new: Column) -> Column:
     """The surrogate written as the mention is."""
     place = lambda i: F.length(F.regexp_replace(F.substring(mention, F.lit(1), i + 1), "[^0-9]", ""))
     digits = F.array_join(F.transform(F.split(mention, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(new, place(i), F.lit(1))).otherwise(c)), "")
+    further = F.substring(new, F.length(F.regexp_replace(mention, "[^0-9]", "")) + 1, F.length(new))
+    digits = F.concat(digits, F.coalesce(further, F.lit("")))
     spaced = F.array_join(F.transform(F.split(mention, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substring(new, F.length(F.regexp_replace(F.substring(mention, F.lit(1), i + 1), " ", "")), F.lit(1)))), "")
     shouted = (F.upper(mention) == mention) & (F.lower(mention) != mention)
     return F.when(kind == "iban", spaced).when(kind.isin(*_DIGITS), digits).when(shouted, F.upper(new)).otherwise(new)

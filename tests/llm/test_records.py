@@ -161,8 +161,8 @@ def test_surrogates_are_one_to_one(spark):
     assert len({(r.kind, r.surrogate.lower()) for r in s}) == len(s) == 760
     assert not {(r.kind, r.surrogate) for r in s} & {(r.kind, r.entity) for r in s}
     full = spark.range(10).select(F.lit("phone").alias("kind"), F.col("id").cast("string").alias("entity"))
-    with pytest.raises(ValueError):
-        S.surrogates(full, "k", rounds=3)
+    grown = [r.surrogate for r in S.surrogates(full, "k").collect()]  # all values of the format are taken: none is too few
+    assert len(set(grown)) == 10 and not set(grown) & set("0123456789")
 
 
 def test_secrets(spark):
@@ -341,3 +341,18 @@ def test_parts_of_long_runs(spark):
     began = time.monotonic()
     n = X.scan(spark.createDataFrame([(1, f"data: {data} .")], "doc_id long, text string"), forest).count()
     assert n == 1 + sum(len(p) >= 20 for p in data.rstrip("=").split("/")) and time.monotonic() - began < 20
+
+
+def test_formats_with_few_values_grow(spark):
+    """All 676 addresses of one letter at one letter, and numbers, one to one and apart from all real ones."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mails = [f"{a}@{b}.de" for a in letters for b in letters]
+    docs = [(i, f"write to {m} or call (11) 222-{i:04d} now") for i, m in enumerate(mails)]
+    got = S.pseudonymised(spark.createDataFrame(docs, "doc_id long, text string"), "k").collect()
+    new = [re.fullmatch(r"write to ([a-z]+@[a-z]\.de) or call (\(\d\d\) \d{3}-\d{4}\d*) now", r.text).groups() for r in got]
+    assert len({a for a, _ in new}) == len(mails) and not {a for a, _ in new} & set(mails) and len({b for _, b in new}) == len(mails)
+    few = spark.createDataFrame([("phone", f"{i:02d}") for i in range(100)] + [("ip", f"1.2.3.{i}") for i in range(9)], "kind string, entity string")
+    put = {(r.kind, r.surrogate) for r in S.surrogates(few, "k").collect()}
+    assert len(put) == 109 and not put & {(r.kind, r.entity) for r in few.collect()}
+    shown = few.limit(1).select(S._in_format(F.lit("phone"), F.lit("+49 (30) 12"), F.lit("12345678")).alias("x"), S._in_format(F.lit("phone"), F.lit("12 34"), F.lit("5678")).alias("y")).first()
+    assert shown[:] == ("+12 (34) 5678", "56 78")
