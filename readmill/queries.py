@@ -19,6 +19,7 @@ from readmill.operators import minimizers as Z
 from readmill.operators import reads as R
 from readmill.operators.decide import Params, keep
 from readmill.operators.normalize import normalize, normalize_batch, run_statistics
+from readmill.operators.parallel_filter import normalize_parallel
 from readmill.operators.relational import first_by_prefix, last_wins, not_done, upsert
 from readmill.plans import sweep as P
 from readmill.sources.tables import statistics_columns
@@ -390,6 +391,12 @@ def greedy_normalize(spark: SparkSession, d: str) -> DataFrame:
     return normalize(_runs(spark, d), Params(d=3, k=21, A=3, B=200, C=2, N=10), t=4, bits=18).select("run_id", "ord", "nth", "kept", "reason")
 
 
+@_query()
+def parallel_normalize(spark: SparkSession, d: str) -> DataFrame:
+    """The same reads by exact counts, in parallel rounds; its verdicts are those of `normalize(kind="exact")`."""
+    return normalize_parallel(_runs(spark, d), Params(d=3, k=21, A=3, B=200, C=2, N=10))
+
+
 @_query()
 def normalize_statistics(spark: SparkSession, d: str) -> DataFrame:
     return run_statistics(_runs(spark, d), Params(d=3, k=21, A=3, B=200, C=2, N=10), t=4, bits=18).drop("histogram", "millis")

@@ -3,6 +3,8 @@
 import pytest
 
 from readmill import queries as Q
+from readmill.operators.decide import Params
+from readmill.operators.normalize import normalize
 
 
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
@@ -42,3 +44,9 @@ def test_a_kmer_behind_300_letters_classifies(spark, tmp_path):
     spark.createDataFrame([(1, word)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(7, "z" * 400 + word)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [(r.read_id, r.taxid) for r in Q.queries()["classify_reads"](spark, str(tmp_path)).collect()] == [(7, 101)]
+
+
+def test_parallel_rounds_on_the_table(spark, sf):
+    key = lambda x: sorted((r.run_id, r.ord, r.nth, r.kept, r.reason or "") for r in x.collect())
+    want = normalize(Q._runs(spark, sf), Params(d=3, k=21, A=3, B=200, C=2, N=10), kind="exact")
+    assert key(Q.queries()["parallel_normalize"](spark, sf)) == key(want)
