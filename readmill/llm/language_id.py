@@ -10,7 +10,6 @@ the language whose prototype has the largest cosine with it.
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +19,19 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, only, table, text_or_empty, tidy
 
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())  # such as ½ and Ⅷ
-_OTHERS = re.compile(rf"[\W\d_{_NUMERALS}]+")
+_OTHERS = re.compile(r"[\W\d_]+")
 _PIECE = 1 << 18  # n-grams of a text that are held at once
 UNDETERMINED = "und"
 
 
+def words_of(text: str) -> str:
+    """A text's letters in lower case, all else as single spaces."""
+    words = _OTHERS.sub(" ", text.lower())
+    if words.replace(" ", "").isalpha():
+        return words
+    return _OTHERS.sub(" ", "".join(c if c.isalpha() else " " for c in words))  # numerals such as ½ and Ⅷ count as word characters above
+
+
 class Vectors:
     """Letter and n-gram vectors, made when first met."""
 
@@ -71,7 +77,7 @@ class Vectors:
     def counts(self, text: str) -> dict[str, int]:
         """How often each n-gram of the text's words occurs; empty if it has no letters."""
         out: dict[str, int] = {}
-        if words := _OTHERS.sub(" ", text.lower()).strip():
+        if words := words_of(text).strip():
             padded = f" {words} "
             for a in range(0, len(padded) - self.n + 1, _PIECE):
                 _count(padded[a : a + _PIECE + self.n - 1], self.n, out)  # neighbouring pieces share n - 1 characters
