@@ -73,9 +73,10 @@ class Items:
         self.words = [np.array([self.number.setdefault(w, len(self.number)) for w in words_of(t)], np.int64) for _, t in items]
         self.kinds = []  # (window, k, hashes ascending, item, place)
         by_window = defaultdict(list)
+        self.window = [min(span, len(w)) for w in self.words]
         for i, w in enumerate(self.words):
             if len(w):
-                by_window[min(span, len(w))].append(i)
+                by_window[self.window[i]].append(i)
         for window, members in by_window.items():
             g = k if window == span else window
             found = [(int(h[p]), i, p) for i in members for h in [_grams(self.words[i], g)] for p in _winnowed(h, window - g + 1).tolist()]
@@ -89,30 +90,38 @@ class Items:
         ids = np.fromiter(map(self.number.get, words, _minus), np.int64, len(words))
         if not len(words) or ids.max() < 0:
             return len(words), []
-        runs = set()
+        diagonals: dict[int, list[np.ndarray]] = defaultdict(list)
         for window, g, hashes, items, places in self.kinds:
             h = _grams(ids, g)
             at = _winnowed(h, window - g + 1)
+            at = at[np.argsort(h[at], kind="stable")]
             lo, hi = np.searchsorted(hashes, h[at]), np.searchsorted(hashes, h[at], "right")
-            for p, a, b in zip(at[lo < hi].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True):
-                done = set()
-                for i, q in zip(items[a:b].tolist(), places[a:b].tolist(), strict=True):
-                    if (i, q) not in done:
-                        done.add((i, q))
-                        left, right = self._extend(ids, self.words[i], p, q)
-                        if right - left >= window:
-                            runs.add((left, right, i))
+            at, lo, hi = at[lo < hi], lo[lo < hi], hi[lo < hi]
+            for own in np.split(np.arange(len(at)), np.flatnonzero(np.diff(lo)) + 1) if len(at) else []:  # the places of one fingerprint
+                a, b = int(lo[own[0]]), int(hi[own[0]])
+                for q in np.split(np.arange(a, b), np.flatnonzero(np.diff(items[a:b])) + 1):
+                    diagonals[int(items[q[0]])].append(_differences(at[own], places[q]))
+        runs = {(left, right, i) for i, d in diagonals.items() for x in np.unique(np.concatenate(d)).tolist() for left, right in self._along(ids, self.words[i], x, self.window[i])}
         return len(words), sorted(runs)
 
     @staticmethod
-    def _extend(doc: np.ndarray, item: np.ndarray, p: int, q: int) -> tuple[int, int]:
-        """The longest run in doc around place p that equals the item around place q."""
-        before = min(p, q)
-        same = doc[p - before : p] == item[q - before : q]
-        left = p - (before if same.all() else before - 1 - int(np.flatnonzero(~same)[-1]))
-        after = min(len(doc) - p, len(item) - q)
-        same = doc[p : p + after] == item[q : q + after]
-        return left, p + (after if same.all() else int(np.flatnonzero(~same)[0]))
+    def _along(doc: np.ndarray, item: np.ndarray, shift: int, least: int) -> list[tuple[int, int]]:
+        """The longest runs of at least so many words in doc that equal the item's words `shift` places before."""
+        a = max(0, shift)
+        n = min(len(doc) - a, len(item) - a + shift)
+        same = np.zeros(n + 2, np.int8)
+        same[1:-1] = doc[a : a + n] == item[a - shift : a - shift + n]
+        turns = np.flatnonzero(np.diff(same)).reshape(-1, 2)
+        return [(a + x, a + y) for x, y in turns[turns[:, 1] - turns[:, 0] >= least].tolist()]
+
+
+def _differences(p: np.ndarray, q: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """All different p - q; a fingerprint may have very many places on both sides, so they are taken in parts."""
+    out = np.zeros(0, np.int64)
+    step = max(1, most // len(q))
+    for i in range(0, len(p), step):
+        out = np.union1d(out, p[i : i + step, None] - q[None, :])
+    return out
 
 
 class _Always:
