@@ -387,6 +387,7 @@ class Shard:
         self.doc, self.impact = doc[order], self.weight[order]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(self.term, minlength=len(idf)))]).tolist()
 
+    FEW = 8  # neighbours of a seed that are looked for one by one
     RESCORED = 128  # leaders that are scored by all of a seed's terms
 
     def scores(self, seed: int) -> np.ndarray:
@@ -426,12 +427,24 @@ class Shard:
 
             take(seed, int(rest[seed]))
             score = self.scores(seed) if room >= GRID else None
+            picks = 0
             while room >= GRID:
                 # the best that fits, of equals the first; else the best is cut
                 fits = np.where((rest > 0) & (rest <= room), score, 0)
                 d = int(fits.argmax())
                 if fits[d] > 0:
                     take(d, int(rest[d]))
+                    picks += 1
+                    if picks == self.FEW:  # many small ones: the same order, sorted once
+                        some = np.flatnonzero(np.where((rest > 0) & (rest <= room), score, 0) > 0)
+                        some = some[np.argsort(-score[some], kind="stable")]
+                        while len(some) and room >= GRID:
+                            filled = np.cumsum(rest[some[:window]])
+                            n = min(int(np.searchsorted(filled, room, "right")), 1 + int(np.searchsorted(filled, room - GRID, "right")))
+                            for d in some[:n].tolist():
+                                take(d, int(rest[d]))
+                            some = some[n:]
+                            some = some[rest[some] <= room]
                     continue
                 d = int(np.where(rest > 0, score, 0).argmax())
                 if score[d] > 0 and rest[d] > 0:

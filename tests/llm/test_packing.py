@@ -1,5 +1,6 @@
 """Packing: every id in one piece, checksums, gapless sequences, little padding, neighbours by BM25."""
 
+import time
 import zlib
 from collections import defaultdict
 
@@ -128,3 +129,55 @@ def test_long_texts_ties_and_many_shards(spark, library):
     for i, t in rows:
         ids[i].append(ids_of(library, t))
     check(pack(spark.createDataFrame(rows, "doc_id long, text string"), FILE, window=64, shard_tokens=50).collect(), ids, 64)
+
+
+def plain_pack(shard, window):
+    """One pick after the other, each over all leftovers."""
+    rest, start, out = shard.rest.copy(), np.zeros(len(shard.rest), np.int64), []
+    for seed in np.argsort(-rest, kind="stable").tolist():
+        if rest[seed] <= 0:
+            continue
+        pieces, room = [], window
+        picks = [(seed, int(rest[seed]))]
+        score = shard.scores(seed)
+        while picks:
+            d, n = picks.pop()
+            pieces.append((d, int(start[d]), n))
+            start[d], rest[d], room = start[d] + n, rest[d] - n, room - n
+            if room < GRID:
+                break
+            left = [(-score[i], i) for i in np.flatnonzero(rest > 0).tolist() if score[i] > 0]
+            if fits := [x for x in left if rest[x[1]] <= room]:
+                picks.append((min(fits)[1], int(rest[min(fits)[1]])))
+            elif left:
+                picks.append((min(left)[1], room // GRID * GRID))
+            elif (rest > 0).any():
+                d = [i for i in np.argsort(-shard.whole, kind="stable").tolist() if rest[i] > 0][-1]
+                picks.append((d, int(rest[d]) if rest[d] <= room else room // GRID * GRID))
+            if left and not fits:  # the cut ends the window
+                d, n = picks.pop()
+                pieces.append((d, int(start[d]), n))
+                start[d], rest[d] = start[d] + n, rest[d] - n
+                break
+        out.append(pieces)
+    return out
+
+
+def a_shard(n, voc, sizes, seed):
+    r = np.random.default_rng(seed)
+    rest = r.choice(sizes, n).astype(np.int64)
+    k = np.minimum(np.minimum(rest, r.integers(1, 12, n)), voc)
+    terms = np.concatenate([np.sort(r.choice(voc, int(x), replace=False)) for x in k]).astype(np.int32)
+    shard = Shard(rest, rest.astype(np.float32), terms, r.integers(1, 4, len(terms)), np.concatenate([[0], np.cumsum(k)]), r.random(voc).astype(np.float32) + 0.1, float(rest.mean()), 4)
+    shard.whole = rest.copy()
+    return shard
+
+
+def test_many_small_leftovers():
+    for t, sizes in enumerate(([1, 2, 3], [1, 5, 40, 100, 700], [32, 64, 900, 3000], [1])):
+        for voc in (3, 200):
+            assert list(a_shard(150, voc, sizes, t).pack(1024)) == plain_pack(a_shard(150, voc, sizes, t), 1024)
+    shard = a_shard(200_000, 1, [1], 9)
+    began = time.monotonic()
+    windows = list(shard.pack(4096))
+    assert sum(map(len, windows)) == 200_000 and time.monotonic() - began < 30
