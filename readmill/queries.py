@@ -17,6 +17,7 @@ from readmill.operators import evaluate as E
 from readmill.operators import kmers as K
 from readmill.operators import minimizers as Z
 from readmill.operators import reads as R
+from readmill.operators import sketches
 from readmill.operators.decide import Params, keep
 from readmill.operators.normalize import normalize, normalize_batch, run_statistics
 from readmill.operators.parallel_filter import normalize_parallel
@@ -125,13 +126,12 @@ sk AS (SELECT "row", cell, least(count(DISTINCT (read_id, nth)), 253) AS cnt FRO
 
 @_query(_SKETCH_SQL + ' SELECT canon, CAST(min(cnt) AS INTEGER) AS est FROM cells JOIN sk USING ("row", cell) GROUP BY canon')
 def cms_estimate(spark: SparkSession, d: str) -> DataFrame:
-    rows = K.kmer_rows(reads(spark, d), 12)
-    return K.estimates(rows.where("not has_n"), K.sketch(rows, 4, 1 << 16), 4, 1 << 16)
+    return sketches.estimates(reads(spark, d), 12, 4, 1 << 16)
 
 
 @_query(_SKETCH_SQL + " SELECT n_occupied, 262144 - n_occupied AS hist0, counter_sum, round(n_occupied / 262144, 6) AS base, round(pow(n_occupied / 262144, 4), 6) AS fp FROM (SELECT count(*) AS n_occupied, CAST(sum(cnt) AS BIGINT) AS counter_sum FROM sk)")
 def sketch_occupancy(spark: SparkSession, d: str) -> DataFrame:
-    return K.occupancy(K.sketch(K.kmer_rows(reads(spark, d), 12), 4, 1 << 16), 4, 1 << 16)
+    return K.occupancy(sketches.sketch(reads(spark, d), 12, 4, 1 << 16), 4, 1 << 16)
 
 
 _D = Params(d=1, k=11, A=3, B=60, C=6, N=10, Q=17)
