@@ -49,6 +49,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--skip-done", action="store_true", help="leave out what the summary has")
     s.add_argument("--no-reads", action="store_true", help="write no kept reads")
     s.add_argument("--reads-to", help="folder for kept reads, else that of the input")
+    s.add_argument("--four-lines", action="store_true", help="FASTQ with four lines a record: split within files")
     s.add_argument("-t", type=int, default=10)
     s.add_argument("-m", type=int, default=1)
     c = sub.add_parser("classify", help="classify each dataset's reads by k-mers")
@@ -62,6 +63,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--quick", action="store_true")
     c.add_argument("--preload-size", default="", help="part of the output folder's name")
     c.add_argument("--datasets-to-classify", nargs="+")
+    c.add_argument("--four-lines", action="store_true", help="FASTQ with four lines a record: split within files")
     c.add_argument("--out", required=True, help="folder of tools' folders")
     e = sub.add_parser("evaluate", help="precision, recall, F1 and AUPR")
     e.add_argument("--ground-truth-dir", required=True)
@@ -188,11 +190,11 @@ def main(args: list[str] | None = None) -> None:
         if a.command == "normalize":
             normalize(spark, a)
         elif a.command == "sweep":
-            found = runs.experiments(spark, a.folder, a.experiment_dir, a.file, a.baseline_only, a.param_prefix, a.skip_done, not a.no_reads, a.reads_to, t=a.t, bits=20 + extra_bits(a.m))
+            found = runs.experiments(spark, a.folder, a.experiment_dir, a.file, a.baseline_only, a.param_prefix, a.skip_done, not a.no_reads, a.reads_to, a.four_lines, t=a.t, bits=20 + extra_bits(a.m))
             o = P.outcome(found).first()
             print(f"{o.succeeded} of {o.runs} runs succeeded")
         elif a.command == "classify":
-            print(runs.classification(spark, a.folder, a.ground_truth_dir, spark.read.parquet(a.references), spark.read.parquet(a.taxonomy), a.out, a.k, a.tool, a.method_suffix, a.quick, a.preload_size, a.datasets_to_classify))
+            print(runs.classification(spark, a.folder, a.ground_truth_dir, spark.read.parquet(a.references), spark.read.parquet(a.taxonomy), a.out, a.k, a.tool, a.method_suffix, a.quick, a.preload_size, a.datasets_to_classify, a.four_lines))
         else:
             runs.evaluate(spark, a.eval_dir, a.ground_truth_dir, a.experiments_dir, a.files_to_evaluate, a.only_tools, a.report_suffix, a.log_suffix)
     finally:

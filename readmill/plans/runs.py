@@ -29,19 +29,21 @@ NOT_TOOLS = r"average|max|median|priority"
 NOT_PREDICTIONS = r"_(TRUTH|COMMUNITY)\.txt$"
 
 
-def read_runs(spark: SparkSession, runs: list) -> DataFrame:
-    """Reads of (path, mate) rows: single files, and pairs in lockstep; `path` is the first mate's file."""
+def read_runs(spark: SparkSession, runs: list, four_lines: bool = False) -> DataFrame:
+    """Reads of (path, mate) rows: single files, and pairs in lockstep; `path` is the first mate's file. four_lines: if all are FASTQ by name, they have four lines a record, and are split within files."""
     single, double = [r.path for r in runs if not r.mate], [r for r in runs if r.mate]
-    sides = [R.read_fastx(spark, single)] if single else []
+    four = four_lines and all(re.search(r"\.(fq|fastq)(\.gz)?(\.[^/]*\.gz)?$", p) for r in runs for p in (r.path, r.mate) if p)
+    read = lambda paths: R.read_fastx(spark, paths, four_lines=four)
+    sides = [read(single)] if single else []
     if double:
-        sides.append(R.paired(R.read_fastx(spark, [r.path for r in double]), R.read_fastx(spark, [r.mate for r in double])).withColumn("file_nr", F.col("file_nr") + len(single)))
+        sides.append(R.paired(read([r.path for r in double]), read([r.mate for r in double])).withColumn("file_nr", F.col("file_nr") + len(single)))
     out = sides[0]
     for x in sides[1:]:
         out = out.unionByName(x, allowMissingColumns=True)
     return out
 
 
-def experiments(spark: SparkSession, folder: str, experiment_dir: str, only: str | None = None, baseline_only: bool = False, prefix: str = "", skip_done: bool = False, write: bool = True, out: str | None = None, **options) -> DataFrame:
+def experiments(spark: SparkSession, folder: str, experiment_dir: str, only: str | None = None, baseline_only: bool = False, prefix: str = "", skip_done: bool = False, write: bool = True, out: str | None = None, four_lines: bool = False, **options) -> DataFrame:
     """Normalises a folder's read files under every parameter set; returns the results of this run.
 
     Results replace those of the same dataset and set in `summary.tsv`; skip_done leaves out those
@@ -62,13 +64,13 @@ def experiments(spark: SparkSession, folder: str, experiment_dir: str, only: str
             continue
         broken: dict[str, str] = {}
         try:
-            found = _normalized(spark, chosen, runs, options)
+            found = _normalized(spark, chosen, runs, four_lines, options)
         except _FAILED:
             broken = _unreadable(spark, chosen)
             if not broken:
                 raise
             chosen = [r for r in chosen if r.path not in broken]
-            found = _normalized(spark, chosen, runs, options) if chosen else None
+            found = _normalized(spark, chosen, runs, four_lines, options) if chosen else None
         if broken:
             errors = spark.createDataFrame(sorted(broken.items()), "path string, error string")
             failed = materialized(runs.select("path", "param_set", "mate", "dataset", "k").join(F.broadcast(errors), "path"))
@@ -94,9 +96,9 @@ def experiments(spark: SparkSession, folder: str, experiment_dir: str, only: str
     return results
 
 
-def _normalized(spark: SparkSession, chosen: list, runs: DataFrame, options: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _normalized(spark: SparkSession, chosen: list, runs: DataFrame, four_lines: bool, options: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(reads, verdicts, a row of figures or an error for each run) of the chosen files under their parameter sets."""
-    reads = R.clipped(read_runs(spark, chosen)).join(F.broadcast(runs.drop("mate")), "path")  # a row for each file and set
+    reads = R.clipped(read_runs(spark, chosen, four_lines)).join(F.broadcast(runs.drop("mate")), "path")  # a row for each file and set
     reads = reads.withColumn("run_id", F.concat_ws("\x1f", "path", "param_set"))
     v, stats, _ = normalize_all(reads.drop("path", "dataset", "param_set"), Params(d=3), catch=True, **options)
     part = F.split("run_id", "\x1f")
@@ -147,7 +149,7 @@ def _kept(reads: DataFrame, done: DataFrame, folder: str, out: str) -> None:
     sinks.write_files(rows, out, sorted(names), ["file_nr", "ord"], gzip=True)
 
 
-def classification(spark: SparkSession, folder: str, truth_dir: str, references: DataFrame, taxonomy: DataFrame, out: str, k: int = 31, tool: str = "readmill", method_suffix: str = "", quick: bool = False, preload: str = "", datasets: list[str] | None = None) -> str:
+def classification(spark: SparkSession, folder: str, truth_dir: str, references: DataFrame, taxonomy: DataFrame, out: str, k: int = 31, tool: str = "readmill", method_suffix: str = "", quick: bool = False, preload: str = "", datasets: list[str] | None = None, four_lines: bool = False) -> str:
     """Classifies the read files of each dataset of the truth; returns the folder of its reports.
 
     Of each dataset the first file whose name starts with its name (and ends with
@@ -171,7 +173,7 @@ def classification(spark: SparkSession, folder: str, truth_dir: str, references:
         if r.dataset in runtimes or sinks.exists(spark, report):
             continue
         began = time.monotonic()
-        reads = R.clipped(read_runs(spark, [r]), 1 << 30).withColumn("read_id", F.struct("file_nr", "ord"))
+        reads = R.clipped(read_runs(spark, [r], four_lines), 1 << 30).withColumn("read_id", F.struct("file_nr", "ord"))
         calls = materialized(C.classify(reads, table, taxonomy, k, quick_hits=1 if quick else 0, up=up))
         sinks.write_file(C.report_lines(C.report(calls, C.clade_kmers(reads, calls, table, k, up), taxonomy, up)), report)
         runtimes[r.dataset] = time.monotonic() - began

@@ -33,13 +33,16 @@ def folder(spark, sf, at, parts):
     return sorted((at / "all").glob("part-*"))
 
 
-def whole(spark, sf, tmp_path):
-    N.run(spark, sf, str(tmp_path / "whole"))
-    return rows(N.output(spark, str(tmp_path / "whole")))
+@pytest.fixture(scope="module")
+def whole(spark, sf, tmp_path_factory):
+    """The output of one run over all files."""
+    out = str(tmp_path_factory.mktemp("whole"))
+    N.run(spark, sf, out)
+    return rows(N.output(spark, out))
 
 
-def test_new_reads_only(spark, sf, tmp_path):
-    files = folder(spark, sf, tmp_path / "in", 5)
+def test_new_reads_only(spark, sf, whole, tmp_path):
+    files = folder(spark, sf, tmp_path / "in", 4)
     tables, out = str(tmp_path / "in"), str(tmp_path / "out")
     n = [spark.read.parquet(str(f)).count() for f in files]
     for f in files[:2]:
@@ -51,12 +54,12 @@ def test_new_reads_only(spark, sf, tmp_path):
     for f in files[2:]:
         shutil.copy(f, tmp_path / "in" / "documents.parquet" / f.name)
     assert N.run(spark, tables, out)["reads"] == sum(n[2:])
-    assert rows(N.output(spark, out)) == whole(spark, sf, tmp_path)
+    assert rows(N.output(spark, out)) == whole
     assert sorted(x.name for x in (tmp_path / "out" / "index-31-13-16").glob("part-*")) == index  # opened, not made again
     assert sum(r["tax_reads"] for r in first if r["part"] == "report") == n[0] + n[1]
 
 
-def test_a_replayed_batch_changes_nothing(spark, sf, tmp_path):
+def test_a_replayed_batch_changes_nothing(spark, sf, whole, tmp_path):
     files = folder(spark, sf, tmp_path / "in", 2)
     tables, out = str(tmp_path / "in"), str(tmp_path / "out")
     for f in files:
@@ -66,7 +69,7 @@ def test_a_replayed_batch_changes_nothing(spark, sf, tmp_path):
     last.unlink()  # as if the run had ended before its last batch was committed
     (tmp_path / "out" / "checkpoint" / "commits" / ".1.crc").unlink(missing_ok=True)
     assert N.run(spark, tables, out, files_a_batch=1)["batches"] == 1
-    assert rows(N.output(spark, out)) == whole(spark, sf, tmp_path)
+    assert rows(N.output(spark, out)) == whole
 
 
 def test_any_rows(spark, sf, tmp_path):

@@ -115,7 +115,7 @@ def test_hash_sets():
         Params(d=7)
 
 
-@pytest.mark.parametrize("d", [1, 3, 4, 6])
+@pytest.mark.parametrize("d", [1, 3, 6])
 def test_parallel_rounds_judge_as_one_task_does(spark, d, monkeypatch):
     monkeypatch.setattr(parallel_filter, "_BLOCK", 7)
     rng = random.Random(d)
@@ -127,9 +127,9 @@ def test_parallel_rounds_judge_as_one_task_does(spark, d, monkeypatch):
 
     qual = lambda s: "".join(rng.choice("IIIIIIIIIIII5+") for _ in s)
     rows = []
-    for i in range(160):
+    for i in range(110):
         one, two = piece(40), rng.choice([None, None, piece(30), "ACG"])
-        rows.append((rng.choice("aab"), i // 90, i, 0, one, rng.choice([qual(one), None, "II"]), two, two and qual(two)))
+        rows.append((rng.choice("aab"), i // 60, i, 0, one, rng.choice([qual(one), None, "II"]), two, two and qual(two)))
     rows += [("a", 0, 5, 1, genome[:40], None, None, None), ("a", 0, 5, 0, genome[:50], None, None, None), ("c", 0, 0, 0, None, None, None, None), ("c", 0, 1, 0, "", None, None, None), ("c", 0, 2, 0, "N" * 60, None, None, None), (None, 0, 2, 0, genome, None, None, None)]
     df = spark.createDataFrame(rows, "run_id string, file_nr int, ord long, nth int, seq string, qual string, seq2 string, qual2 string").selectExpr("*", "1 as at", "2 as canon", "3 as kept").repartition(5)
     p = Params(d=d, k=11, A=2, B=4, C=4, N=8, Q=15)

@@ -68,7 +68,7 @@ def test_sweep_reads_pairs_and_resumes(spark, tmp_path):
     (out / "summary.tsv").write_text((out / "summary.tsv").read_text().replace("x\tp_default\t24", "x\tp_default\t77") + "z\told\t5\t4\t80.00\t0.001\t9\n")
     cli.main(["sweep", "--folder", str(data), "--experiment-dir", str(out), "--baseline-only", "--param-prefix", "p_", "-t", "2", "--skip-done", "--no-reads"])
     assert {r.dataset: r.reads_processed for r in tables.read_sweep(spark, str(out / "summary.tsv")).collect()} == {"x": 77, "y": 1, "z": 5}
-    cli.main(["sweep", "--folder", str(data), "--experiment-dir", str(out), "--baseline-only", "--param-prefix", "p_", "-t", "2", "--no-reads"])
+    cli.main(["sweep", "--folder", str(data), "--experiment-dir", str(out), "--baseline-only", "--param-prefix", "p_", "-t", "2", "--no-reads", "--four-lines"])
     assert {r.dataset: r.reads_processed for r in tables.read_sweep(spark, str(out / "summary.tsv")).collect()} == {"x": 24, "y": 1, "z": 5}
 
 
@@ -116,7 +116,7 @@ def test_classify_then_evaluate(spark, tmp_path):
     fastq(data / "one_R1.fastq", [("a", refs[0][1][:14]), ("b", refs[1][1].lower()), ("c", "A" * 20)])
     fastq(data / "one_R2.fastq", [("a", refs[0][1][8:]), ("b", refs[1][1]), ("c", "C" * 20)])
     (data / "two.fasta").write_text(">x\n" + refs[2][1] + "\n")
-    call = ["classify", "--folder", str(data), "--ground-truth-dir", str(tmp_path / "truth"), "--references", str(tmp_path / "refs"), "--taxonomy", str(tmp_path / "taxa"), "-k", "9", "--tool", "mill", "--out", str(ev)]
+    call = ["classify", "--folder", str(data), "--ground-truth-dir", str(tmp_path / "truth"), "--references", str(tmp_path / "refs"), "--taxonomy", str(tmp_path / "taxa"), "-k", "9", "--tool", "mill", "--out", str(ev), "--four-lines"]
     cli.main([*call, "--datasets-to-classify", "one"])
     assert sorted(os.listdir(ev / "mill"))[-2:] == ["one_REPORT.tsv", "runtimes.tsv"]
     before = (ev / "mill" / "one_REPORT.tsv").stat().st_mtime_ns

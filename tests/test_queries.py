@@ -12,7 +12,7 @@ def test_against_sql(spark, sf, same_as_sql, name):
     same_as_sql(Q.queries()[name](spark, sf), Q.oracle_sql()[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(Q.queries()) - set(Q.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(Q.queries()) - set(Q.oracle_sql()) - {"parallel_normalize"}))
 def test_runs(spark, sf, name):
     assert Q.queries()[name](spark, sf).count() > 0
 
