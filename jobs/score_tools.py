@@ -44,6 +44,12 @@ def _written(rows: DataFrame, path: str, by: list[str], kind: str) -> None:
     rows.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).format(kind).save(path)
 
 
+def summed(wide: DataFrame) -> DataFrame:
+    """(tool, means and deviations, n_datasets) of values with six places: means are those of decimals, halves rounded up, so that no order of summing tells."""
+    exact = wide.withColumns({v: F.col(v).cast("decimal(20,6)") for v in VALUES})
+    return E.summary(exact, VALUES).select("tool", *(F.round(f"{v}_{x}", 6).cast("double").alias(f"{v}_{x}") for v in VALUES for x in ("mean", "std")), "n_datasets")
+
+
 def run(spark: SparkSession, tables: str, out: str, datasets: list[str] | None = None, abundance_unit: int = 50) -> dict[str, int]:
     """Judges the datasets and writes all three tables; returns how many predictions were read and results written."""
     pred, truth = predictions(spark.read.parquet(f"{tables}/documents.parquet"), spark.read.parquet(f"{tables}/labels.parquet"), abundance_unit)
@@ -59,8 +65,7 @@ def run(spark: SparkSession, tables: str, out: str, datasets: list[str] | None =
     best = lambda level, v: F.coalesce(F.max(F.when(F.col("level") == level, F.col(v))), F.lit(0.0))
     wide = all_.groupBy("tool", "dataset").agg(*(best(*v.split("_")).alias(v) for v in VALUES))
     whole = E.complete_tools(wide, all_.select("dataset").distinct().count())
-    summary = E.summary(wide.join(whole.select("tool"), "tool", "left_semi"), VALUES)
-    summary = materialized(summary.select("tool", *(F.round(f"{v}_{x}", 6).alias(f"{v}_{x}") for v in VALUES for x in ("mean", "std")), "n_datasets"))
+    summary = materialized(summed(wide.join(whole.select("tool"), "tool", "left_semi")))
     summary.write.mode("overwrite").partitionBy("n_datasets").json(f"{out}/summary")  # all of it: tools may have come to miss a dataset
     took = {"predictions": pred.count(), "truths": truth.count(), "metrics": m.count(), "tools": summary.count()}
     log.info("read %(predictions)d predictions and %(truths)d truths, wrote %(metrics)d rows of metrics and %(tools)d of the summary", took)
