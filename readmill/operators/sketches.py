@@ -1,7 +1,7 @@
 """Count-min sketches as mergeable blocks: each task sums up its reads' cells, and blocks of one place are summed behind the shuffle.
 
 What is shuffled is bounded by tasks times the sketch, whatever the reads; k-mers don't leave their
-task. Cells are those of `kmers.row_cell`. Estimates look the distinct k-mers up in the sketch, which
+task, nor do those whose distinct ones are found by a bit for each (k up to 12). Cells are those of `kmers.row_cell`. Estimates look the distinct k-mers up in the sketch, which
 goes to every task where it has at most `few` cells, and is joined cell by cell else.
 """
 
@@ -22,11 +22,20 @@ from .normalize import codes, odd_letters
 
 _BLOCK = 1 << 14  # cells of a row in one block
 _PRIME = 2147483647
+_BITS = 12  # letters of k-mers that have a bit each in a task
+
+
+def _mod(x: np.ndarray) -> np.ndarray:
+    """x modulo 2^31 - 1 for x from 0 below 2^62, by shifts, which are much faster than divisions."""
+    x = (x & _PRIME) + (x >> 31)
+    x = (x & _PRIME) + (x >> 31)
+    return x - _PRIME * (x >= _PRIME)
 
 
 def _cells(code: np.ndarray, row: int, cells: int) -> np.ndarray:
     """`kmers.row_cell` of 2-bit codes."""
-    return ((code % _PRIME) * (1103515245 + 12345 * row) % _PRIME + 7919 * (row + 1)) % _PRIME % cells
+    x = _mod(_mod(_mod(code) * ((1103515245 + 12345 * row) % _PRIME)) + 7919 * (row + 1))
+    return x & (cells - 1) if cells & (cells - 1) == 0 else x % cells
 
 
 class Cells:
@@ -55,7 +64,8 @@ class Cells:
 
     def _count(self, x: np.ndarray, of: np.ndarray | int) -> None:
         for row in range(self.t):
-            own = np.unique(of * self.cells + _cells(x, row, self.cells))
+            own = np.sort(of * self.cells + _cells(x, row, self.cells))
+            own = own[np.append(True, own[1:] != own[:-1])] if len(own) else own
             self.table[row] = np.minimum(self.table[row] + np.bincount(own % self.cells, minlength=self.cells), S.COUNT_MAX)
 
 
@@ -88,9 +98,37 @@ def sketch(reads: DataFrame, k: int, t: int, cells: int, seq: str = "seq") -> Da
     return each.select("row", (F.col("block") * _BLOCK + F.col("i")).cast("int").alias("cell"), "cnt")
 
 
+def present(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
+    """(code): the distinct k-mers without N of reads, by a bit for each of 4^k in each task; what is shuffled is bounded by tasks times 4^k bits. k is up to 12."""
+    if k > _BITS:
+        raise ValueError(f"k is up to {_BITS}")
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(max(8, 4**k), bool)
+        for b in batches:
+            for raw, *_ in chunks(b.column("s"), k):
+                x, odd = codes(raw.tobytes(), k)
+                seen[x[~odd].astype(np.int64)] = True
+        bits = np.packbits(seen)
+        used = [(i, bits[i : i + _BLOCK]) for i in range(0, len(bits), _BLOCK)]
+        used = [(i, x.tobytes()) for i, x in used if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in used], pa.int32()), pa.array([x for _, x in used], pa.binary())], ["block", "bits"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_: dict[int, np.ndarray] = {}  # a task's blocks
+        for b in batches:
+            for block, x in zip(b.column("block").to_pylist(), b.column("bits").to_pylist(), strict=True):
+                x = np.frombuffer(x, np.uint8)
+                all_[block] = all_[block] | x if block in all_ else x
+        for block, x in all_.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(np.unpackbits(x)) + block * 8, pa.int64())], ["code"])
+
+    return reads.select(F.upper(seq).alias("s")).mapInArrow(partial, "block int, bits binary").repartition("block").mapInArrow(merged, "code long")
+
+
 def estimates(reads: DataFrame, k: int, t: int, cells: int, key: str = "read_id", seq: str = "seq", few: int = 1 << 22) -> DataFrame:
     """(canon, est): the least cell of each distinct k-mer of the reads."""
-    each = counted(reads, k, key, seq, min(M, k)).select(F.col("canon").alias("code"))
+    each = present(reads, k, seq) if k <= _BITS else counted(reads, k, key, seq, min(M, k)).select(F.col("canon").alias("code"))
     if t * cells > few:
         named = each.select(S.decoded(F.col("code"), k).alias("canon"))
         return K.estimates(named, sketch(reads, k, t, cells, seq), t, cells, few)
