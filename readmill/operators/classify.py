@@ -9,7 +9,7 @@ from readmill.functions import sequences as S
 from readmill.storage import materialized
 
 from . import kmers as K
-from .minimizers import Index
+from .minimizers import Index, looked_up
 
 
 def closure(taxonomy: DataFrame) -> DataFrame:
@@ -69,9 +69,15 @@ def classify(reads: DataFrame, table: DataFrame, taxonomy: DataFrame, k: int, qu
 
 
 def _known(reads: DataFrame, table: DataFrame, k: int, few: int = 1_000_000) -> DataFrame:
-    """k-mers of reads that the table has, with its columns; a table of at most `few` goes to every task."""
-    small = table.limit(few + 1).count() <= few
-    return _coded(reads, k, ("read_id",)).join(F.broadcast(table) if small else table, "canon")
+    """k-mers of reads that the table has, with its columns; a table of at most `few` goes to every task, where they are looked up."""
+    if table.limit(few + 1).count() > few:
+        return _coded(reads, k, ("read_id",)).join(table, "canon")
+    if k > 31:
+        return _coded(reads, k, ("read_id",)).join(F.broadcast(table), "canon")
+    rows = looked_up(reads, table, k)
+    if "seq2" in reads.columns:
+        rows = rows.unionByName(looked_up(reads.where("seq2 is not null"), table, k, seq="seq2").withColumn("pos", F.col("pos") + (1 << 30)))
+    return rows
 
 
 def classify_by_index(reads: DataFrame, index: Index, taxonomy: DataFrame, quick_hits: int = 0, up: DataFrame | None = None) -> DataFrame:
