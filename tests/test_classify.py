@@ -60,6 +60,20 @@ def test_scalars(spark):
     assert [r[0] for r in spark.range(1).select(S.decoded(S.code(F.lit("ACGT")), 4)).collect()] == ["ACGT"]
 
 
+def test_sweep_shuffles_each_read_once(spark):
+    rng = random.Random(4)
+    reads = spark.createDataFrame([(f"d{i % 3}" if i else None, 0, i, "".join(rng.choice("ACGT") for _ in range(60))) for i in range(90)], "dataset string, file_nr int, ord long, seq string")
+    sets = P.parameter_sets(spark, fastq=False)
+    s = P.sweep(reads, sets, t=2, bits=12)
+    got = {(r.dataset, r.param_set): r.reads_processed for r in s.collect()}
+    assert got == {(d, x.param_set): n for x in sets.collect() for d, n in ((None, 1), ("d0", 29), ("d1", 30), ("d2", 30))}
+    s.write.format("noop").mode("overwrite").save()
+    s.collect()
+    plan = s._jdf.queryExecution().executedPlan()
+    plan = plan.toString().split("Initial Plan")[0]
+    assert plan.count("ReusedExchange") == len(sets.collect()) - 1
+
+
 def test_sweep_and_summary(spark):
     assert P.parameter_sets(spark).count() == 13 and P.parameter_sets(spark, fastq=False).count() == 7 and P.parameter_sets(spark, baseline_only=True).count() == 1
     reads = spark.createDataFrame([("d", 0, i, "ACGT" * 20) for i in range(4)], "dataset string, file_nr int, ord long, seq string")
